@@ -23,7 +23,7 @@ SEED = 42
 #: Distinct fingerprints that the top tree is fitted on (the first by hash); every fingerprint is then dealt by it.
 SAMPLE = 4096
 #: Fingerprints that a shard should hold as homes.
-SHARD = 8_192
+SHARD = 32_768
 #: Homes below which a local tree compares all.
 LEAF = 64
 #: Comparisons made at once.
