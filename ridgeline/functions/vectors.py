@@ -34,7 +34,7 @@ def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     """A column of equally long, whole lists as rows of a matrix."""
     chunks = column.chunks if isinstance(column, pa.ChunkedArray) else [column]
     flat = [np.asarray(c.flatten().to_numpy(zero_copy_only=False), np.float64) for c in chunks]
-    return (np.concatenate(flat) if flat else np.zeros(0)).reshape(len(column), -1)
+    return (np.concatenate(flat) if flat else np.zeros(0)).reshape(len(column), -1 if len(column) else 0)
 
 
 def exact_distances(metric: str, x: np.ndarray, q: np.ndarray) -> np.ndarray:
