@@ -8,11 +8,14 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.vectors import exact_distances, matrix, near_matrix
 from ..session import settle
-from .knn import exact_topk
+from .knn import PAIRS, SEND_BYTES, exact_topk
 
 #: A fourth of the nodes of a level reach the next one, up to the top level.
 BASE, TOP = 4, 4
@@ -25,15 +28,45 @@ def level_of(node_id: Column) -> Column:
     return reduce(lambda x, y: x + y, [F.when(h < SPACE // BASE**k, 1).otherwise(0) for k in range(1, TOP + 1)])
 
 
-def nodes(base: DataFrame) -> DataFrame:
-    """(id, level, father) for base(id, v)."""
-    leveled = settle(base.select("id", "v", level_of(F.col("id")).alias("level")))
+def nodes(base: DataFrame, send_bytes: int = SEND_BYTES) -> DataFrame:
+    """(id, level, father) for base(id, v).
+
+    While the nodes above the lowest level fit into a message, one scan finds all fathers; else each level is searched."""
+    leveled = base.select("id", "v", level_of(F.col("id")).alias("level"))
+    upper = leveled.filter("level > 0 and v is not null").select("id", "level", F.col("v").cast("array<double>").alias("v"))
+    n, dim = upper.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
+    if n * 8 * (dim + 2) > send_bytes:
+        return _nodes_by_level(settle(leveled))
+    held = upper.toArrow()
+    ids, levels, x = held.column("id").to_numpy(), held.column("level").to_numpy(), matrix(held.column("v"))
+    step = max(1, PAIRS // max(1, n))
+
+    def fathers(batches):
+        for batch in batches:
+            own, level, v = batch.column(0).to_numpy(), batch.column(1).to_numpy(), matrix(batch.column(2))
+            found = own.copy()
+            for at in range(0, len(own) if n else 0, step):
+                part = slice(at, at + step)
+                near = near_matrix("l2", v[part], x)
+                near[levels[None, :] <= level[part][:, None]] = np.inf
+                best = near.min(axis=1)
+                for i in np.nonzero(np.isfinite(best))[0]:
+                    some = np.nonzero(near[i] <= best[i] + 1e-9 * (1 + abs(best[i])))[0]
+                    d = exact_distances("l2", x[some], v[at + i])
+                    found[at + i] = ids[some][np.lexsort((ids[some], d))[0]]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(level, pa.int32()), pa.array(found, pa.int64())], names=["id", "level", "father"])
+
+    rows = leveled.select(F.col("id").cast("long").alias("id"), "level", F.col("v").cast("array<double>").alias("v"))
+    return settle(rows.filter("v is not null").mapInArrow(fathers, "id bigint, level int, father bigint"))
+
+
+def _nodes_by_level(leveled: DataFrame) -> DataFrame:
     found = []
     for level in range(TOP):
         asks = leveled.filter(F.col("level") == level).select(F.col("id").alias("qid"), F.col("v").alias("qvec"))
         found.append(exact_topk(leveled.filter(F.col("level") > level), asks, 1).select("qid", F.col("id").alias("father")))
     fathers = reduce(DataFrame.union, found)
-    out = leveled.join(fathers, leveled["id"] == fathers["qid"], "left")
+    out = leveled.filter("v is not null").join(fathers, leveled["id"] == fathers["qid"], "left")
     return settle(out.select("id", "level", F.coalesce("father", "id").alias("father")))
 
 

@@ -19,8 +19,8 @@ from ..functions.vectors import distance, exact_distances, matrix, near_matrix
 
 #: Bytes of vectors up to which a side is sent to all tasks.
 SEND_BYTES = 64 << 20
-#: Rows of a block when neither side can be sent; rows scored by one matrix product.
-BLOCK, STEP = 16_384, 2048
+#: Rows of a block when neither side can be sent; rows, and pairs, scored by one matrix product.
+BLOCK, STEP, PAIRS = 16_384, 2048, 1 << 22
 OUT = "qid bigint, id bigint, dist double"
 
 
@@ -89,11 +89,13 @@ def exact_topk(base: DataFrame, queries: DataFrame, k: int, *, predicate: DNF |
     if b.count() * row <= send_bytes:
         ids, x = _held(b)
 
+        step = max(1, PAIRS // max(1, len(ids)))
+
         def by_queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 qids, qv = batch.column(0).to_numpy(), matrix(batch.column(1))
-                for at in range(0, len(qids), 256):
-                    yield top_rows(metric, ids, x, qids[at : at + 256], qv[at : at + 256], k, skip_self)
+                for at in range(0, len(qids), step):
+                    yield top_rows(metric, ids, x, qids[at : at + step], qv[at : at + step], k, skip_self)
 
         found = q.mapInArrow(by_queries, OUT)
         # A query is scored against the whole base in one place, so its rows need numbers but no exchange of vectors.

@@ -22,11 +22,11 @@ def order_statistics(df: DataFrame, column: str, ranks: Sequence[int], one_windo
     Equal values are counted before anything is ordered, so a hot value is one row, and ranges of values, cut at rough
     quantiles, are ordered in different tasks."""
     counts = df.select(F.col(column).alias("x")).filter("x is not null").groupBy("x").agg(F.count("*").alias("c"))
-    n = counts.count()
+    n, rows_in_all = counts.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
     cuts = [] if n <= one_window else sorted(set(counts.approxQuantile("x", [i / 64 for i in range(1, 64)], 0.005)))
     part = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda e: e <= F.col("x"))) if cuts else F.lit(0)
     counts = counts.withColumn("part", part)
-    sizes = {r["part"]: r["n"] for r in counts.groupBy("part").agg(F.sum("c").alias("n")).collect()}
+    sizes = {r["part"]: r["n"] for r in counts.groupBy("part").agg(F.sum("c").alias("n")).collect()} if cuts else {0: rows_in_all}
     before, at = {}, 0
     for k in sorted(sizes):
         before[k], at = at, at + sizes[k]

@@ -100,9 +100,8 @@ def forest(nodes: DataFrame, lmin: int = 1, lmax: int = -1) -> Forest:
     now = nodes.select("id", F.col("id").alias("at"))
     for _ in range(lmin):
         now = now.join(hop, "at").select("id", F.when((F.col("at_level") >= lmin) | (F.col("at_father") == F.col("at")), F.col("at")).otherwise(F.col("at_father")).alias("at"))
-    fca = settle(now.join(hop, "at").filter(F.col("at_level") >= lmin).select("id", F.col("at").alias("c")))
+    fca = now.join(hop, "at").filter(F.col("at_level") >= lmin).select("id", F.col("at").alias("c"))
     cands = nodes.filter(F.col("level") >= lmin).select(F.col("id").alias("c"), "level", F.when((F.col("level") < lmax) & (F.col("father") != F.col("id")), F.col("father")).alias("parent"))
-    cands = settle(cands)
     step = cands.select(F.col("c").alias("anc"), F.col("parent").alias("up"))
     front = cands.select("c", F.col("c").alias("anc"), F.lit(0).alias("depth"))
     layers = [front]
@@ -234,7 +233,8 @@ def bound(f: Forest, kept: DataFrame, hist: DataFrame, sizes: DataFrame, attrs:
     region_map = settle(points.select("id", F.coalesce("region", F.lit(first)).alias("region")))
     holders = f.closure.join(kept.select("col", F.col("c").alias("anc")), "anc").join(regions, "c").groupBy("col", "c").agg(F.min_by("anc", "depth").alias("node"))
     held = hist.join(kept.select("col", F.col("c").alias("node")), ["col", "node"])
-    return Stats(schema, region_map, settle(sizes.join(regions.select(F.col("c").alias("node")), "node")), settle(held), settle(holders.select("col", F.col("c").alias("region"), "node")), settle(presence(region_map, attrs)))
+    sizes = sizes.join(regions.select(F.col("c").alias("node")), "node").select("node", "n")
+    return Stats(schema, region_map, sizes, held.select("col", "node", "bucket", "cnt"), holders.select("col", F.col("c").alias("region"), "node"), presence(region_map, attrs))
 
 
 def presence(region_map: DataFrame, attrs: DataFrame) -> DataFrame:
