@@ -1,8 +1,9 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine, found with block-max inverted indexes.
 
-Terms are lower-case words and their first four and five letters. The terms kept are those that occur in toxic and in
-other examples at clearly different rates; their document frequencies are counted over all documents. Examples lie in
-blocks; for every term and block the largest weight is known, which bounds the cosine that the block can hold, so that
+Terms are lower-case words, their first four and five letters, and such beginnings that make up a certain share of a
+text's words, as a stem that is harmless once may not be so in every line. The terms kept are those that occur in toxic
+and in other examples at clearly different rates; their document frequencies are counted over all documents. Examples
+lie in blocks; for every term and block the largest weight is known, which bounds the cosine that the block can hold, so that
 blocks are opened best bound first until no other can hold one of the k nearest. Votes weighted by nearness give a raw
 score, which a logistic curve, fitted on the examples' own scores with each left out, turns into a probability.
 """
@@ -22,27 +23,65 @@ from ._shared import arrow_map, key_crc, settle
 TOXIC, CLEAN, TERMS = 3000, 5000, 4096
 #: How unlike the classes' rates of a term must be (G statistic, about 25 for one chance in two million).
 LEAST_G = 25.0
+#: And by which factor one class's rate must exceed the other's, so that words common to both stay out.
+LEAST_LIFT = 6.0
 #: Neighbours, examples of a block, neighbours shown as evidence, weight of the prior among the votes.
 NEIGHBOURS, BLOCK, SHOWN, PRIOR = 15, 128, 3, 0.3
 THRESHOLD = 0.7
 WORDS = re.compile(r"[^\W\d_]+")
 
 
+#: Shares of a text's words, in thousandths, from which on a beginning that occurs more than once gives a term of its own.
+DENSE = (5, 10, 20, 40)
+
+
+def dense_terms(start: str, n: int, words: int) -> list[str]:
+    return [f"{start}{k}" for k in DENSE if n > 1 and 1000 * n >= k * words]
+
+
 def terms_of(text: str) -> Counter:
     out: Counter = Counter()
-    for w, n in Counter(WORDS.findall(text.lower())).items():
+    words = WORDS.findall(text.lower())
+    starts: Counter = Counter()
+    for w, n in Counter(words).items():
         out[w] += n
         for k in (4, 5):
             if len(w) > k:
-                out[w[:k] + "*"] += n
+                starts[w[:k] + "*"] += n
+    out.update(starts)
+    for s, n in starts.items():
+        for t in dense_terms(s, n, len(words)):
+            out[t] = 1
     return out
 
 
+class Terms:
+    """Numbers of kept terms, and their counts in a text: what terms_of() gives of them, without counting the others."""
+
+    def __init__(self, vocabulary: list[str]):
+        self.number = {t: k for k, t in enumerate(vocabulary)}
+        self.sought = frozenset(re.sub(r"\*\d+$", "*", t) for t in vocabulary)
+
+    def counts(self, text: str) -> dict[int, int]:
+        sought, number = self.sought, self.number
+        words = WORDS.findall(text.lower())
+        hits = {w: [t for t in (w, w[:4] + "*" if len(w) > 4 else "", w[:5] + "*" if len(w) > 5 else "") if t in sought] for w in set(words) if w in sought or w[:4] + "*" in sought or w[:5] + "*" in sought}
+        found: dict[str, int] = {}
+        for w in filter(hits.__contains__, words) if hits else ():
+            for t in hits[w]:
+                found[t] = found.get(t, 0) + 1
+        out = {number[t]: n for t, n in found.items() if t in number}
+        for s, n in found.items():
+            if s[-1] == "*" and n > 1:
+                out |= {number[t]: 1 for t in dense_terms(s, n, len(words)) if t in number}
+        return out
+
+
 class Index:
     """Examples as unit TF-IDF vectors: postings by term, cut at blocks, with each block's largest weight."""
 
     def __init__(self, vocabulary: list[str], idf: np.ndarray, examples: list[dict[int, int]], labels: np.ndarray, ids: np.ndarray, prior: float):
-        self.number = {t: k for k, t in enumerate(vocabulary)}
+        self.terms = Terms(vocabulary)
         self.idf, self.labels, self.ids, self.prior = idf, labels, ids, prior
         self.blocks = -(-len(examples) // BLOCK)
         term, place, weight = [], [], []
@@ -69,17 +108,6 @@ class Index:
         size = np.sqrt((w * w).sum())
         return t, w / size if size > 0 else w
 
-    def counts(self, text: str) -> dict[int, int]:
-        """Counts of the index's terms in a text."""
-        number, out = self.number, {}
-        words = WORDS.findall(text.lower())
-        hits = {w for w in set(words) if w in number or w[:4] + "*" in number or w[:5] + "*" in number}
-        for w in filter(hits.__contains__, words) if hits else ():
-            for t in (w, w[:4] + "*" if len(w) > 4 else None, w[:5] + "*" if len(w) > 5 else None):
-                if t in number:
-                    out[number[t]] = out.get(number[t], 0) + 1
-        return out
-
     def nearest(self, counts: dict[int, int], k: int = NEIGHBOURS, leave: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of greatest cosine above zero, ties to the first: (numbers, cosines). leave: one left out."""
         t, w = self.vector(counts)
@@ -102,7 +130,7 @@ class Index:
         return best, cos
 
     def vote(self, best: np.ndarray, cos: np.ndarray) -> float:
-        w = cos**2
+        w = cos**4
         return float(((w * self.labels[best]).sum() + PRIOR * self.prior) / (w.sum() + PRIOR))
 
     def calibrate(self, examples: list[dict[int, int]], weights: np.ndarray) -> None:
@@ -157,25 +185,19 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     part = lambda o, e: F.when(F.col(o) > 0, F.col(o) * F.log(F.col(o) / e)).otherwise(0.0)
     rates = rates.withColumn("nt", F.lit(t_all) - F.col("t")).withColumn("nc", F.lit(c_all) - F.col("c")).withColumn("has", F.col("t") + F.col("c")).withColumn("not", F.col("nt") + F.col("nc"))
     g = 2 * (part("t", F.col("has") * t_all / whole) + part("c", F.col("has") * c_all / whole) + part("nt", F.col("not") * t_all / whole) + part("nc", F.col("not") * c_all / whole)) if t_all and c_all else F.lit(0.0)
-    vocabulary = [r["term"] for r in rates.withColumn("g", g).filter(F.col("g") >= LEAST_G).orderBy(F.desc("g"), "term").limit(TERMS).select("term").collect()]
+    t_rate, c_rate = (F.col("t") + 0.5) / (t_all + 1), (F.col("c") + 0.5) / (c_all + 1)
+    unlike = (t_rate >= LEAST_LIFT * c_rate) | (c_rate >= LEAST_LIFT * t_rate)
+    vocabulary = [r["term"] for r in rates.withColumn("g", g).filter((F.col("g") >= LEAST_G) & unlike).orderBy(F.desc("g"), "term").limit(TERMS).select("term").collect()]
 
     held = spark.sparkContext.broadcast(vocabulary)
 
     def count_documents():
-        import pyarrow as pa  # noqa: F401
-
-        number = {t: k for k, t in enumerate(held.value)}
-        prefixes = frozenset(t for t in number if t.endswith("*"))
+        terms = Terms(held.value)
 
         def work(cols):
-            n = np.zeros(len(number) + 1, np.int64)
+            n = np.zeros(len(terms.number) + 1, np.int64)
             for text in cols["text"]:
-                words = set(WORDS.findall((text or "").lower()))
-                found = words & number.keys()
-                if prefixes:
-                    found |= ({w[:4] + "*" for w in words if len(w) > 4} | {w[:5] + "*" for w in words if len(w) > 5}) & prefixes
-                for t in found:
-                    n[number[t]] += 1
+                n[list(terms.counts(text or ""))] += 1
             n[-1] = len(cols["text"])
             some = np.nonzero(n)[0]
             return {"term": some.tolist(), "n": n[some].tolist()}
@@ -189,10 +211,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
 
     def look():
-        number = {t: k for k, t in enumerate(held.value)}
+        terms = Terms(held.value)
 
         def work(cols):
-            found = [{number[t]: c for t, c in terms_of(x).items() if t in number} for x in cols["text"]]
+            found = [terms.counts(x) for x in cols["text"]]
             return {"id": cols["id"], "y": cols["y"], "term": [list(f) for f in found], "n": [list(f.values()) for f in found]}
 
         return work
@@ -225,7 +247,7 @@ def score(docs: DataFrame, index: Index, *, id_col: str = "doc_id", text_col: st
         def work(cols):
             s, e = [], []
             for text in cols["text"]:
-                best, cos = index.nearest(index.counts(text or ""))
+                best, cos = index.nearest(index.terms.counts(text or ""))
                 s.append(index.score(best, cos))
                 e.append([{"doc_id": index.ids[i].item(), "similarity": float(c), "toxic": int(index.labels[i])} for i, c in zip(best[:SHOWN], cos[:SHOWN], strict=True)])
             return {"id": cols["id"], "score": s, "evidence": e}
