@@ -33,7 +33,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample of the documents whose tokens have tempered shares of sources, languages and length bands."""
     taken = mixing.mix(docs, source=F.col("source"), lang=F.col("lang"), tokens=mixing.word_tokens(F.col("text")))
-    return taken.select(*docs.columns)
+    return taken.select("row.*")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

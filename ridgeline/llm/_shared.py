@@ -2,34 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import settle  # noqa: F401
+
 #: Rows that Python code takes from an Arrow batch at once, so that its lists stay small.
 SLICE_ROWS = 256
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, else a local one for tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = "/tmp/checkpoints/ridgeline"
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def settle(df: DataFrame, *keys: str) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it back: it cuts lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/ridgeline-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

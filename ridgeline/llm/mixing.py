@@ -98,15 +98,16 @@ def _tempered_wide(cells: DataFrame, s: str) -> DataFrame:
 
 
 def probabilities(docs: DataFrame, *, source: F.Column, lang: F.Column, topic: F.Column | None = None, tokens: F.Column, targets: dict[str, dict[str, float]] | None = None, fraction: float = FRACTION, rounds: int = ROUNDS) -> DataFrame:
-    """docs with __source, __lang, __topic, __tokens and __p, the probability with which a document is to be taken.
+    """row (a struct of the columns of docs), source, lang, topic, tokens and p, the probability of being taken.
 
     targets: for each of source, lang and topic the wanted share of tokens by value; a side left out is tempered. Values
     that targets don't name get probability zero. Null sides are the empty string. fraction is the share of all tokens that is wanted.
     """
-    rows = docs.withColumns({"__tokens": tokens, "__source": F.coalesce(source.cast("string"), F.lit("")), "__lang": F.coalesce(lang.cast("string"), F.lit(""))})
-    rows = rows.withColumn("__topic", length_topic(F.col("__tokens")) if topic is None else F.coalesce(topic.cast("string"), F.lit("")))
-    sides = [F.col(f"__{s}").alias(s) for s in SIDES]
-    cells = settle(rows.select(*sides, "__tokens").groupBy(*SIDES).agg(F.sum("__tokens").alias("tokens")))
+    sides = {"source": F.coalesce(source.cast("string"), F.lit("")), "lang": F.coalesce(lang.cast("string"), F.lit(""))}
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), *[v.alias(k) for k, v in sides.items()], *([] if topic is None else [F.coalesce(topic.cast("string"), F.lit("")).alias("topic")]), tokens.alias("tokens"))
+    if topic is None:
+        rows = rows.withColumn("topic", length_topic(F.col("tokens")))
+    cells = settle(rows.select(*SIDES, "tokens").groupBy(*SIDES).agg(F.sum("tokens").alias("tokens")))
     given, spark = targets or {}, docs.sparkSession
     small = cells.count() <= LOCAL_CELLS
     if small:
@@ -114,21 +115,21 @@ def probabilities(docs: DataFrame, *, source: F.Column, lang: F.Column, topic: F
         f = rake(held, {s: given[s] if s in given else tempered(held, s) for s in SIDES}, rounds)
         t, a = np.array([c["tokens"] for c in held], float), np.array(f)
         c = level(lambda c: (float(t[a * c >= 1].sum()), float((t * a)[a * c < 1].sum()), float(t.sum())), fraction)
-        known = spark.createDataFrame([(*[h[s] for s in SIDES], min(1.0, x * c)) for h, x in zip(held, f, strict=True)], "s_source string, s_lang string, s_topic string, __p double")
+        known = spark.createDataFrame([(*[h[s] for s in SIDES], min(1.0, x * c)) for h, x in zip(held, f, strict=True)], "s_source string, s_lang string, s_topic string, p double")
     else:
         wide = rake_wide(cells, {s: spark.createDataFrame(list(given[s].items()), f"{s} string, share double") if s in given else _tempered_wide(cells, s) for s in SIDES}, rounds)
         full = lambda c: F.col("f") * c >= 1
         total = lambda x: F.coalesce(F.sum(x), F.lit(0)).cast("double")
         c = level(lambda c: tuple(wide.agg(total(F.when(full(c), F.col("tokens"))), total(F.when(~full(c), F.col("tokens") * F.col("f"))), total(F.col("tokens"))).first()), fraction)
-        known = settle(wide.select(*[F.col(s).alias(f"s_{s}") for s in SIDES], F.least(F.lit(1.0), F.col("f") * c).alias("__p")))
-    same = [F.col(f"__{s}") == F.col(f"s_{s}") for s in SIDES]
-    return rows.join(F.broadcast(known) if small else known, same, "left").drop(*[f"s_{s}" for s in SIDES])
+        known = settle(wide.select(*[F.col(s).alias(f"s_{s}") for s in SIDES], F.least(F.lit(1.0), F.col("f") * c).alias("p")))
+    same = [F.col(s) == F.col(f"s_{s}") for s in SIDES]
+    return rows.join(F.broadcast(known) if small else known, same, "left").select("row", *SIDES, "tokens", "p")
 
 
 def mix(docs: DataFrame, *, id_col: str = "doc_id", **how) -> DataFrame:
-    """The rows of docs that the sample takes, with their columns and those of probabilities().
+    """The rows of probabilities() that the sample takes.
 
     Whether a row is taken follows from its id and probability only, so copies of an id are taken together; rows with a
     null id share one number. An empty table gives an empty one.
     """
-    return probabilities(docs, **how).filter(uniform(F.col(id_col)) < F.col("__p"))
+    return probabilities(docs, **how).filter(uniform(F.col("row")[id_col]) < F.col("p"))

@@ -58,9 +58,9 @@ class Model:
 
 
 def fit_rows(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> Model:
-    """Ridge-penalised logistic regression by Newton steps. Without both classes every document gets the same evidence."""
+    """Ridge-penalised logistic regression by Newton steps. Of one class only, every document gets the same evidence; without rows, evidence that keeps it."""
     if not len(x):
-        return Model(np.zeros(len(FEATURES)), np.ones(len(FEATURES)), np.zeros(2 * len(FEATURES) + 1))
+        return Model(np.zeros(len(FEATURES)), np.ones(len(FEATURES)), np.append(np.zeros(2 * len(FEATURES)), 2.0))
     m = Model(x.mean(axis=0), np.maximum(x.std(axis=0), 1e-3), np.zeros(2 * x.shape[1] + 1))
     z = m.rows(x)
     base = (y.sum() + 1) / (len(y) + 2)
@@ -145,7 +145,7 @@ def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
     """One row per row of docs: id, evidence, site_rate, score, kept (score of KEEP or more).
 
     Null hosts and paths are the empty one; null and empty texts have a shape of zeros; null ids and repeated rows keep a
-    row each and count each. No labels: every document has the same evidence.
+    row each and count each. No labels: every document is kept.
     """
     rows = settle(with_evidence(docs, fit(docs, labels, id_col=id_col, text_col=text_col), text_col=text_col, carry=[id_col], host=host, path=path))
     out = posterior(rows, sites(rows))

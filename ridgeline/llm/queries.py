@@ -39,7 +39,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
     taken = mixing.mix(docs, source=F.col("source"), lang=F.col("lang"), tokens=mixing.word_tokens(F.col("text")))
-    return taken.select("doc_id", *[F.col(f"__{c}").alias(c) for c in ("source", "lang", "topic", "tokens")], F.round("__p", 6).alias("probability"))
+    return taken.select(F.col("row")["doc_id"].alias("doc_id"), "source", "lang", "topic", "tokens", F.round("p", 6).alias("probability"))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
