@@ -131,3 +131,31 @@ def concentration(region_map: DataFrame, base: DataFrame, condition: Column) ->
     total = per.agg(F.sum("c").alias("matches"), F.count("*").alias("regions"), F.sum(F.col("c").cast("double") * F.col("c")).alias("squares"))
     h, r = F.col("squares") / (F.col("matches").cast("double") * F.col("matches")), F.col("regions").cast("double")
     return total.select("matches", "regions", F.when((F.col("regions") <= 1) | (F.col("matches") == 0), F.lit(0.0)).otherwise((h - 1 / r) / (1 - 1 / r)).alias("rho"))
+
+
+def calibrate(base: DataFrame, condition: Column, query: list[float], costs: Costs | None = None) -> Costs:
+    """Costs with the seconds that a predicate and a distance take for a row here, from two timed scans.
+
+    The figures depend on machine and load; results of routing do too, if they are used."""
+    import time
+    from dataclasses import replace
+
+    from ..functions.vectors import l2_sqr
+
+    rows = max(1, base.count())
+
+    def seconds(df: DataFrame) -> float:
+        began = time.perf_counter()
+        df.write.format("noop").mode("overwrite").save()
+        return time.perf_counter() - began
+
+    plain = seconds(base.select(F.xxhash64("id")))
+    pred = seconds(base.select(condition))
+    dist = seconds(base.select(l2_sqr(F.col("v"), F.array(*[F.lit(float(x)) for x in query]))))
+    return replace(costs or Costs(), c_pred=max(1e-10, (pred - plain) / rows), c_dist=max(1e-10, (dist - plain) / rows))
+
+
+def means_by_band(samples: DataFrame) -> DataFrame:
+    """(band, mean_visited, n) of samples(sigma, visited, regions): rows visited for each region touched, by selectivity band."""
+    per = samples.groupBy(sigma_band(F.col("sigma")).alias("band")).agg(F.sum("visited").alias("v"), F.sum("regions").alias("r"), F.count("*").alias("n"))
+    return per.select("band", F.when(F.col("r") > 0, F.col("v") / F.col("r")).otherwise(0.0).alias("mean_visited"), "n")
