@@ -12,6 +12,8 @@ from ..session import settle  # noqa: F401
 
 #: Rows that Python code takes from an Arrow batch at once, so that its lists stay small.
 SLICE_ROWS = 256
+#: Bytes of an Arrow batch between Spark and a Python worker: both sides hold one or two at a time.
+BATCH_BYTES = "8m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,7 +21,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def arrow_map(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict[str, list]]], schema: str) -> DataFrame:
-    """Maps slices of rows, as dicts of Python lists, with the function that make() builds once in each task."""
+    """Maps slices of rows, as dicts of Python lists, with the function that make() builds once in each task.
+
+    Sets the session's bound on the bytes of an Arrow batch, so that memory follows neither the rows nor their lengths."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     out = to_arrow(df.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

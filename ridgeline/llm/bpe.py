@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 from ._shared import arrow_map
 
 #: Pieces that each of two generations of a worker's memo keeps with their ids. Results don't depend on it.
-MEMO_PIECES = 150_000
+MEMO_PIECES = 100_000
 #: Pair verdicts that a worker keeps.
-MEMO_PAIRS = 400_000
+MEMO_PAIRS = 200_000
 #: Texts over so many characters are split and hashed piecewise, in groups of so many pieces.
 LONG_TEXT, LONG_GROUP = 1 << 20, 1 << 16
 

@@ -27,7 +27,7 @@ SHARD = 32_768
 #: Homes below which a local tree compares all.
 LEAF = 64
 #: Comparisons made at once.
-BLOCK = 1 << 21
+BLOCK = 1 << 19
 #: Shingles hashed at once.
 SHINGLES = 1 << 15
 
