@@ -29,7 +29,7 @@ def test_each_stage_against_its_own_input(spark, steps):
     labels = spark.read.parquet(f"{DIR}/labels.parquet")
     kept = quality.classify(steps[0], labels, host=F.col("source"), path=F.col("lang")).filter("kept")
     assert ids(steps[1]) == ids(kept) and 0 < steps[1].count() < steps[0].count()
-    near = simhash.near_duplicates(steps[1]).filter("doc_id = component_id")
+    near = simhash.similar_documents(steps[1]).filter("doc_id = component_id")
     assert ids(steps[2]) == ids(near) and steps[2].count() < steps[1].count()
     assert steps[3].count() == steps[2].count()
     scanner = secret_scan.Scanner()

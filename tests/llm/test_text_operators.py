@@ -153,6 +153,40 @@ def test_vantage_point_shards_lose_no_pair(depth):
     assert (got.roots(every) == want.roots(every)).all()
 
 
+def shingles(text):
+    w = (text or "").lower().split()
+    return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+@pytest.mark.parametrize("shard", [1 << 15, 60])
+def test_similar_documents_against_exact_similarity(spark, monkeypatch, shard):
+    """In one shard a band, and in bands divided by the tree."""
+    monkeypatch.setattr(simhash, "SHARD", shard)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = {r["doc_id"]: shingles(r["text"]) for r in docs.collect()}
+    of = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(docs).collect()}
+    assert set(of) == set(rows)
+    ids, best, missed, near = sorted(rows), dict.fromkeys(rows, 0.0), 0, 0
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            if len(rows[a]) * 0.7 <= len(rows[b]) <= len(rows[a]) / 0.7:
+                both = len(rows[a] & rows[b])
+                j = both / (len(rows[a]) + len(rows[b]) - both)
+                best[a], best[b] = max(best[a], j), max(best[b], j)
+                near += j >= 0.8
+                missed += j >= 0.8 and of[a] != of[b]
+                assert j < 0.86 or of[a] == of[b]
+    assert near > 20 and missed <= 0.05 * near
+    assert all(best[i] > 0.7 for i, c in of.items() if c != i)
+
+
+def test_similar_documents_edges(spark):
+    got = simhash.similar_documents(odd(spark, [*TEXTS[:5], "a", "a b"])).collect()
+    of = {r["doc_id"]: r["component_id"] for r in got}
+    assert len(got) == 9 and of[1] == of[2] == of[3] == 1 and of[0] == 0 and of[5] == 5 and of[6] == 6 and of[None] is None
+    assert simhash.similar_documents(odd(spark, ["a"]).filter("false")).count() == 0
+
+
 def brute_secrets(text):
     a = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
     out = [(m.start(), m.end(), "assign") for m in a.finditer(text) if len(m[2]) >= 12]
