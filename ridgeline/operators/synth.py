@@ -137,13 +137,13 @@ def graded_range(centroids: DataFrame, key: Column) -> DataFrame:
     return centroids.select(F.col("id").alias("cid"), ((F.row_number().over(n) - 1) / F.greatest(F.lit(1), total - 1)).alias("grade"))
 
 
-def cluster_columns(base: DataFrame, *, c: int = 64, labels: int = 10, gamma: float = 0.9, seed: int = 0, compact: bool = False) -> DataFrame:
+def cluster_columns(base: DataFrame, *, c: int = 64, labels: int = 10, gamma: float = 0.9, seed: int = 0, compact: bool = False, iters: int = 6) -> DataFrame:
     """id, cf_anti, cf_anti2, cf_quad, cf_cat, cf_range, cf_arange and the texts cf_text, cf_text_s, all tied to clusters."""
     i = F.col("id")
     spark = base.sparkSession
 
     def clusters(k: int) -> tuple[DataFrame, DataFrame]:
-        cents, own = kmeans(base, c, seed=seed * 2 + k)
+        cents, own = kmeans(base, c, seed=seed * 2 + k, iters=iters)
         return cents, own.withColumnRenamed("cid", f"k{k}")
 
     (c1, a1), (_, a7), (_, a2), (c3, a3), (c4, a4) = (clusters(k) for k in (1, 7, 2, 3, 4))

@@ -345,12 +345,12 @@ def synthetic_columns(spark, d):
 
 @query()
 def cluster_columns(spark, d):
-    return synth.cluster_columns(X.settled_base(spark, d), c=16, labels=5, compact=True)
+    return synth.cluster_columns(X.settled_base(spark, d), c=16, labels=5, compact=True, iters=2)
 
 
 @query()
 def kmeans(spark, d):
-    return synth.kmeans(X.settled_base(spark, d), 16)[1]
+    return synth.kmeans(X.settled_base(spark, d), 16, iters=4)[1]
 
 
 # --- graph and regions ------------------------------------------------------------------------------------------------
