@@ -40,8 +40,19 @@ def shared_dir(spark: SparkSession) -> str:
     return (found or "/tmp/checkpoints/ridgeline").rstrip("/")
 
 
+def own_dir(spark: SparkSession) -> str:
+    """The part of the shared folder that this application writes to."""
+    return f"{shared_dir(spark)}/ridgeline-{spark.sparkContext.applicationId}"
+
+
+def sweep(spark: SparkSession) -> None:
+    """Removes all settled tables of this application. Results that weren't read or written yet are lost with them."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own_dir(spark))
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Writes df into the shared folder and reads it back: short lineage that survives a lost executor."""
-    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    path = f"{own_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,6 +1,6 @@
 import pytest
 
-from ridgeline.session import local_session
+from ridgeline.session import local_session, sweep
 
 
 @pytest.fixture(scope="session")
@@ -8,4 +8,5 @@ def spark():
     s = local_session(8, partitions=4, memory="6g", name="tests")
     s.sparkContext.setLogLevel("ERROR")
     yield s
+    sweep(s)
     s.stop()

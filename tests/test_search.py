@@ -108,3 +108,11 @@ def test_empty_tables(spark, tiny):
     assert knn.exact_topk(base.filter("false"), q, 3).count() == 0
     assert knn.exact_topk(base, q.filter("false"), 3).count() == 0
     assert graph.nodes(base.filter("false")).count() == 0
+
+
+def test_settled_tables(spark):
+    from ridgeline.session import own_dir, settle
+
+    assert "/ridgeline-" in own_dir(spark)
+    df = settle(spark.range(3).filter("id > 5"))
+    assert df.count() == 0 and df.schema["id"].dataType.simpleString() == "bigint"
