@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 from ._shared import arrow_map
 
 #: Pieces that each of two generations of a worker's memo keeps with their ids. Results don't depend on it.
-MEMO_PIECES = 100_000
-#: Pair verdicts that a worker keeps.
-MEMO_PAIRS = 200_000
+MEMO_PIECES = 150_000
+#: Pair verdicts that a worker keeps, by the right token.
+MEMO_PAIRS = 300_000
 #: Texts over so many characters are split and hashed piecewise, in groups of so many pieces.
 LONG_TEXT, LONG_GROUP = 1 << 20, 1 << 16
 
@@ -42,7 +42,8 @@ class PrefixBPE:
         self.longest = max(map(len, ranks))
         self.spot = None  # made when first used, as it isn't pickled
         self._split: dict[int, tuple[int, int] | None | bool] = {}
-        self._pairs: dict[tuple[int, int], bool] = {}
+        self._pairs: dict[int, dict[int, bool]] = {t: {} for t in self.bytes_of}
+        self._known = 0
         self.memo = _Memo(self)
         self.bytes_of_text = {str(i): b for i, b in self.bytes_of.items()}
 
@@ -88,11 +89,14 @@ class PrefixBPE:
         Merges inside a and b happen by rank; the two stay apart unless, at some moment, the last part of a and the
         first part of b have a concatenation of lower rank than the merges that are due next to them (on a tie the
         left one goes first)."""
-        found = self._pairs.get((a, b))
+        found = self._pairs[b].get(a)
         if found is None:
-            if len(self._pairs) >= MEMO_PAIRS:
-                self._pairs.clear()
-            found = self._pairs[a, b] = self._beside(a, b)
+            if self._known >= MEMO_PAIRS:
+                self._known = 0
+                for row in self._pairs.values():
+                    row.clear()
+            found = self._pairs[b][a] = self._beside(a, b)
+            self._known += 1
         return found
 
     def _beside(self, a: int, b: int) -> bool:
@@ -133,7 +137,7 @@ class PrefixBPE:
             if end == have:
                 if n <= end:
                     a = last[end - n]
-                    ok = pairs.get((a, t))
+                    ok = pairs[t].get(a)
                     if not (beside(a, t) if ok is None else ok):
                         continue
                 last.append(t)
@@ -162,12 +166,42 @@ class PrefixBPE:
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
+    def learn(self, pieces: Iterable[str]) -> None:
+        """Puts unknown pieces into the memo. Taken in order, each is the one before with its end changed, so it keeps the
+        last tokens of the prefixes that both have."""
+        memo, older, ranks = self.memo.of(), self.memo.older, self.ranks
+        before, last = b"", []
+        for piece in sorted(p for p in pieces if p not in memo):
+            if (known := older.get(piece)) is not None:
+                memo[piece] = known
+                continue
+            raw = piece.encode()
+            if (whole := ranks.get(raw)) is not None:
+                memo[piece] = str(whole)
+            elif len(piece) < 64:
+                same = 0
+                for x, y in zip(before, raw):  # noqa: B905
+                    if x != y:
+                        break
+                    same += 1
+                last = self.extend(raw, last[:same])
+                before = raw
+                memo[piece] = " ".join(map(str, self.walk(last)))
+
+    def digests(self, texts: list[str]) -> list[tuple[int, str, str]]:
+        """For each text the number of ids, hex SHA-256 of the ids' text and of the bytes decoded from it."""
+        split = [self.pattern.findall(t) if len(t) <= LONG_TEXT else None for t in texts]
+        self.learn(set().union(*(x for x in split if x)))
+        return [self._long_digest(t) if x is None else self._of(" ".join(map(self.memo.__getitem__, x))) for t, x in zip(texts, split, strict=True)]
+
     def digest(self, text: str) -> tuple[int, str, str]:
-        """Number of ids, hex SHA-256 of the ids' text and of the bytes decoded from it."""
-        if len(text) <= LONG_TEXT:
-            s = self.ids_text(text)
-            ids = s.split(" ") if s else []
-            return len(ids), hashlib.sha256(s.encode()).hexdigest(), hashlib.sha256(b"".join(map(self.bytes_of_text.__getitem__, ids))).hexdigest()
+        return self.digests([text])[0]
+
+    def _of(self, s: str) -> tuple[int, str, str]:
+        ids = s.split(" ") if s else []
+        return len(ids), hashlib.sha256(s.encode()).hexdigest(), hashlib.sha256(b"".join(map(self.bytes_of_text.__getitem__, ids))).hexdigest()
+
+    def _long_digest(self, text: str) -> tuple[int, str, str]:
         n, of_ids, of_bytes = 0, hashlib.sha256(), hashlib.sha256()
         pieces = (m.group() for m in self.pattern.finditer(text))
         while group := list(islice(pieces, LONG_GROUP)):
@@ -289,16 +323,10 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc
         coder = coder_for(held.value, pattern)
 
         def work(cols: dict[str, list]) -> dict[str, list]:
-            n, ids, back, lists = [], [], [], []
-            for text in cols["text"]:
-                a, b, c = coder.digest(text or "")
-                n.append(a)
-                ids.append(b)
-                back.append(c)
-                if with_ids:
-                    lists.append(np.array(coder.ids_text(text or "").split(), dtype=np.int32))
-            out = {"id": cols["id"], "n_tokens": n, "ids_sha256": ids, "decoded_sha256": back}
-            return out | {"ids": lists} if with_ids else out
+            texts = [t or "" for t in cols["text"]]
+            found = coder.digests(texts)
+            out = {"id": cols["id"]} | {k: [x[i] for x in found] for i, k in enumerate(("n_tokens", "ids_sha256", "decoded_sha256"))}
+            return out | {"ids": [np.array(coder.ids_text(t).split(), dtype=np.int32) for t in texts]} if with_ids else out
 
         return work
 
