@@ -24,6 +24,8 @@ MEMO_PIECES = 150_000
 MEMO_PAIRS = 300_000
 #: Texts over so many characters are split and hashed piecewise, in groups of so many pieces.
 LONG_TEXT, LONG_GROUP = 1 << 20, 1 << 16
+#: Characters of texts that are split at once.
+TOGETHER = 1 << 19
 
 
 def parse_ranks(data: bytes) -> dict[bytes, int]:
@@ -190,9 +192,18 @@ class PrefixBPE:
 
     def digests(self, texts: list[str]) -> list[tuple[int, str, str]]:
         """For each text the number of ids, hex SHA-256 of the ids' text and of the bytes decoded from it."""
-        split = [self.pattern.findall(t) if len(t) <= LONG_TEXT else None for t in texts]
-        self.learn(set().union(*(x for x in split if x)))
-        return [self._long_digest(t) if x is None else self._of(" ".join(map(self.memo.__getitem__, x))) for t, x in zip(texts, split, strict=True)]
+        out: list[tuple[int, str, str]] = []
+        at = 0
+        while at < len(texts):
+            upto, chars = at, 0
+            while upto < len(texts) and (upto == at or chars + len(texts[upto]) <= TOGETHER):
+                chars += len(texts[upto])
+                upto += 1
+            split = [self.pattern.findall(t) if len(t) <= LONG_TEXT else None for t in texts[at:upto]]
+            self.learn(set().union(*(x for x in split if x)))
+            out += [self._long_digest(t) if x is None else self._of(" ".join(map(self.memo.__getitem__, x))) for t, x in zip(texts[at:upto], split, strict=True)]
+            at = upto
+        return out
 
     def digest(self, text: str) -> tuple[int, str, str]:
         return self.digests([text])[0]
