@@ -13,10 +13,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import arrow_map, settle, to_arrow
+from ._shared import BATCH_BYTES, arrow_map, settle, to_arrow
 from .components import components
 
 SEED = 42
@@ -37,12 +37,15 @@ def fingerprint(text: str | None, width: int = 4) -> int:
     words = (text or "").encode().lower().split()
     if not words:
         return 0
-    total, n = _bit_counts(words, width, 64, lambda raw: np.frombuffer(raw, np.uint8).reshape(-1, 8))
+    total, n = np.zeros(64, np.int64), 0
+    for raw in _digests(words, width):
+        _add_bits(total, np.frombuffer(raw, np.uint8).reshape(-1, 8))
+        n += len(raw) // 8
     return int.from_bytes(np.packbits(total * 2 > n).tobytes(), "big")
 
 
-def _bit_counts(words: list[bytes], width: int, bits: int, expand) -> tuple[np.ndarray, int]:
-    """How many of the shingles' hashes have each bit, and how many shingles there are."""
+def _digests(words: list[bytes], width: int) -> Iterator[bytes]:
+    """Eight bytes for each shingle, repeats included, SHINGLES at a time."""
     import xxhash
 
     line = b" ".join(words)
@@ -52,13 +55,15 @@ def _bit_counts(words: list[bytes], width: int, bits: int, expand) -> tuple[np.n
     ends = starts + sizes
     first, last = starts[:n].tolist(), ends[min(width, len(words)) - 1 :].tolist()
     digest = xxhash.xxh64_digest
-    total = np.zeros(bits, np.int64)
     for at in range(0, n, SHINGLES):
-        raw = b"".join([digest(line[a:b], SEED) for a, b in zip(first[at : at + SHINGLES], last[at : at + SHINGLES], strict=True)])
-        ones = np.unpackbits(expand(raw), axis=1)
-        for k in range(0, len(ones), 255):  # so few that bytes hold the sums
-            total += ones[k : k + 255].sum(axis=0, dtype=np.uint8)
-    return total, n
+        yield b"".join([digest(line[a:b], SEED) for a, b in zip(first[at : at + SHINGLES], last[at : at + SHINGLES], strict=True)])
+
+
+def _add_bits(total: np.ndarray, hashes: np.ndarray) -> None:
+    """Adds to total how many of the rows of bytes have each bit."""
+    ones = np.unpackbits(hashes, axis=1)
+    for k in range(0, len(ones), 255):  # so few that bytes hold the sums
+        total += ones[k : k + 255].sum(axis=0, dtype=np.uint8)
 
 
 #: Words of a long fingerprint.
@@ -66,21 +71,29 @@ LONG_WORDS = 16
 _ODD = np.array([(2 * k + 1) * 0x9E3779B97F4A7C15 % 2**64 for k in range(LONG_WORDS)], np.uint64)
 
 
-def _spread(raw: bytes) -> np.ndarray:
+def _spread(hashes: np.ndarray) -> np.ndarray:
     """Each 64-bit hash as LONG_WORDS words, by multiplying and mixing."""
-    h = np.frombuffer(raw, ">u8").astype(np.uint64)[:, None] * _ODD[None, :] + _ODD[None, ::-1]
+    h = hashes[:, None] * _ODD[None, :] + _ODD[None, ::-1]
     for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
         h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
     return (h ^ (h >> np.uint64(31))).view(np.uint8)
 
 
-def long_fingerprint(text: str | None, width: int) -> tuple[int, bytes]:
-    """Number of shingles and a SimHash of 64 LONG_WORDS bits; no words: 0 and zero bits."""
+def shingle_set(text: str | None, width: int) -> np.ndarray:
+    """Hashes of a text's distinct shingles in ascending order; no words: none."""
     words = (text or "").encode().lower().split()
-    if not words:
-        return 0, bytes(8 * LONG_WORDS)
-    total, n = _bit_counts(words, width, 64 * LONG_WORDS, _spread)
-    return n, np.packbits(total * 2 > n).tobytes()
+    return np.unique(np.frombuffer(b"".join(_digests(words, width)), ">u8").astype(np.uint64)) if words else np.zeros(0, np.uint64)
+
+
+def long_fingerprint(text: str | None, width: int) -> tuple[int, bytes, bytes]:
+    """Number of distinct shingles, a digest of their set, and a SimHash of 64 LONG_WORDS bits; no words: 0 and zero bits."""
+    import xxhash
+
+    hashes = shingle_set(text, width)
+    total = np.zeros(64 * LONG_WORDS, np.int64)
+    for at in range(0, len(hashes), SHINGLES):
+        _add_bits(total, _spread(hashes[at : at + SHINGLES]))
+    return len(hashes), xxhash.xxh3_128_digest(hashes.tobytes()), np.packbits(total * 2 > len(hashes)).tobytes()
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
@@ -243,62 +256,129 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 # --- documents of a wanted similarity ---------------------------------------------------------------------------------
 
-#: Bits of the first 64 by which similar texts may differ: 0.8 differs in 9.7 on average, deviation 2.9.
-FIRST_RADIUS = 17
-
-
-def long_radius(similarity: float) -> int:
-    """Bits of a long fingerprint in which texts of that Jaccard similarity differ on average: those of the angle between their counts."""
-    return round(64 * LONG_WORDS * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+#: Bits by which candidates may differ: of 64, of the first 128 and of all. Sets of a Jaccard similarity of 0.8 differ in a
+#: share of 0.1875 at most (4 shingles of 5; of many shingles 0.152), so these lie six deviations above; unlike ones in a half.
+DEAL_RADIUS, FIRST_RADIUS, LONG_RADIUS = 31, 51, 267
+#: The similarity that those bounds are made for.
+LEAST_SIMILARITY = 0.8
+#: Shingles whose sets are compared in one task, and how many each text counts for besides its own.
+CHUNK, TEXT_COST = 1 << 20, 256
 
 
 def link_similar(words: np.ndarray, sizes: np.ndarray, homes: int, similarity: float) -> np.ndarray:
-    """Root index of each row of words (long fingerprints); the first ones are homes, the others visitors.
+    """Root index of each row of words (long fingerprints), candidates united; the first ones are homes, the others visitors.
 
-    Sizes bound the similarity, the first word finds candidates, the whole fingerprint decides."""
-    forest, radius = Forest(len(words)), long_radius(similarity)
+    Sizes bound the similarity; two words of the fingerprint, then all of it, find candidates."""
+    forest = Forest(len(words))
     order = np.argsort(sizes, kind="stable")
     sorted_sizes = sizes[order]
     mine = order[order < homes]
-    first = np.ascontiguousarray(words[:, 0])
+    first = np.ascontiguousarray(words[:, :2].T)
     at = 0
     while at < len(mine):
         low = sizes[mine[at]] * similarity
         step = 256
         block = mine[at : at + step]
-        other = order[np.searchsorted(sorted_sizes, low, "left") : np.searchsorted(sorted_sizes, sizes[block[-1]] / similarity, "right")]
+        other = order[np.searchsorted(sorted_sizes, low - 1e-6, "left") : np.searchsorted(sorted_sizes, sizes[block[-1]] / similarity + 1e-6, "right")]
         for k in range(0, len(other), max(1, BLOCK // len(block))):
             some = other[k : k + max(1, BLOCK // len(block))]
-            i, j = np.nonzero(np.bitwise_count(first[block][:, None] ^ first[some][None, :]) <= FIRST_RADIUS)
+            far = np.bitwise_count(first[0][block][:, None] ^ first[0][some][None, :])
+            far += np.bitwise_count(first[1][block][:, None] ^ first[1][some][None, :])
+            i, j = np.nonzero(far <= FIRST_RADIUS)
             a, b = block[i], some[j]
-            fit = (a != b) & (np.minimum(sizes[a], sizes[b]) >= similarity * np.maximum(sizes[a], sizes[b]))
+            fit = (a != b) & (np.minimum(sizes[a], sizes[b]) >= similarity * np.maximum(sizes[a], sizes[b]) - 1e-6)
             a, b = a[fit], b[fit]
-            near = np.bitwise_count(words[a] ^ words[b]).sum(axis=1) <= radius
-            forest.union(a[near], b[near])
+            for at_pair in range(0, len(a), BLOCK // LONG_WORDS):
+                x, y = a[at_pair : at_pair + BLOCK // LONG_WORDS], b[at_pair : at_pair + BLOCK // LONG_WORDS]
+                near = np.bitwise_count(words[x] ^ words[y]).sum(axis=1, dtype=np.int64) <= LONG_RADIUS
+                forest.union(x[near], y[near])
         at += step
     return forest.roots(np.arange(len(words)))
 
 
+def link_exact(sets: list[np.ndarray], homes: int, similarity: float) -> np.ndarray:
+    """Root index of each set of hashes, those of the Jaccard similarity or more united; the first ones are homes, the others visitors.
+
+    Pairs that are united already aren't compared."""
+    forest, sizes = Forest(len(sets)), np.array([len(s) for s in sets], np.int64)
+    values, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    codes, has = np.split(codes.astype(np.int32), np.cumsum(sizes)[:-1]), np.zeros(len(values), np.uint8)
+    for i in range(homes):
+        later = np.arange(i + 1, len(sets))
+        fit = np.minimum(sizes[later], sizes[i]) >= similarity * np.maximum(sizes[later], sizes[i]) - 1e-6
+        roots = forest.roots(np.arange(len(sets)))
+        later = later[fit & (roots[later] != roots[i])]
+        if not len(later):
+            continue
+        has[codes[i]] = 1
+        both = np.add.reduceat(has[np.concatenate([codes[j] for j in later])], np.concatenate(([0], np.cumsum(sizes[later])[:-1])), dtype=np.int64)
+        has[codes[i]] = 0
+        near = later[both >= similarity * (sizes[i] + sizes[later] - both) - 1e-6]
+        forest.union(np.full(len(near), i), near)
+    return forest.roots(np.arange(len(sets)))
+
+
+def confirmed(rows: DataFrame, candidates: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Edges (a, b) of forests that span the links of exact similarity among rows(id, text) inside candidates(id, component).
+
+    A component's texts are cut by size into chunks of bounded shingles, and every two chunks meet in a task."""
+    spark = rows.sparkSession
+
+    def make():
+        def work(cols: dict[str, list]) -> dict[str, list]:
+            found = [shingle_set(t, width) for t in cols["text"]]
+            return {"component": cols["component"], "id": cols["id"], "n": [len(x) for x in found], "hashes": [x.tobytes() for x in found]}
+
+        return work
+
+    sets = arrow_map(rows.join(candidates, "id").select("component", "id", "text"), make, "component bigint, id bigint, n bigint, hashes binary").filter("n > 0")
+    sets = sets.withColumn("kind", F.xxhash64("hashes"))
+    order = Window.partitionBy("component").orderBy("n", "id", "kind")
+    again = (F.lag("id").over(order) == F.col("id")) & (F.lag("kind").over(order) == F.col("kind")) & (F.lag("hashes").over(order) == F.col("hashes"))
+    sets = sets.withColumn("again", F.coalesce(again, F.lit(False)))
+    cost = F.when(F.col("again"), 0).otherwise(F.col("n") + TEXT_COST)
+    sets = sets.withColumn("before", F.sum(cost).over(order.rowsBetween(Window.unboundedPreceding, 0)) - cost)
+    sets = settle(sets.filter(~F.col("again")).select("component", "id", "hashes", F.floor(F.col("before") / CHUNK).cast("int").alias("chunk")))
+    chunks = sets.groupBy("component").agg(F.max("chunk").alias("last"))
+    sets = sets.join(chunks, "component")
+    home = sets.select("component", F.col("chunk").alias("i"), F.explode(F.sequence("chunk", "last")).alias("j"), F.lit(False).alias("guest"), "id", "hashes")
+    guest = sets.filter("chunk > 0").select("component", F.explode(F.sequence(F.lit(0), F.col("chunk") - 1)).alias("i"), F.col("chunk").alias("j"), F.lit(True).alias("guest"), "id", "hashes")
+
+    def compare(part: pa.Table) -> pa.Table:
+        part = part.take(pa.array(np.argsort(np.asarray(part.column("guest").to_numpy(), np.int8), kind="stable")))
+        # Homes meet each other as well in every pair of chunks; that costs no more than the pair itself.
+        ids, homes = part.column("id").to_numpy(), int((~np.asarray(part.column("guest").to_numpy(), bool)).sum())
+        roots = link_exact([np.frombuffer(x, np.uint64) for x in part.column("hashes").to_pylist()], homes, similarity)
+        own = np.arange(len(roots)) != roots
+        return pa.table({"a": pa.array(ids[own], pa.int64()), "b": pa.array(ids[roots[own]], pa.int64())})
+
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return home.union(guest).groupBy("component", "i", "j").applyInArrow(compare, "a bigint, b bigint")
+
+
 def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row per row of docs: id and component_id (smallest id reachable) over texts of the similarity or more.
 
-    Similarity is that of the texts' shingles, as their fingerprints of 1024 bits show it (deviation about 0.02). Texts are
-    dealt by number of shingles, in bands as wide as the similarity allows sizes to differ, and visit the band below;
-    bands with more than a shard's worth are divided by the vantage-point tree. Null and empty texts are one group. Null
-    ids keep a row of null component unless a row with an id has the same fingerprint; repeated rows are one document.
+    Similarity is the Jaccard similarity of the texts' sets of shingles, each counted once. Fingerprints of 1024 bits find
+    candidates by bounds that similar texts keep but for about one pair in 10^8; of every link the sets themselves decide.
+    Texts are dealt by number of shingles, in bands as wide as the similarity allows sizes to differ, and visit the band
+    below; bands with more than a shard's worth are divided by the vantage-point tree. Null and empty texts are one group.
+    Null ids keep a row of null component unless a row with an id has the same shingles; repeated rows are one document.
     """
+    if similarity < LEAST_SIMILARITY:
+        raise ValueError(f"similarity must be {LEAST_SIMILARITY} or more")
     spark = docs.sparkSession
 
     def make():
         def work(cols: dict[str, list]) -> dict[str, list]:
             found = [long_fingerprint(t, width) for t in cols["text"]]
-            return {"id": cols["id"], "n": [x[0] for x in found], "fp": [x[1] for x in found]}
+            return {"id": cols["id"], "n": [x[0] for x in found], "key": [x[1] for x in found], "fp": [x[2] for x in found]}
 
         return work
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    fps = settle(arrow_map(rows, make, "id bigint, n bigint, fp binary"))
-    groups = settle(fps.filter("id is not null").groupBy("fp", "n").agg(F.min("id").alias("id")))
+    fps = settle(arrow_map(rows, make, "id bigint, n bigint, key binary, fp binary"))
+    groups = settle(fps.filter("id is not null").groupBy("key", "fp", "n").agg(F.min("id").alias("id")))
     wide = float(-np.log(similarity))
     band = F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / wide).cast("int")
     most = groups.groupBy(band.alias("band")).agg(F.count("*").alias("k")).agg(F.max("k")).first()[0] or 0
@@ -312,7 +392,7 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         for batch in batches:
             first = np.array([int.from_bytes(x.as_buffer().to_pybytes()[:8], "little") for x in batch.column("fp")], np.uint64)
             for below, visit_all in ((0, False), (1, True)):
-                for leaf, home, guest in deal(tree, first, FIRST_RADIUS, visit_all=visit_all):
+                for leaf, home, guest in deal(tree, first, DEAL_RADIUS, visit_all=visit_all):
                     at = np.concatenate((home, guest))
                     if len(at):
                         bands = batch.column("band").to_numpy()[at] - below
@@ -327,6 +407,7 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         return pa.table({"a": pa.array(ids[own], pa.int64()), "b": pa.array(ids[roots[own]], pa.int64())})
 
     dealt = groups.select(band.alias("band"), "id", "n", "fp").mapInArrow(route, schema)
-    parts = components(dealt.groupBy("band", "leaf").applyInArrow(join, "a bigint, b bigint"), "a", "b")
-    named = settle(groups.join(parts, "id", "left").select(F.col("fp").alias("k_fp"), F.col("n").alias("k_n"), F.coalesce("component", "id").alias("component_id")))
-    return fps.join(named, (fps["fp"] == named["k_fp"]) & (fps["n"] == named["k_n"]), "left").select(F.col("id").alias(id_col), "component_id")
+    candidates = components(dealt.groupBy("band", "leaf").applyInArrow(join, "a bigint, b bigint"), "a", "b")
+    parts = components(confirmed(rows, candidates, width, similarity), "a", "b")
+    named = settle(groups.join(parts, "id", "left").select("key", F.coalesce("component", "id").alias("component_id")))
+    return fps.join(named, "key", "left").select(F.col("id").alias(id_col), "component_id")

@@ -187,6 +187,24 @@ def test_similar_documents_edges(spark):
     assert simhash.similar_documents(odd(spark, ["a"]).filter("false")).count() == 0
 
 
+def test_similar_documents_by_sets_of_shingles(spark, monkeypatch):
+    """Repeats of a line neither link texts nor part them; short texts link from 0.8 on; chunks of a component all meet."""
+    monkeypatch.setattr(simhash, "CHUNK", 2000)
+    words = lambda name, n: " ".join(f"{name}{k}" for k in range(n))
+    line = words("line", 10) + " "
+    texts = [line * 10 + words(f"own{k}x", 104) for k in range(40)]
+    texts += [words("same", 100), words("same", 100).upper(), words("four", 8), words("four", 9)]
+    base = " ".join(["r"] * 5 + [words("w", 24)] * 2)
+    texts += [base, base + " " + " ".join([words("w", 24)] * 10)]
+    long = words("long", 500).split()
+    texts += [" ".join(long[:k] + [f"new{k}"] + long[k + 1 :]) for k in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    of = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(docs).collect()}
+    assert [of[k] for k in range(40)] == list(range(40))
+    assert of[41] == 40 and of[43] == 42 and of[45] == 44
+    assert {of[k] for k in range(46, 86)} == {46}
+
+
 def brute_secrets(text):
     a = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
     out = [(m.start(), m.end(), "assign") for m in a.finditer(text) if len(m[2]) >= 12]
