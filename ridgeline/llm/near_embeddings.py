@@ -2,8 +2,8 @@
 
 Exact copies are one vector with a multiplicity. A shard holds a bounded number of distinct vectors of one label; its
 graph is searched by its own vectors and by those of every earlier shard of the label. A query whose beam is full of
-links is widened to the whole shard; audits compare some queries with brute force and widen all beams until nothing is
-missed. Cosines are verified in double precision. Counts leave a task, never pairs within a group.
+links is widened to the whole shard; audits compare the links and the nearest vectors of some queries, which all have the
+latter, with brute force and widen all beams until nothing is missed. Cosines are verified in double precision. Counts leave a task, never pairs within a group.
 """
 
 from __future__ import annotations
@@ -18,8 +18,8 @@ from .components import components
 from .hnsw import TOGETHER, Graph
 from .simhash import Forest
 
-#: Distinct vectors of a shard; beam to begin with; queries that an audit holds against brute force.
-SHARD, BEAM, AUDIT = 4096, 32, 64
+#: Distinct vectors of a shard; beam to begin with; queries that an audit holds against brute force, and nearest vectors of each.
+SHARD, BEAM, AUDIT, NEAREST = 4096, 32, 64, 10
 #: Slack for single precision while searching, before the exact check.
 SLACK = 1e-4
 
@@ -51,11 +51,22 @@ def found_links(graph: Graph, exact: np.ndarray, queries: np.ndarray, threshold:
         good &= ~((a == b) if own else np.zeros(len(a), bool))
         return a[good], b[good]
 
+    def nearest_found() -> bool:
+        """Whether the graph finds the nearest vectors of every audited query, links or not: links may be too few to show a loss."""
+        cos = queries[sample] @ exact.T
+        if own:
+            cos[np.arange(len(sample)), sample] = -2
+        k = min(NEAREST, len(exact) - own)
+        least = np.partition(cos, len(exact) - k, axis=1)[:, len(exact) - k]
+        ids, _ = graph.search(queries[sample].astype(np.float32), beam, own=sample if own else None)
+        found = np.where(ids >= 0, np.take_along_axis(cos, np.maximum(ids, 0), 1), -2)
+        return bool(((found >= least[:, None]).sum(axis=1) >= k).all())
+
     while beam < len(exact):
         a, b = search(sample)
         x, y = np.nonzero(queries[sample] @ exact.T >= threshold)
         true = int((sample[x] != y).sum()) if own else len(x)
-        if len(a) >= true:
+        if len(a) >= true and nearest_found():
             break
         beam *= 2
     for at in range(0, n, TOGETHER):

@@ -45,6 +45,22 @@ def test_near_duplicates_match_brute_force(spark, clustered, monkeypatch, size):
     assert got == {i: (n, c, i == c) for i, (n, c) in want.items()}
 
 
+def test_audit_sees_a_loss_where_links_are_sparse():
+    """No audited query has a link, and the graph finds next to nothing: the only link must still be found."""
+
+    class Blind:
+        def search(self, q, beam, own=None):
+            return np.broadcast_to(np.where(np.arange(beam) == 0, 0, -1), (len(q), beam)), np.full((len(q), beam), -2.0)
+
+    rng = np.random.default_rng(3)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    x, q = unit(rng.standard_normal((200, 64))), unit(rng.standard_normal((1000, 64)))
+    assert 5 not in np.linspace(0, 999, near_embeddings.AUDIT).astype(int)
+    q[5] = x[57]
+    found = [p for a, b in near_embeddings.found_links(Blind(), x, q, 0.98, own=False) for p in zip(a.tolist(), b.tolist(), strict=True)]
+    assert found == [(5, 57)]
+
+
 def test_near_duplicates_edges(spark):
     rows = [(1, [1.0, 0.0], 1), (2, [2.0, 0.0], 1), (3, [1.0, 0.0], 2), (4, [1.0, 0.0], None), (5, None, 1), (6, [0.0, 0.0], 1), (7, [1.0, None], 1), (8, [float("nan"), 1.0], 1), (9, [INF, 0.0], 1), (10, [], 1), (11, [1.0, 0.0, 0.0], 1), (12, [1.0, 0.0], 1), (12, [1.0, 0.0], 1), (None, [1.0, 0.0], 1)]
     got = {r["vec_id"]: tuple(r)[1:] for r in near_embeddings.near_duplicates(frame(spark, rows)).collect()}
