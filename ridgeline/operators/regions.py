@@ -61,7 +61,7 @@ def region_rho_hat(base: DataFrame, region_map: DataFrame) -> DataFrame:
 def transparent_frontier(adjacency: DataFrame, empty: DataFrame, start: DataFrame, max_hops: int = 64) -> DataFrame:
     """(start, region): regions that are not empty and are reached from start(region) through empty regions only.
 
-    empty(region). Every hop adds regions not seen before; it ends when there are none."""
+    empty(region). Every hop adds regions not seen before; it ends when there are none, and raises if max_hops don't do."""
     seen = settle(start.select(F.col("region").alias("start"), "region").distinct())
     edge = adjacency.select(F.col("r_src").alias("region"), F.col("r_dst").alias("next")).distinct()
     front = seen
@@ -73,4 +73,6 @@ def transparent_frontier(adjacency: DataFrame, empty: DataFrame, start: DataFram
         if front.isEmpty():
             break
         seen = settle(seen.union(front))
+    else:
+        raise RuntimeError("the frontier did not settle")
     return seen.filter("start <> region").join(empty.select("region"), "region", "left_anti").select("start", "region")

@@ -116,3 +116,12 @@ def test_settled_tables(spark):
     assert "/ridgeline-" in own_dir(spark)
     df = settle(spark.range(3).filter("id > 5"))
     assert df.count() == 0 and df.schema["id"].dataType.simpleString() == "bigint"
+
+
+def test_transparent_frontier_raises_at_its_bound(spark):
+    """A chain of empty regions that is longer than the hops allowed is not cut in silence."""
+    chain = spark.createDataFrame([(i, i + 1) for i in range(5)], "r_src int, r_dst int")
+    empty, start = spark.createDataFrame([(i,) for i in range(1, 5)], "region int"), spark.createDataFrame([(0,)], "region int")
+    assert [tuple(r) for r in regions.transparent_frontier(chain, empty, start, max_hops=8).collect()] == [(0, 5)]
+    with pytest.raises(RuntimeError):
+        regions.transparent_frontier(chain, empty, start, max_hops=3)
