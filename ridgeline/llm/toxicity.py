@@ -1,16 +1,20 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine, found with block-max inverted indexes.
 
 Terms are lower-case words, their first four and five letters, and such beginnings that make up a certain share of a
-text's words, as a stem that is harmless once may not be so in every line. The terms kept are those that occur in toxic
-and in other examples at clearly different rates; their document frequencies are counted over all documents. Examples
-lie in blocks; for every term and block the largest weight is known, which bounds the cosine that the block can hold, so that
-blocks are opened best bound first until no other can hold one of the k nearest. Votes weighted by nearness give a raw
-score, which a logistic curve, fitted on the examples' own scores with each left out, turns into a probability.
+text's words, as a stem that is harmless once may not be so in every line. Every term of every example is indexed; labels
+choose none of them. Document frequencies are counted over all documents, and a text's norm takes in all its terms: one
+that no example has weighs as a term of no document.
+
+Examples lie in blocks of like ones. For every term and block the largest weight is known, which bounds the cosine that
+the block can hold, so blocks are opened best bound first until no other can hold one of the nearest. Votes
+weighted by nearness give a raw score, which a logistic curve, fitted on the examples' own scores with each left out,
+turns into a probability.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 
 import numpy as np
@@ -19,123 +23,217 @@ from pyspark.sql import functions as F
 
 from ._shared import arrow_map, key_crc, settle
 
-#: Bounds of the fitted model: examples of each class (the first by hash), terms kept.
-TOXIC, CLEAN, TERMS = 3000, 5000, 4096
-#: How unlike the classes' rates of a term must be (G statistic, about 25 for one chance in two million).
-LEAST_G = 25.0
-#: And by which factor one class's rate must exceed the other's, so that words common to both stay out.
-LEAST_LIFT = 6.0
+#: Bounds of the fitted model: examples of each class, the first by hash.
+TOXIC, CLEAN = 1500, 1500
 #: Neighbours, examples of a block, neighbours shown as evidence, weight of the prior among the votes.
-NEIGHBOURS, BLOCK, SHOWN, PRIOR = 15, 128, 3, 0.3
+NEIGHBOURS, BLOCK, SHOWN, PRIOR = 150, 128, 3, 0.05
+#: Examples round which the others are gathered, so that a block's are alike.
+CENTRES = 12
+#: A term that one example in so many has keeps its weights in a dense row rather than in postings.
+DENSE_ROW = 16
+#: Terms unknown to the index that a worker remembers between texts.
+REMEMBERED = 300_000
 THRESHOLD = 0.7
 WORDS = re.compile(r"[^\W\d_]+")
-
-
-#: Shares of a text's words, in thousandths, from which on a beginning that occurs more than once gives a term of its own.
-DENSE = (5, 10, 20, 40)
-
-
-def dense_terms(start: str, n: int, words: int) -> list[str]:
-    return [f"{start}{k}" for k in DENSE if n > 1 and 1000 * n >= k * words]
+#: Letters of a beginning, and the shares of a text's words, in thousandths, from which on one that occurs more than once gives a term of its own.
+STARTS, DENSE = (4, 5), (5, 10, 20, 40)
 
 
 def terms_of(text: str) -> Counter:
-    out: Counter = Counter()
+    """Every term of a text and how often it occurs."""
     words = WORDS.findall(text.lower())
-    starts: Counter = Counter()
-    for w, n in Counter(words).items():
-        out[w] += n
-        for k in (4, 5):
+    out, starts = Counter(words), Counter()
+    for w, n in out.items():
+        for k in STARTS:
             if len(w) > k:
                 starts[w[:k] + "*"] += n
     out.update(starts)
     for s, n in starts.items():
-        for t in dense_terms(s, n, len(words)):
-            out[t] = 1
+        out.update({f"{s}{k}": 1 for k in DENSE if n > 1 and 1000 * n >= k * len(words)})
     return out
 
 
-class Terms:
-    """Numbers of kept terms, and their counts in a text: what terms_of() gives of them, without counting the others."""
+class Terms(dict):
+    """Numbers of known terms in many texts at once: the same as terms_of(), without making each term's string.
+
+    As a dict it holds the row that a word has in self.words, which is made where the word is new."""
 
     def __init__(self, vocabulary: list[str]):
-        self.number = {t: k for k, t in enumerate(vocabulary)}
-        self.sought = frozenset(re.sub(r"\*\d+$", "*", t) for t in vocabulary)
-
-    def counts(self, text: str) -> dict[int, int]:
-        sought, number = self.sought, self.number
-        words = WORDS.findall(text.lower())
-        hits = {w: [t for t in (w, w[:4] + "*" if len(w) > 4 else "", w[:5] + "*" if len(w) > 5 else "") if t in sought] for w in set(words) if w in sought or w[:4] + "*" in sought or w[:5] + "*" in sought}
-        found: dict[str, int] = {}
-        for w in filter(hits.__contains__, words) if hits else ():
-            for t in hits[w]:
-                found[t] = found.get(t, 0) + 1
-        out = {number[t]: n for t, n in found.items() if t in number}
-        for s, n in found.items():
-            if s[-1] == "*" and n > 1:
-                out |= {number[t]: 1 for t in dense_terms(s, n, len(words)) if t in number}
-        return out
+        super().__init__()
+        self.known = {t: k for k, t in enumerate(vocabulary)}
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.begun: dict[str, int] = {}
+        #: Of each word its term and the rows of its beginnings; of each beginning its terms; -1 where there is none.
+        self.words, self.starts = array("i"), array("i")
+
+    def __missing__(self, w: str) -> int:
+        row = self[w] = len(self)
+        self.words.append(self.known.get(w, -1))
+        for k in STARTS:
+            start = -1
+            if len(w) > k:
+                s = w[:k] + "*"
+                start = self.begun.get(s, -1)
+                if start < 0:
+                    start = self.begun[s] = len(self.begun)
+                    self.starts.extend([self.known.get(s, -1), *[self.known.get(f"{s}{d}", -1) for d in DENSE]])
+            self.words.append(start)
+        return row
+
+    def entries(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, term, count) of every term of every text; term -1: not known."""
+        if len(self) > REMEMBERED:
+            self.forget()
+        rows: list[int] = []
+        counts: list[int] = []
+        sizes, lengths = [], []
+        for text in texts:
+            words = WORDS.findall(text.lower())
+            found = Counter(words)
+            rows.extend(map(self.__getitem__, found))
+            counts.extend(found.values())
+            sizes.append(len(found))
+            lengths.append(len(words))
+        at, n = np.repeat(np.arange(len(texts)), sizes), np.array(counts, np.int64)
+        held = np.array(self.words, np.int32).reshape(-1, 1 + len(STARTS))[np.array(rows, np.int64)]
+        out = [(at, held[:, 0], n)]
+        some = [held[:, k] >= 0 for k in range(1, 1 + len(STARTS))]
+        key = np.concatenate([at[x] * len(self.begun) + held[x, k + 1] for k, x in enumerate(some)])
+        if len(key):
+            order = np.argsort(key)
+            key, n = key[order], np.concatenate([n[x] for x in some])[order]
+            first = np.nonzero(np.diff(key, prepend=-1))[0]
+            n = np.add.reduceat(n, first)
+            at, start = np.divmod(key[first], len(self.begun))
+            terms, share = np.array(self.starts, np.int32).reshape(-1, 1 + len(DENSE))[start], np.array(lengths)[at]
+            out.append((at, terms[:, 0], n))
+            for k, d in enumerate(DENSE):
+                x = np.nonzero((n > 1) & (1000 * n >= d * share))[0]
+                out.append((at[x], terms[x, k + 1], np.ones(len(x), np.int64)))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 class Index:
-    """Examples as unit TF-IDF vectors: postings by term, cut at blocks, with each block's largest weight."""
-
-    def __init__(self, vocabulary: list[str], idf: np.ndarray, examples: list[dict[int, int]], labels: np.ndarray, ids: np.ndarray, prior: float):
-        self.terms = Terms(vocabulary)
-        self.idf, self.labels, self.ids, self.prior = idf, labels, ids, prior
-        self.blocks = -(-len(examples) // BLOCK)
-        term, place, weight = [], [], []
-        for i, e in enumerate(examples):
-            t, w = self.vector(e)
-            term.append(t)
-            place.append(np.full(len(t), i))
-            weight.append(w)
-        none = [np.zeros(0, int)]
-        term, place, weight = np.concatenate(term or none).astype(int), np.concatenate(place or none).astype(int), np.concatenate(weight or [np.zeros(0)]).astype(float)
+    """Examples as unit TF-IDF vectors over all their terms, in blocks, with each block's largest weight by term.
+
+    vocabulary: every term of the examples; df: documents with each; docs: all documents; counts: one dict of term numbers an example."""
+
+    def __init__(self, vocabulary: list[str], df: np.ndarray, docs: float, counts: list[dict[int, int]], labels: np.ndarray, ids: np.ndarray, prior: float):
+        self.vocabulary = vocabulary
+        self.idf = np.log((1 + docs) / (1 + np.minimum(df, docs))) + 1
+        self.unknown = np.log(1 + docs) + 1
+        self.prior, self.curve = prior, (0.0, 1.0)
+        at = np.repeat(np.arange(len(counts)), [len(c) for c in counts])
+        term, n = (np.array([v for c in counts for v in part(c)], np.int64) for part in (dict.keys, dict.values))
+        weight = self.weights(at, term, n, len(counts))
+        #: Which of counts each example is.
+        self.order = order = self._alike(at, term, weight, len(counts))
+        self.labels, self.ids = labels[order], ids[order]
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        self._store(rank[at], term, weight)
+
+    def weights(self, at: np.ndarray, term: np.ndarray, n: np.ndarray, texts: int) -> np.ndarray:
+        """Unit TF-IDF weights of entries."""
+        w = (1 + np.log(n)) * np.where(term >= 0, self.idf[term] if len(self.idf) else 0.0, self.unknown)
+        size = np.sqrt(np.bincount(at, w * w, texts))
+        return w / np.where(size > 0, size, 1)[at]
+
+    def _alike(self, at, term, weight, n: int) -> np.ndarray:
+        """Order of examples in which alike ones follow each other: by nearest of a few centres that are unlike each other."""
+        best, near = np.full(n, -1.0), np.zeros(n, np.int64)
+        begin = np.searchsorted(at, np.arange(n + 1))
+        for c in range(CENTRES if n else 0):
+            centre = int(np.argmin(best))
+            row = np.zeros(len(self.idf))
+            row[term[begin[centre] : begin[centre + 1]]] = weight[begin[centre] : begin[centre + 1]]
+            cos = np.bincount(at, weight * row[term], n)
+            near, best = np.where(cos > best, c, near), np.maximum(cos, best)
+        return np.lexsort((np.arange(n), -best, near))
+
+    def _store(self, place, term, weight) -> None:
+        v, n = len(self.idf), len(self.labels)
+        self.blocks = -(-n // BLOCK)
+        common = np.bincount(term, minlength=v) * DENSE_ROW > n
+        self.row = np.where(common, np.cumsum(common) - 1, -1)
+        thick = common[term]
+        self.dense = np.zeros((int(common.sum()), n))
+        self.dense[self.row[term[thick]], place[thick]] = weight[thick]
+        edges = np.arange(0, n, BLOCK)
+        self.most = np.maximum.reduceat(self.dense, edges, axis=1) if n else np.zeros((0, 0))
+        place, term, weight = place[~thick], term[~thick], weight[~thick]
         order = np.lexsort((place, term))
-        term, self.place, self.weight = term[order], place[order].astype(np.int32), weight[order]
-        edge = np.arange(self.blocks + 1) * BLOCK
-        begin = np.searchsorted(term, np.arange(len(vocabulary) + 1))
-        self.cut = np.stack([begin[k] + np.searchsorted(self.place[begin[k] : begin[k + 1]], edge) for k in range(len(vocabulary))]).astype(np.int32) if vocabulary else np.zeros((0, self.blocks + 1), np.int32)
-        self.most = np.zeros((len(vocabulary), self.blocks), np.float32)
-        np.maximum.at(self.most, (term, self.place // BLOCK), np.nextafter(self.weight.astype(np.float32), np.float32(2)))
-        self.empty = np.array([not e for e in examples], bool)
-        self.curve = (0.0, 1.0)
-
-    def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        t = np.array(sorted(counts), int)
-        w = (1 + np.log([counts[k] for k in t])) * self.idf[t] if len(t) else np.zeros(0)
-        size = np.sqrt((w * w).sum())
-        return t, w / size if size > 0 else w
-
-    def nearest(self, counts: dict[int, int], k: int = NEIGHBOURS, leave: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of greatest cosine above zero, ties to the first: (numbers, cosines). leave: one left out."""
-        t, w = self.vector(counts)
-        if not len(t) or not self.blocks:
-            return np.zeros(0, int), np.zeros(0)
-        bound = (w @ self.most[t]) * (1 + 1e-6)
-        best, cos = np.zeros(0, int), np.zeros(0)
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or (len(best) == k and bound[b] < cos[-1]):
-                break
-            score = np.zeros(BLOCK)
-            for x, y, q in zip(self.cut[t, b], self.cut[t, b + 1], w, strict=True):
-                if y > x:
-                    score[self.place[x:y] - b * BLOCK] += q * self.weight[x:y]
-            some = np.nonzero(score > 0)[0]
-            some = some[some + b * BLOCK != leave]
-            best, cos = np.concatenate((best, some + b * BLOCK)), np.concatenate((cos, score[some]))
-            top = np.lexsort((best, -cos))[:k]
-            best, cos = best[top], cos[top]
-        return best, cos
-
-    def vote(self, best: np.ndarray, cos: np.ndarray) -> float:
-        w = cos**4
-        return float(((w * self.labels[best]).sum() + PRIOR * self.prior) / (w.sum() + PRIOR))
-
-    def calibrate(self, examples: list[dict[int, int]], weights: np.ndarray) -> None:
-        """Fits the logistic curve to the raw scores of the examples, each left out, by weighted Newton steps."""
-        raw = np.array([self.vote(*self.nearest(e, leave=i)) for i, e in enumerate(examples)])
+        self.place, self.weight = place[order].astype(np.int32), weight[order]
+        self.cut = np.searchsorted(term[order], np.arange(v + 1))
+
+    def cosines(self, at: np.ndarray, term: np.ndarray, weight: np.ndarray, texts: int, k: int) -> np.ndarray:
+        """Cosines of texts to examples; -1 where the example's block was left closed, as it can't hold one of the k nearest.
+
+        Postings of the rarer terms are added up first. What they give in a block at most and the largest weights of the
+        common terms there bound the block; each text opens its blocks best bound first, half of those left at a time."""
+        n = len(self.labels)
+        known = term >= 0
+        at, term, weight = at[known], term[known], weight[known]
+        out = np.full((texts, n), -1.0)
+        if not len(at) or not n:
+            return out
+        thick = self.row[term] >= 0
+        asked = np.zeros((texts, len(self.dense)))
+        asked[at[thick], self.row[term[thick]]] = weight[thick]
+        at, term, weight = at[~thick], term[~thick], weight[~thick]
+        begin, size = self.cut[term], self.cut[term + 1] - self.cut[term]
+        flat = np.arange(size.sum()) + np.repeat(begin - (np.cumsum(size) - size), size)
+        rare = np.bincount(np.repeat(at * n, size) + self.place[flat], self.weight[flat] * np.repeat(weight, size), texts * n).reshape(texts, n)
+        bound = (np.maximum.reduceat(rare, np.arange(0, n, BLOCK), axis=1) + asked @ self.most) * (1 + 1e-9)
+        closed, kth = bound > 0, np.full(texts, -1.0)
+        while True:
+            closed &= bound >= kth[:, None]
+            left = closed.sum(axis=1)
+            if not left.any():
+                return out
+            order = np.argsort(np.where(closed, -bound, 1), axis=1, kind="stable")
+            turn = np.zeros_like(closed)
+            np.put_along_axis(turn, order, np.arange(self.blocks) < -(-left[:, None] // 2), axis=1)
+            for b in np.nonzero(turn.any(axis=0))[0]:
+                some, part = np.nonzero(turn[:, b])[0], slice(b * BLOCK, (b + 1) * BLOCK)
+                out[some, part] = rare[some, part] + asked[some] @ self.dense[:, part]
+            closed &= ~turn
+            if n > k:
+                kth = np.partition(out, n - k, axis=1)[:, n - k]
+
+    def nearest(self, at, term, weight, texts: int, *, k: int = NEIGHBOURS, leave: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Of each text the k examples of greatest cosine above zero and one more, ties to the first: (numbers, cosines), 0 where there are no more.
+
+        leave: an example that each text leaves out."""
+        take = min(len(self.labels), k + 1)
+        cos = self.cosines(at, term, weight, texts, k + 1 + (leave is not None))
+        if leave is not None:
+            cos[np.arange(texts), leave] = -1
+        if not take:
+            return np.zeros((texts, 0), np.int64), np.zeros((texts, 0))
+        # Sums of the same products differ in the last digits by the order of summing.
+        cos = np.round(np.maximum(cos, 0), 12)
+        best = np.argsort(-cos, axis=1, kind="stable")[:, :take]
+        return best, np.take_along_axis(cos, best, 1)
+
+    def vote(self, best: np.ndarray, cos: np.ndarray, k: int = NEIGHBOURS) -> np.ndarray:
+        """Share of toxic examples among the k nearest, weighted by how much nearer each is than the next one after them."""
+        rest = cos[:, k] if cos.shape[1] > k else np.zeros(len(cos))
+        w = np.maximum(cos[:, :k] - rest[:, None], 0)
+        base = self.labels.mean() if len(self.labels) else 0.5
+        return ((w * self.labels[best[:, :k]]).sum(axis=1) + PRIOR * base) / (w.sum(axis=1) + PRIOR)
+
+    def calibrate(self, counts: list[dict[int, int]], weights: np.ndarray) -> None:
+        """Fits the logistic curve to the raw scores of the examples (counts as they were given), each left out, by weighted Newton steps."""
+        raw = np.zeros(len(self.order))
+        for at in range(0, len(raw), BLOCK):
+            some = [counts[i] for i in self.order[at : at + BLOCK]]
+            x = np.repeat(np.arange(len(some)), [len(c) for c in some])
+            t, n = (np.array([v for c in some for v in part(c)], np.int64) for part in (dict.keys, dict.values))
+            raw[at : at + len(some)] = self.vote(*self.nearest(x, t, self.weights(x, t, n, len(some)), len(some), leave=np.arange(at, at + len(some))))
         x, y, (a, b) = raw - 0.5, self.labels.astype(float), (0.0, 4.0)
         for _ in range(60):
             p = 1 / (1 + np.exp(-(a + b * x)))
@@ -146,16 +244,24 @@ class Index:
             a, b = a - np.clip(step[0], -2, 2), max(0.0, b - np.clip(step[1], -2, 2))
         self.curve = (float(a), float(b))
 
-    def score(self, best: np.ndarray, cos: np.ndarray) -> float:
+    def score(self, best: np.ndarray, cos: np.ndarray) -> np.ndarray:
         a, b = self.curve
-        return float(1 / (1 + np.exp(-(a + b * (self.vote(best, cos) - 0.5)))))
+        return 1 / (1 + np.exp(-(a + b * (self.vote(best, cos) - 0.5))))
+
+    def judge(self, terms: Terms, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Scores of texts, their nearest examples and cosines."""
+        at, term, n = terms.entries(texts)
+        order = np.argsort(at, kind="stable")
+        at, term, n = at[order], term[order], n[order]
+        best, cos = self.nearest(at, term, self.weights(at, term, n, len(texts)), len(texts))
+        return self.score(best, cos), best, cos
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train: F.Column | None = None) -> Index:
-    """Fits an index on at most TOXIC and CLEAN labelled rows for which train holds (none given: all).
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train: F.Column | None = None, toxic: int = TOXIC, clean: int = CLEAN) -> Index:
+    """Fits an index on at most so many labelled documents of each class for which train holds (none given: all).
 
-    A document labelled more than once counts as toxic if one of its labels says so. Without labelled documents the
-    index is empty and every score is one half.
+    A document labelled more than once counts as toxic if one of its labels says so; of several texts of an id the least
+    one is the example. Without labelled documents the index is empty and every score is one half.
     """
     spark = docs.sparkSession
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).filter("id is not null and y in (0, 1)")
@@ -164,93 +270,66 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     known = settle(known.groupBy("id").agg(F.max("y").alias("y")))
     total = known.agg(F.count("*").alias("n"), F.sum("y").alias("t")).first()
     pick = lambda y, n: known.filter(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(n)
-    chosen = pick(1, TOXIC).union(pick(0, CLEAN))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    examples = settle(rows.join(F.broadcast(chosen), "id").select("id", "y", F.coalesce("text", F.lit("")).alias("text")))
+    chosen = pick(1, toxic).union(pick(0, clean))
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    examples = rows.join(F.broadcast(chosen), "id").groupBy("id").agg(F.max("y").alias("y"), F.min("text").alias("text"))
 
-    def count_terms():
+    def look():
         def work(cols):
-            out: dict[str, list[int]] = {}
-            for text, y in zip(cols["text"], cols["y"], strict=True):
-                for t in terms_of(text):
-                    out.setdefault(t, [0, 0])[y] += 1
-            return {"term": list(out), "c": [v[0] for v in out.values()], "t": [v[1] for v in out.values()]}
+            found = [terms_of(x) for x in cols["text"]]
+            return {"id": cols["id"], "y": cols["y"], "terms": ["\n".join(f) for f in found], "n": [np.array(list(f.values()), np.int32).tobytes() for f in found]}
 
         return work
 
-    n = {r["y"]: r["n"] for r in examples.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    c_all, t_all = float(n.get(0, 0)), float(n.get(1, 0))
-    rates = arrow_map(examples, count_terms, "term string, c bigint, t bigint").groupBy("term").agg(F.sum("c").alias("c"), F.sum("t").alias("t"))
-    whole = c_all + t_all
-    part = lambda o, e: F.when(F.col(o) > 0, F.col(o) * F.log(F.col(o) / e)).otherwise(0.0)
-    rates = rates.withColumn("nt", F.lit(t_all) - F.col("t")).withColumn("nc", F.lit(c_all) - F.col("c")).withColumn("has", F.col("t") + F.col("c")).withColumn("not", F.col("nt") + F.col("nc"))
-    g = 2 * (part("t", F.col("has") * t_all / whole) + part("c", F.col("has") * c_all / whole) + part("nt", F.col("not") * t_all / whole) + part("nc", F.col("not") * c_all / whole)) if t_all and c_all else F.lit(0.0)
-    t_rate, c_rate = (F.col("t") + 0.5) / (t_all + 1), (F.col("c") + 0.5) / (c_all + 1)
-    unlike = (t_rate >= LEAST_LIFT * c_rate) | (c_rate >= LEAST_LIFT * t_rate)
-    vocabulary = [r["term"] for r in rates.withColumn("g", g).filter((F.col("g") >= LEAST_G) & unlike).orderBy(F.desc("g"), "term").limit(TERMS).select("term").collect()]
-
-    held = spark.sparkContext.broadcast(vocabulary)
+    kind = docs.schema[id_col].dataType.simpleString()
+    got = sorted(arrow_map(examples, look, f"id {kind}, y int, terms string, n binary").collect(), key=lambda r: r["id"])
+    named = [r["terms"].split("\n") if r["terms"] else [] for r in got]
+    vocabulary = sorted(set().union(*named))
+    held = spark.sparkContext.broadcast("\n".join(vocabulary))
 
     def count_documents():
-        terms = Terms(held.value)
+        terms = Terms(held.value.split("\n") if held.value else [])
 
         def work(cols):
-            n = np.zeros(len(terms.number) + 1, np.int64)
-            for text in cols["text"]:
-                n[list(terms.counts(text or ""))] += 1
-            n[-1] = len(cols["text"])
+            _, term, _ = terms.entries([x or "" for x in cols["text"]])
+            n = np.bincount(term + 1, minlength=1)
+            n[0] = len(cols["text"])
             some = np.nonzero(n)[0]
-            return {"term": some.tolist(), "n": n[some].tolist()}
+            return {"term": some - 1, "n": n[some]}
 
         return work
 
-    counted = arrow_map(docs.select(F.col(text_col).alias("text")), count_documents, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    counted = arrow_map(docs.select(F.col(text_col).alias("text")), count_documents, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
     df = np.zeros(len(vocabulary) + 1)
-    for r in counted:
-        df[r["term"]] = r["n"]
-    idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
-
-    def look():
-        terms = Terms(held.value)
-
-        def work(cols):
-            found = [terms.counts(x) for x in cols["text"]]
-            return {"id": cols["id"], "y": cols["y"], "term": [list(f) for f in found], "n": [list(f.values()) for f in found]}
-
-        return work
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    got = arrow_map(examples, look, f"id {kind}, y int, term array<int>, n array<int>").collect()
-    got.sort(key=lambda r: (-len(r["term"]), r["id"]))
-    vectors = [dict(zip(r["term"], r["n"], strict=True)) for r in got]
+    df[counted["term"].to_numpy()] = counted["n"].to_numpy()
+    number = {t: k for k, t in enumerate(vocabulary)}
+    counts = [dict(zip([number[t] for t in ts], np.frombuffer(r["n"], np.int32).tolist(), strict=True)) for ts, r in zip(named, got, strict=True)]
     y, ids = np.array([r["y"] for r in got], int), np.array([r["id"] for r in got])
     prior = (total["t"] or 0) / total["n"] if total["n"] else 0.5
-    index = Index(vocabulary, idf, vectors, y, ids, prior)
+    index = Index(vocabulary, df[:-1], df[-1], counts, y, ids, prior)
     if len(got):
         share = np.array([(1 - prior) / max(1, (y == 0).sum()), prior / max(1, (y == 1).sum())])  # undoes the unlike bounds of the classes
-        index.calibrate(vectors, share[y] * len(got))
+        index.calibrate(counts, share[index.labels] * len(got))
     return index
 
 
 def score(docs: DataFrame, index: Index, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, score (0 to 1), evidence (nearest examples: doc_id, similarity, toxic).
 
-    Null and empty texts, and those without a known term, get the score of the prior and no evidence. Rows are kept as
-    often as they occur, null ids too; texts are read whole.
+    Null and empty texts, and those that share no term with an example, get the score of the prior and no evidence. Rows
+    are kept as often as they occur, null ids too; texts are read whole.
     """
     held = docs.sparkSession.sparkContext.broadcast(index)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def make():
         index = held.value
+        terms = Terms(index.vocabulary)
 
         def work(cols):
-            s, e = [], []
-            for text in cols["text"]:
-                best, cos = index.nearest(index.terms.counts(text or ""))
-                s.append(index.score(best, cos))
-                e.append([{"doc_id": index.ids[i].item(), "similarity": float(c), "toxic": int(index.labels[i])} for i, c in zip(best[:SHOWN], cos[:SHOWN], strict=True)])
-            return {"id": cols["id"], "score": s, "evidence": e}
+            scores, best, cos = index.judge(terms, [x or "" for x in cols["text"]])
+            shown = [[{"doc_id": index.ids[i].item(), "similarity": c, "toxic": int(index.labels[i])} for i, c in zip(b, cs, strict=True) if c > 0] for b, cs in zip(best[:, :SHOWN], cos[:, :SHOWN].tolist(), strict=True)]
+            return {"id": cols["id"], "score": scores, "evidence": shown}
 
         return work
 
