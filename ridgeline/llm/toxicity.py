@@ -31,6 +31,8 @@ NEIGHBOURS, BLOCK, SHOWN, PRIOR = 150, 128, 3, 0.05
 CENTRES = 12
 #: A term that one example in so many has keeps its weights in a dense row rather than in postings.
 DENSE_ROW = 16
+#: Postings added up at once.
+POSTINGS = 1 << 18
 #: Terms unknown to the index that a worker remembers between texts.
 REMEMBERED = 300_000
 THRESHOLD = 0.7
@@ -119,22 +121,27 @@ class Terms(dict):
 class Index:
     """Examples as unit TF-IDF vectors over all their terms, in blocks, with each block's largest weight by term.
 
-    vocabulary: every term of the examples; df: documents with each; docs: all documents; counts: one dict of term numbers an example."""
+    vocabulary: every term of the examples; df: documents with each; docs: all documents; (at, term, n): terms of each
+    example and how often it has them, in order of examples."""
 
-    def __init__(self, vocabulary: list[str], df: np.ndarray, docs: float, counts: list[dict[int, int]], labels: np.ndarray, ids: np.ndarray, prior: float):
+    def __init__(self, vocabulary: list[str], df: np.ndarray, docs: float, at: np.ndarray, term: np.ndarray, n: np.ndarray, labels: np.ndarray, ids: np.ndarray, prior: float):
         self.vocabulary = vocabulary
         self.idf = np.log((1 + docs) / (1 + np.minimum(df, docs))) + 1
         self.unknown = np.log(1 + docs) + 1
         self.prior, self.curve = prior, (0.0, 1.0)
-        at = np.repeat(np.arange(len(counts)), [len(c) for c in counts])
-        term, n = (np.array([v for c in counts for v in part(c)], np.int64) for part in (dict.keys, dict.values))
-        weight = self.weights(at, term, n, len(counts))
-        #: Which of counts each example is.
-        self.order = order = self._alike(at, term, weight, len(counts))
+        weight = self.weights(at, term, n, len(labels))
+        order = self._alike(at, term, weight, len(labels))
         self.labels, self.ids = labels[order], ids[order]
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
-        self._store(rank[at], term, weight)
+        place = rank[at]
+        order = np.argsort(place, kind="stable")
+        place, term, weight = place[order], term[order], weight[order]
+        self._store(place, term, weight)
+        if len(labels):
+            toxic = self.labels.sum()
+            share = np.array([(1 - prior) / max(1, len(labels) - toxic), prior / max(1, toxic)])  # undoes the unlike bounds of the classes
+            self.calibrate(place, term, weight, share[self.labels] * len(labels))
 
     def weights(self, at: np.ndarray, term: np.ndarray, n: np.ndarray, texts: int) -> np.ndarray:
         """Unit TF-IDF weights of entries."""
@@ -185,8 +192,14 @@ class Index:
         asked[at[thick], self.row[term[thick]]] = weight[thick]
         at, term, weight = at[~thick], term[~thick], weight[~thick]
         begin, size = self.cut[term], self.cut[term + 1] - self.cut[term]
-        flat = np.arange(size.sum()) + np.repeat(begin - (np.cumsum(size) - size), size)
-        rare = np.bincount(np.repeat(at * n, size) + self.place[flat], self.weight[flat] * np.repeat(weight, size), texts * n).reshape(texts, n)
+        rare, upto, x = np.zeros((texts, n)), np.cumsum(size), 0
+        while x < len(at):
+            y = max(x + 1, int(np.searchsorted(upto, upto[x] - size[x] + POSTINGS, "right")))
+            part, first = slice(x, y), at[x]
+            flat = np.arange(size[part].sum()) + np.repeat(begin[part] - (upto[part] - size[part] - (upto[x] - size[x])), size[part])
+            some = rare[first : at[y - 1] + 1]
+            some += np.bincount(np.repeat((at[part] - first) * n, size[part]) + self.place[flat], self.weight[flat] * np.repeat(weight[part], size[part]), some.size).reshape(some.shape)
+            x = y
         bound = (np.maximum.reduceat(rare, np.arange(0, n, BLOCK), axis=1) + asked @ self.most) * (1 + 1e-9)
         closed, kth = bound > 0, np.full(texts, -1.0)
         while True:
@@ -226,19 +239,20 @@ class Index:
         base = self.labels.mean() if len(self.labels) else 0.5
         return ((w * self.labels[best[:, :k]]).sum(axis=1) + PRIOR * base) / (w.sum(axis=1) + PRIOR)
 
-    def calibrate(self, counts: list[dict[int, int]], weights: np.ndarray) -> None:
-        """Fits the logistic curve to the raw scores of the examples (counts as they were given), each left out, by weighted Newton steps."""
-        raw = np.zeros(len(self.order))
-        for at in range(0, len(raw), BLOCK):
-            some = [counts[i] for i in self.order[at : at + BLOCK]]
-            x = np.repeat(np.arange(len(some)), [len(c) for c in some])
-            t, n = (np.array([v for c in some for v in part(c)], np.int64) for part in (dict.keys, dict.values))
-            raw[at : at + len(some)] = self.vote(*self.nearest(x, t, self.weights(x, t, n, len(some)), len(some), leave=np.arange(at, at + len(some))))
+    def calibrate(self, at: np.ndarray, term: np.ndarray, weight: np.ndarray, shares: np.ndarray) -> None:
+        """Fits the logistic curve to the raw scores of the examples, each left out, by weighted Newton steps.
+
+        (at, term, weight): the examples' unit vectors, in order; shares: what each example counts for."""
+        raw = np.zeros(len(self.labels))
+        for first in range(0, len(raw), BLOCK):
+            last = min(len(raw), first + BLOCK)
+            some = slice(*np.searchsorted(at, (first, last)))
+            raw[first:last] = self.vote(*self.nearest(at[some] - first, term[some], weight[some], last - first, leave=np.arange(first, last)))
         x, y, (a, b) = raw - 0.5, self.labels.astype(float), (0.0, 4.0)
         for _ in range(60):
             p = 1 / (1 + np.exp(-(a + b * x)))
-            g = np.array([(weights * (p - y)).sum(), (weights * (p - y) * x).sum() + 1e-2 * b])
-            v = weights * p * (1 - p)
+            g = np.array([(shares * (p - y)).sum(), (shares * (p - y) * x).sum() + 1e-2 * b])
+            v = shares * p * (1 - p)
             h = np.array([[v.sum() + 1e-6, (v * x).sum()], [(v * x).sum(), (v * x * x).sum() + 1e-2]])
             step = np.linalg.solve(h, g)
             a, b = a - np.clip(step[0], -2, 2), max(0.0, b - np.clip(step[1], -2, 2))
@@ -283,8 +297,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
 
     kind = docs.schema[id_col].dataType.simpleString()
     got = sorted(arrow_map(examples, look, f"id {kind}, y int, terms string, n binary").collect(), key=lambda r: r["id"])
-    named = [r["terms"].split("\n") if r["terms"] else [] for r in got]
-    vocabulary = sorted(set().union(*named))
+    names: set[str] = set()
+    for r in got:
+        names.update(r["terms"].split("\n") if r["terms"] else ())
+    vocabulary = sorted(names)
     held = spark.sparkContext.broadcast("\n".join(vocabulary))
 
     def count_documents():
@@ -303,14 +319,12 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     df = np.zeros(len(vocabulary) + 1)
     df[counted["term"].to_numpy()] = counted["n"].to_numpy()
     number = {t: k for k, t in enumerate(vocabulary)}
-    counts = [dict(zip([number[t] for t in ts], np.frombuffer(r["n"], np.int32).tolist(), strict=True)) for ts, r in zip(named, got, strict=True)]
+    n = [np.frombuffer(r["n"], np.int32) for r in got]
+    at = np.repeat(np.arange(len(got), dtype=np.int32), [len(x) for x in n])
+    term = np.fromiter((number[t] for r in got if r["terms"] for t in r["terms"].split("\n")), np.int32, len(at))
     y, ids = np.array([r["y"] for r in got], int), np.array([r["id"] for r in got])
     prior = (total["t"] or 0) / total["n"] if total["n"] else 0.5
-    index = Index(vocabulary, df[:-1], df[-1], counts, y, ids, prior)
-    if len(got):
-        share = np.array([(1 - prior) / max(1, (y == 0).sum()), prior / max(1, (y == 1).sum())])  # undoes the unlike bounds of the classes
-        index.calibrate(counts, share[index.labels] * len(got))
-    return index
+    return Index(vocabulary, df[:-1], df[-1], at, term, np.concatenate([*n, np.zeros(0, np.int32)]), y, ids, prior)
 
 
 def score(docs: DataFrame, index: Index, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
