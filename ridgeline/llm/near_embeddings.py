@@ -1,9 +1,9 @@
 """Near-duplicate embeddings: small-world graphs per shard, every shard queried, cosine verified, components united.
 
 Exact copies are one vector with a multiplicity. A shard holds a bounded number of distinct vectors of one label; its
-graph is searched by its own vectors and by those of every earlier shard of the label. A query whose beam is full of
-links is widened to the whole shard; audits compare the links and the nearest vectors of some queries, which all have the
-latter, with brute force and widen all beams until nothing is missed. Cosines are verified in double precision. Counts leave a task, never pairs within a group.
+graph is searched by its own vectors and by those of every earlier shard of the label. The recall audit counts every
+query's links, as a rare link is in no sample: a query whose beam found fewer searches again with a beam twice as wide,
+until none misses a link. Cosines are verified in double precision. Counts leave a task, never pairs within a group.
 """
 
 from __future__ import annotations
@@ -18,59 +18,52 @@ from .components import components
 from .hnsw import TOGETHER, Graph
 from .simhash import Forest
 
-#: Distinct vectors of a shard; beam to begin with; queries that an audit holds against brute force, and nearest vectors of each.
-SHARD, BEAM, AUDIT, NEAREST = 4096, 32, 64, 10
+#: Distinct vectors of a shard; beam to begin with.
+SHARD, BEAM = 8192, 32
 #: Slack for single precision while searching, before the exact check.
 SLACK = 1e-4
 
 
-def found_links(graph: Graph, exact: np.ndarray, queries: np.ndarray, threshold: float, own: bool):
-    """Yields (query rows, index rows) that link, a part at a time, once an audit has found none missing.
+def found_links(graph: Graph, exact: np.ndarray, queries: np.ndarray, threshold: float, own: bool, beam: int = BEAM):
+    """Yields (query rows, index rows) that link, a part at a time; every query's beam widens until the audit finds none missing.
 
     exact and queries: unit vectors in double precision; own: the queries are the index's rows, in its order."""
-    n = len(queries)
-    beam = BEAM
-    sample = np.unique(np.linspace(0, n - 1, min(n, AUDIT)).astype(int))
-
-    def search(rows: np.ndarray):
-        if beam >= len(exact):
-            full = np.ones(len(rows), bool)
-            a, b = np.zeros(0, int), np.zeros(0, int)
-        else:
+
+    def search(rows: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+        if beam < len(exact):
             ids, sims = graph.search(queries[rows].astype(np.float32), beam, own=rows if own else None)
-            near = (sims >= threshold - SLACK) & (ids >= 0)
-            full = near.all(axis=1)
-            a, b = np.nonzero(near & ~full[:, None])
-            b = ids[a, b]
-        if full.any():
-            wide = np.nonzero(full)[0]
-            x, y = np.nonzero(queries[rows[wide]] @ exact.T >= threshold - SLACK)
-            a, b = np.concatenate((a, wide[x])), np.concatenate((b, y))
-        a = rows[a]
-        good = np.einsum("ij,ij->i", queries[a], exact[b]) >= threshold
-        good &= ~((a == b) if own else np.zeros(len(a), bool))
+            a, place = np.nonzero((sims >= threshold - SLACK) & (ids >= 0))
+            a, b = rows[a], ids[a, place]
+        else:
+            a, b = np.nonzero(queries[rows] @ exact.T >= threshold - SLACK)
+            a = rows[a]
+        good = cosines(queries, exact, a, b) >= threshold
+        if own:
+            good &= a != b
         return a[good], b[good]
 
-    def nearest_found() -> bool:
-        """Whether the graph finds the nearest vectors of every audited query, links or not: links may be too few to show a loss."""
-        cos = queries[sample] @ exact.T
-        if own:
-            cos[np.arange(len(sample)), sample] = -2
-        k = min(NEAREST, len(exact) - own)
-        least = np.partition(cos, len(exact) - k, axis=1)[:, len(exact) - k]
-        ids, _ = graph.search(queries[sample].astype(np.float32), beam, own=sample if own else None)
-        found = np.where(ids >= 0, np.take_along_axis(cos, np.maximum(ids, 0), 1), -2)
-        return bool(((found >= least[:, None]).sum(axis=1) >= k).all())
-
-    while beam < len(exact):
-        a, b = search(sample)
-        x, y = np.nonzero(queries[sample] @ exact.T >= threshold)
-        true = int((sample[x] != y).sum()) if own else len(x)
-        if len(a) >= true and nearest_found():
-            break
-        beam *= 2
-    for at in range(0, n, TOGETHER):
-        yield search(np.arange(at, min(n, at + TOGETHER)))
+    for at in range(0, len(queries), TOGETHER):
+        rows, wide = np.arange(at, min(len(queries), at + TOGETHER)), beam
+        audit = links(queries[rows], exact, threshold, rows if own else None)
+        while len(rows):
+            a, b = search(rows, wide)
+            missed = np.bincount(a - at, minlength=len(audit))[rows - at] < audit[rows - at]
+            whole = ~np.isin(a, rows[missed])
+            yield a[whole], b[whole]
+            rows, wide = rows[missed], 2 * wide
+
+
+def cosines(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.einsum("ij,ij->i", x[a], y[b])
+
+
+def links(queries: np.ndarray, exact: np.ndarray, threshold: float, own: np.ndarray | None) -> np.ndarray:
+    """How many rows each query links with, itself left out. A product of matrices and a sum may round apart, so pairs near the threshold are summed."""
+    near = queries @ exact.T
+    out = (near >= threshold + SLACK).sum(axis=1)
+    a, b = np.nonzero((near >= threshold - SLACK) & (near < threshold + SLACK))
+    np.add.at(out, a, cosines(queries, exact, a, b) >= threshold)
+    return out - (cosines(queries, exact, np.arange(len(own)), own) >= threshold) if own is not None else out
 
 
 def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = 0.98) -> DataFrame:
@@ -78,20 +71,22 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str
 
     Vectors link if their labels are equal and not null and their cosine in double precision is threshold or more.
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing, as do vectors of other
-    lengths. Exact copies link with each other and share their links. Rows of the same id are one node of a component;
-    each still counts as another vector. Rows with a null id don't take part and have a null component. Ids are whole
-    numbers. An empty table gives an empty one.
+    lengths. Exact copies link with each other and share their links. Rows of the same id are one node of a component,
+    whatever their vectors; each row has its own vector's links, and each still counts as another vector. Rows with a null
+    id don't take part and have a null component. Ids are whole numbers. An empty table gives an empty one.
     """
     base = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.col(vec_col).cast("array<double>").alias("vec"))
     valid = base.filter(F.col("id").isNotNull() & F.col("label").isNotNull() & usable(F.col("vec")))
     copies = valid.groupBy("label", "vec").agg(F.min("id").alias("gid"), F.count("*").alias("n"))
-    copies = settle(copies.withColumn("dim", F.size("vec")))
-    shards = sharded(copies, ["label", "dim"], "gid", SHARD)
+    # An id with several vectors may be the least of each, so vectors have numbers of their own.
+    copies = settle(copies.withColumn("dim", F.size("vec")).withColumn("node", F.monotonically_increasing_id()))
+    shards = sharded(copies, ["label", "dim"], "node", SHARD)
 
     def inside(rows: pa.Table) -> pa.Table:
-        ids, n = rows.column("gid").to_numpy(), rows.column("n").to_numpy()
+        rows = rows.take(pa.array(np.argsort(rows.column("node").to_numpy(), kind="stable")))
+        nodes, ids, n = (rows.column(c).to_numpy() for c in ("node", "gid", "n"))
         x = unit(dense(rows.column("vec")))
-        graph, forest = Graph(x, ids), Forest(len(x))
+        graph, forest = Graph(x, nodes), Forest(len(x))
         for a, b in found_links(graph, x, x, threshold, own=True):
             forest.union(a, b)
         roots = forest.roots(np.arange(len(x)))
@@ -104,20 +99,23 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str
                 near = x[some] @ x[part].T >= threshold
                 near[np.arange(len(some)), np.arange(at, at + len(some))] = False
                 links[some] += near @ n[part]
-        out = {"a": ids, "b": ids[roots], "n": links, "blob": [None] * len(ids)}
+        asked = graph_blob = None
         if rows.column("shards")[0].as_py() > 1:
-            held = {f"near{k}": v for k, v in enumerate(graph.near)}
-            blob = pack(ids=ids, n=n, x=x, order=graph.order, sizes=np.array(graph.sizes), **held)
-            out = {"a": np.append(ids, -1), "b": np.append(out["b"], -1), "n": np.append(links, 0), "blob": [*out["blob"], blob]}
-        size = len(out["a"])
-        return pa.table(
-            {"a": pa.array(out["a"], pa.int64()), "b": pa.array(out["b"], pa.int64()), "n": pa.array(out["n"], pa.int64()), "blob": pa.array(out["blob"], pa.binary())}
-            | {k: pa.array([rows.column(k)[0].as_py()] * size, rows.schema.field(k).type) for k in ("label", "dim", "shard", "shards")}
-        )
+            asked = pack(nodes=nodes, ids=ids, n=n, x=x)
+            graph_blob = pack(order=graph.order, sizes=np.array(graph.sizes), **{f"near{k}": v for k, v in enumerate(graph.near)})
+        more = [] if asked is None else [asked]
+        size = len(nodes) + len(more)
+        pad = lambda a: pa.array(np.append(a, [-1] * len(more)).astype(np.int64), pa.int64())
+        blobs = {"blob": pa.array([None] * len(nodes) + more, pa.binary()), "graph": pa.array([None] * len(nodes) + [graph_blob] * len(more), pa.binary())}
+        return pa.table({"node": pad(nodes), "a": pad(ids), "b": pad(ids[roots]), "n": pad(links)} | blobs | {k: pa.array([rows.column(k)[0].as_py()] * size, rows.schema.field(k).type) for k in ("label", "dim", "shard", "shards")})
 
     def between(rows: pa.Table) -> pa.Table:
-        held = {r["role"]: unpack(r["blob"]) for r in rows.to_pylist()}
-        index, asked = held["index"], held["query"]
+        index = asked = None
+        for r in rows.to_pylist():
+            if r["graph"] is None:
+                asked = unpack(r["blob"])
+            else:
+                index = unpack(r["blob"]) | unpack(r["graph"])
         graph = object.__new__(Graph)
         graph.x, graph.order, graph.sizes = index["x"].astype(np.float32), index["order"], index["sizes"].tolist()
         graph.near = [index[f"near{k}"] for k in range(len(graph.sizes))]
@@ -127,22 +125,26 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str
             forest.union(a, b + own)
             np.add.at(links, a, index["n"][b])
             np.add.at(links, b + own, asked["n"][a])
-        roots, ids = forest.roots(np.arange(len(links))), np.concatenate((asked["ids"], index["ids"]))
+        roots, nodes, ids = forest.roots(np.arange(len(links))), *(np.concatenate((asked[c], index[c])) for c in ("nodes", "ids"))
         some = links > 0
-        return pa.table({"a": pa.array(ids[some], pa.int64()), "b": pa.array(ids[roots[some]], pa.int64()), "n": pa.array(links[some], pa.int64())})
+        return pa.table({k: pa.array(v, pa.int64()) for k, v in {"node": nodes[some], "a": ids[some], "b": ids[roots[some]], "n": links[some]}.items()})
 
     kind = copies.schema["label"].dataType.simpleString()
-    own = settle(shards.select("label", "dim", "shard", "shards", "gid", "n", "vec").groupBy("label", "dim", "shard").applyInArrow(inside, f"a bigint, b bigint, n bigint, blob binary, label {kind}, dim int, shard int, shards int"))
-    links = own.filter("blob is null").select("a", "b", "n")
+    edge = "node bigint, a bigint, b bigint, n bigint"
+    own = settle(shards.select("label", "dim", "shard", "shards", "node", "gid", "n", "vec").groupBy("label", "dim", "shard").applyInArrow(inside, f"{edge}, blob binary, graph binary, label {kind}, dim int, shard int, shards int"))
+    found = own.filter("blob is null").select("node", "a", "b", "n")
     blobs = own.filter("blob is not null")
-    others = lambda role, where: blobs.select("label", "dim", F.lit(role).alias("role"), "blob", F.explode(F.filter(F.sequence(F.lit(0), F.col("shards") - 1), where)).alias("other"), "shard")
-    pairs = others("query", lambda k: k > F.col("shard")).select("label", "dim", F.col("shard").alias("i"), F.col("other").alias("j"), "role", "blob")
-    pairs = pairs.union(others("index", lambda k: k < F.col("shard")).select("label", "dim", F.col("other").alias("i"), F.col("shard").alias("j"), "role", "blob"))
-    links = settle(links.union(pairs.groupBy("label", "dim", "i", "j").applyInArrow(between, "a bigint, b bigint, n bigint")))
-    parts = components(links.select("a", "b"), "a", "b")
-    total = links.groupBy("a").agg(F.sum("n").alias("n_links"))
-    told = total.join(parts, total["a"] == parts["id"], "left").select("a", "n_links", F.coalesce("component", "a").alias("component_id"))
-    known = settle(copies.join(told, copies["gid"] == told["a"]).select(F.col("label").alias("k_label"), F.col("vec").alias("k_vec"), "n_links", "component_id"))
-    out = base.join(known, (base["label"] == known["k_label"]) & (base["vec"] == known["k_vec"]), "left")
-    out = out.withColumns({"n_links": F.when(F.col("id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(0), "component_id": F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))})
+    # A shard asks every later one; its graph goes to every earlier one.
+    others = lambda where: F.explode(F.filter(F.sequence(F.lit(0), F.col("shards") - 1), where))
+    pairs = blobs.select("label", "dim", F.col("shard").alias("i"), others(lambda k: k > F.col("shard")).alias("j"), "blob", F.lit(None).cast("binary").alias("graph"))
+    pairs = pairs.union(blobs.select("label", "dim", others(lambda k: k < F.col("shard")).alias("i"), F.col("shard").alias("j"), "blob", "graph"))
+    found = settle(found.union(pairs.groupBy("label", "dim", "i", "j").applyInArrow(between, edge)))
+    again = settle(base.filter("id is not null").groupBy("id").agg(F.count("*").alias("k")).filter("k > 1").select("id"))
+    several = valid.join(again, "id", "left_semi").join(copies.select("label", "vec", "gid"), ["label", "vec"]).select(F.col("id").alias("a"), F.col("gid").alias("b"))
+    parts = settle(components(found.select("a", "b").union(several), "a", "b"))
+    total = found.groupBy("node").agg(F.sum("n").alias("n_links"))
+    known = copies.join(total, "node", "left").join(parts.withColumnRenamed("id", "gid"), "gid", "left")
+    known = settle(known.select(F.col("label").alias("k_label"), F.col("vec").alias("k_vec"), "n_links", F.coalesce("component", "gid").alias("of_copies")))
+    out = base.join(known, (base["label"] == known["k_label"]) & (base["vec"] == known["k_vec"]), "left").join(parts, "id", "left")
+    out = out.withColumns({"n_links": F.when(F.col("id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(0), "component_id": F.when(F.col("id").isNotNull(), F.coalesce("component", "of_copies", "id"))})
     return out.select(F.col("id").alias(id_col), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
