@@ -244,11 +244,13 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     Documents link if their fingerprints differ in at most radius bits, those of empty and null texts (zero) included.
     Rows with a null id keep a row; they can't be a component's smallest id, and their component is null if no other
-    row shares it. Repeated rows are one document. Ids must be whole numbers.
+    row shares it. Rows of the same id are one document, and all their texts are in its component. Ids must be whole numbers.
     """
     fps = settle(fingerprints(docs, id_col=id_col, text_col=text_col, width=width).select(F.col("id").cast("long").alias("id"), "fp"))
     groups = settle(fps.filter("id is not null").groupBy("fp").agg(F.min("id").alias("id")))
-    parts = components(linked(groups, radius=radius), "a", "b")
+    several = settle(fps.filter("id is not null").groupBy("id").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).filter("low <> high").select("id"))
+    same = fps.join(several, "id", "left_semi").join(groups.withColumnRenamed("id", "gid"), "fp").select(F.col("id").alias("a"), F.col("gid").alias("b"))
+    parts = components(linked(groups, radius=radius).union(same), "a", "b")
     named = settle(groups.join(parts, "id", "left").select("fp", F.coalesce("component", "id").alias("component_id")))
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
     return fps.join(named, "fp", "left").select(F.col("id").alias(id_col), hexed, "component_id")
