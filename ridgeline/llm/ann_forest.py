@@ -1,13 +1,16 @@
 """Approximate nearest neighbours: forests of random-projection trees, one shared priority queue, exact reranking.
 
 Rows are dealt to shards of bounded size; each shard grows a forest over all its rows, and every query searches the
-forest of every shard. The queue holds the leaves of all trees by the smallest margin on their way, so that it is
-followed across trees until enough rows are gathered. Each shard's audit holds some queries against brute force and
+forest of every shard. The queue holds branches of all trees by the widest cut crossed on their way, so that it is
+followed across trees until enough rows are gathered; no further leaf is opened. Each shard's audit holds some queries against brute force and
 doubles what is gathered until the recall asked for is reached; what is gathered is ranked exactly.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from heapq import heappop, heappush
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -66,16 +69,25 @@ class ForestIndex:
         begin = np.stack([np.searchsorted(self.leaf_of[t][order[t]], np.arange(leaves + 1)) for t in range(trees)])
         return lambda k: order[k // leaves, begin[k // leaves, k % leaves] : begin[k // leaves, k % leaves + 1]]
 
-    def queue(self, q: np.ndarray) -> np.ndarray:
-        """For each query the leaves of all trees in the order in which a shared priority queue gives them out."""
-        trees = len(self.planes)
-        rank = np.full((len(q), trees, 1), np.inf)
-        for level in range(self.depth):
-            first = 2**level - 1
-            part = slice(first, first + 2**level)
-            margin = np.einsum("qd,tnd->qtn", q, self.planes[:, part], optimize=True) - self.cuts[:, part]
-            rank = np.stack((np.minimum(rank, -margin), np.minimum(rank, margin)), axis=3).reshape(len(q), trees, -1)
-        return np.argsort(-rank.reshape(len(q), -1), axis=1, kind="stable")
+    def margins(self, q: np.ndarray) -> np.ndarray:
+        """How far each query lies above the cut of each node: (query, tree, node)."""
+        return np.einsum("qd,tnd->qtn", q, self.planes, optimize=True) - self.cuts
+
+    def leaves(self, margin: np.ndarray) -> Iterator[int]:
+        """Leaves of all trees for one query's margins, as one queue shared by the trees gives them out: the branch whose
+        way crossed cuts by the least comes first; the nearer side is followed at once and the other is queued."""
+        inner = margin.shape[1]
+        rows = margin.tolist()
+        queue = [(0.0, t, 0) for t in range(len(rows))]
+        while queue:
+            crossed, t, node = heappop(queue)
+            row = rows[t]
+            while node < inner:
+                m = row[node]
+                near, far = (2 * node + 2, 2 * node + 1) if m > 0 else (2 * node + 1, 2 * node + 2)
+                heappush(queue, (max(crossed, abs(m)), t, far))
+                node = near
+            yield t * (inner + 1) + node - inner
 
 
 def nearest_rows(index: ForestIndex, x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, k: int, recall: float):
@@ -93,17 +105,15 @@ def nearest_rows(index: ForestIndex, x: np.ndarray, ids: np.ndarray, q: np.ndarr
         top = np.lexsort((ids[rows], d))[:k]
         return rows[top], d[top]
 
-    leaf, order = index.finder(), index.queue(q)
+    leaf, margin = index.finder(), index.margins(q)
 
     def gather(i: int, most: int) -> np.ndarray:
         if most >= n:
             return np.arange(n)
-        seen, count = np.zeros(n, bool), 0
-        for at in range(0, order.shape[1], 8):
-            for number in order[i, at : at + 8]:
-                seen[leaf(number)] = True
-            count = int(seen.sum())
-            if count >= most:
+        seen = np.zeros(n, bool)
+        for k, number in enumerate(index.leaves(margin[i])):
+            seen[leaf(number)] = True
+            if k % 8 == 7 and int(seen.sum()) >= most:
                 break
         return np.nonzero(seen)[0]
 
@@ -124,7 +134,8 @@ def search(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", ve
     A query's own row, that is every row with its id, is no candidate. Fewer candidates than k: all of them. Ties go to
     the smaller id. Vectors or queries that are null, empty, zero or hold null or non-finite components, and rows with a
     null id, take no part; only vectors as long as the query are candidates. Repeated rows are candidates each; queries
-    of the same id and vector are asked once. Ids are whole numbers. Empty tables give an empty result.
+    of the same id and vector are asked once, those of the same id and other vectors have a list each. Ids are whole
+    numbers. Empty tables give an empty result.
     """
 
     def clean(df: DataFrame) -> DataFrame:
@@ -139,30 +150,31 @@ def search(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", ve
         return pa.table({**{c: rows.column(c).slice(0, 1) for c in ("dim", "shard", "shards")}, "blob": pa.array([blob], pa.binary())})
 
     def bundle(rows: pa.Table) -> pa.Table:
-        blob = pack(x=dense(rows.column("vec")), ids=rows.column("id").to_numpy())
+        blob = pack(x=dense(rows.column("vec")), ids=rows.column("id").to_numpy(), asks=rows.column("ask").to_numpy())
         return pa.table({**{c: rows.column(c).slice(0, 1) for c in ("dim", "shard", "shards")}, "blob": pa.array([blob], pa.binary())})
 
     def ask(rows: pa.Table) -> pa.Table:
         held: dict[str, dict] = {r["role"]: unpack(r["blob"]) for r in rows.to_pylist()}
-        out: dict[str, list] = {"query_id": [], "id": [], "score": []}
+        out: dict[str, list] = {"ask": [], "query_id": [], "id": [], "score": []}
         if len(held) == 2:
             x, ids = held["index"]["x"], held["index"]["ids"]
             got = nearest_rows(ForestIndex.load(held["index"]), x, ids, held["query"]["x"], held["query"]["ids"], k, recall)
-            for q, (found, d) in zip(held["query"]["ids"], got, strict=True):
+            for ask, q, (found, d) in zip(held["query"]["asks"], held["query"]["ids"], got, strict=True):
+                out["ask"] += [int(ask)] * len(found)
                 out["query_id"] += [int(q)] * len(found)
                 out["id"] += ids[found].tolist()
                 out["score"] += d.tolist()
-        return pa.table({"query_id": pa.array(out["query_id"], pa.int64()), "id": pa.array(out["id"], pa.int64()), "score": pa.array(out["score"], pa.float64())})
+        return pa.table({**{c: pa.array(out[c], pa.int64()) for c in ("ask", "query_id", "id")}, "score": pa.array(out["score"], pa.float64())})
 
     schema = "dim int, shard int, shards int, blob binary"
     keys = ["dim", "shard", "shards"]
-    rows, asked = settle(clean(vectors)), settle(clean(queries).distinct())
+    rows, asked = settle(clean(vectors)), settle(clean(queries).distinct().withColumn("ask", F.monotonically_increasing_id()))
     index = settle(sharded(rows, ["dim"], "id", SHARD).select(*keys, "id", "vec").groupBy(*keys).applyInArrow(grow, schema))
-    blocks = settle(sharded(asked, ["dim"], "id", BLOCK).select(*keys, "id", "vec").groupBy(*keys).applyInArrow(bundle, schema))
+    blocks = settle(sharded(asked, ["dim"], "ask", BLOCK).select(*keys, "ask", "id", "vec").groupBy(*keys).applyInArrow(bundle, schema))
     # Each block of queries meets each shard: a stated query set against all rows, in blocks.
     of_index = index.join(blocks.groupBy("dim").agg(F.max("shards").alias("n")), "dim").select("dim", "shard", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("block"), F.lit("index").alias("role"), "blob")
     of_block = blocks.join(index.groupBy("dim").agg(F.max("shards").alias("n")), "dim").select("dim", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("shard"), F.col("shard").alias("block"), F.lit("query").alias("role"), "blob")
-    near = of_index.union(of_block).groupBy("dim", "shard", "block").applyInArrow(ask, "query_id bigint, id bigint, score double")
-    ranks = Window.partitionBy("query_id").orderBy("score", "id")
+    near = of_index.union(of_block).groupBy("dim", "shard", "block").applyInArrow(ask, "ask bigint, query_id bigint, id bigint, score double")
+    ranks = Window.partitionBy("ask").orderBy("score", "id")
     ranked = near.withColumn("rank", F.row_number().over(ranks)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", F.col("id").alias(id_col), "score")
