@@ -207,6 +207,13 @@ def test_similar_documents_by_sets_of_shingles(spark, monkeypatch):
     assert {of[k] for k in range(46, 86)} == {46}
 
 
+def test_simhash_of_an_id_with_several_texts(spark):
+    a, b = "one two three four five six seven", "quite other words stand in this one here"
+    docs = spark.createDataFrame([(3, a), (5, a), (5, b), (9, b), (12, b + " " + a)], "doc_id bigint, text string")
+    got = sorted((r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(docs).collect())
+    assert got == [(3, 3), (5, 3), (5, 3), (9, 3), (12, 12)]
+
+
 def brute_secrets(text):
     a = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
     out = [(m.start(), m.end(), "assign") for m in a.finditer(text) if len(m[2]) >= 12]

@@ -46,7 +46,7 @@ def test_near_duplicates_match_brute_force(spark, clustered, monkeypatch, size):
 
 
 def test_audit_sees_a_loss_where_links_are_sparse():
-    """No audited query has a link, and the graph finds next to nothing: the only link must still be found."""
+    """The graph finds next to nothing: the only link must still be found."""
 
     class Blind:
         def search(self, q, beam, own=None):
@@ -55,12 +55,33 @@ def test_audit_sees_a_loss_where_links_are_sparse():
     rng = np.random.default_rng(3)
     unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
     x, q = unit(rng.standard_normal((200, 64))), unit(rng.standard_normal((1000, 64)))
-    assert 5 not in np.linspace(0, 999, near_embeddings.AUDIT).astype(int)
     q[5] = x[57]
     found = [p for a, b in near_embeddings.found_links(Blind(), x, q, 0.98, own=False) for p in zip(a.tolist(), b.tolist(), strict=True)]
     assert found == [(5, 57)]
 
 
+def test_links_to_lone_points_are_found():
+    """Points that lie alone among clusters are hard to reach; every link to them and inside the clusters must be found."""
+    rng = np.random.default_rng(11)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    lone = unit(rng.standard_normal((20, 64)))
+    x = np.concatenate((unit(np.repeat(rng.standard_normal((40, 64)), 100, axis=0) + 0.02 * rng.standard_normal((4000, 64))), lone))
+    q = np.concatenate((unit(rng.standard_normal((3980, 64))), unit(lone + 0.005 * rng.standard_normal((20, 64)))))
+    graph = Graph(x, np.arange(len(x)))
+    for queries_, own in ((q, False), (x, True)):
+        found = sorted(p for a, b in near_embeddings.found_links(graph, x, queries_, 0.98, own) for p in zip(a.tolist(), b.tolist(), strict=True))
+        a, b = np.nonzero(queries_ @ x.T >= 0.98)
+        want = sorted((i, j) for i, j in zip(a.tolist(), b.tolist(), strict=True) if not own or i != j)
+        assert found == want and len(want) >= 20
+
+
+def test_near_duplicates_of_an_id_with_several_vectors(spark):
+    a, b, c = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]
+    rows = [(3, a, 1), (5, a, 1), (5, b, 1), (9, b, 1), (2, c, 1), (2, a, 2), (7, c, 2), (11, None, 1), (11, b, 1)]
+    got = [(r["vec_id"], r["n_links"], r["component_id"]) for r in near_embeddings.near_duplicates(frame(spark, rows)).collect()]
+    assert sorted(got) == [(2, 0, 2), (2, 0, 2), (3, 1, 3), (5, 1, 3), (5, 2, 3), (7, 0, 7), (9, 2, 3), (11, 0, 3), (11, 2, 3)]
+
+
 def test_near_duplicates_edges(spark):
     rows = [(1, [1.0, 0.0], 1), (2, [2.0, 0.0], 1), (3, [1.0, 0.0], 2), (4, [1.0, 0.0], None), (5, None, 1), (6, [0.0, 0.0], 1), (7, [1.0, None], 1), (8, [float("nan"), 1.0], 1), (9, [INF, 0.0], 1), (10, [], 1), (11, [1.0, 0.0, 0.0], 1), (12, [1.0, 0.0], 1), (12, [1.0, 0.0], 1), (None, [1.0, 0.0], 1)]
     got = {r["vec_id"]: tuple(r)[1:] for r in near_embeddings.near_duplicates(frame(spark, rows)).collect()}
@@ -102,6 +123,9 @@ def test_nearest_neighbours_edges(spark):
     df = frame(spark, rows)
     got = ann_forest.search(df, df.filter("vec_id % 100 = 0")).orderBy("rank").collect()
     assert [(r["query_id"], r["rank"], r["vec_id"]) for r in got] == [(100, 1, 1), (100, 2, 2), (100, 3, 8), (100, 4, 8)]
+    two = frame(spark, [(100, [0.0, 1.0], 0), (100, [9.0, 1.0], 0), (100, [9.0, 1.0], 0), (1, [0.0, 2.0], 0), (2, [9.0, 2.0], 0)])
+    got = [tuple(r) for r in ann_forest.search(two, two.filter("vec_id % 100 = 0")).orderBy("score", "vec_id").collect()]
+    assert [r[:3] for r in got] == [(100, 1, 1), (100, 1, 2), (100, 2, 1), (100, 2, 2)]
     assert ann_forest.search(df.filter("false"), df).count() == 0 and ann_forest.search(df, df.filter("false")).count() == 0
 
 
