@@ -32,9 +32,9 @@ CENTRES = 12
 #: A term that one example in so many has keeps its weights in a dense row rather than in postings.
 DENSE_ROW = 16
 #: Postings added up at once.
-POSTINGS = 1 << 18
+POSTINGS = 1 << 17
 #: Terms unknown to the index that a worker remembers between texts.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 THRESHOLD = 0.7
 WORDS = re.compile(r"[^\W\d_]+")
 #: Letters of a beginning, and the shares of a text's words, in thousandths, from which on one that occurs more than once gives a term of its own.
@@ -73,16 +73,19 @@ class Terms(dict):
 
     def __missing__(self, w: str) -> int:
         row = self[w] = len(self)
-        self.words.append(self.known.get(w, -1))
-        for k in STARTS:
-            start = -1
-            if len(w) > k:
-                s = w[:k] + "*"
-                start = self.begun.get(s, -1)
-                if start < 0:
-                    start = self.begun[s] = len(self.begun)
-                    self.starts.extend([self.known.get(s, -1), *[self.known.get(f"{s}{d}", -1) for d in DENSE]])
-            self.words.append(start)
+        begun, size, (short, long) = self.begun, len(w), STARTS
+        a = b = -1
+        if size > short:
+            if (a := begun.get(s := w[:short], -1)) < 0:
+                a = self._start(s)
+            if size > long and (b := begun.get(s := w[:long], -1)) < 0:
+                b = self._start(s)
+        self.words.extend((self.known.get(w, -1), a, b))
+        return row
+
+    def _start(self, s: str) -> int:
+        row = self.begun[s] = len(self.begun)
+        self.starts.extend([self.known.get(f"{s}*{d}", -1) for d in ("", *DENSE)])
         return row
 
     def entries(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -180,7 +183,8 @@ class Index:
         """Cosines of texts to examples; -1 where the example's block was left closed, as it can't hold one of the k nearest.
 
         Postings of the rarer terms are added up first. What they give in a block at most and the largest weights of the
-        common terms there bound the block; each text opens its blocks best bound first, half of those left at a time."""
+        common terms there bound the block; each text opens the better half of its blocks first, then those whose bound still
+        reaches its k-th cosine."""
         n = len(self.labels)
         known = term >= 0
         at, term, weight = at[known], term[known], weight[known]
@@ -201,24 +205,22 @@ class Index:
             some += np.bincount(np.repeat((at[part] - first) * n, size[part]) + self.place[flat], self.weight[flat] * np.repeat(weight[part], size[part]), some.size).reshape(some.shape)
             x = y
         bound = (np.maximum.reduceat(rare, np.arange(0, n, BLOCK), axis=1) + asked @ self.most) * (1 + 1e-9)
-        closed, kth = bound > 0, np.full(texts, -1.0)
-        while True:
-            closed &= bound >= kth[:, None]
-            left = closed.sum(axis=1)
-            if not left.any():
-                return out
-            order = np.argsort(np.where(closed, -bound, 1), axis=1, kind="stable")
-            turn = np.zeros_like(closed)
-            np.put_along_axis(turn, order, np.arange(self.blocks) < -(-left[:, None] // 2), axis=1)
-            for b in np.nonzero(turn.any(axis=0))[0]:
-                some, part = np.nonzero(turn[:, b])[0], slice(b * BLOCK, (b + 1) * BLOCK)
-                out[some, part] = rare[some, part] + asked[some] @ self.dense[:, part]
-            closed &= ~turn
-            if n > k:
-                kth = np.partition(out, n - k, axis=1)[:, n - k]
+        able = bound > 0
+        order = np.argsort(np.where(able, -bound, 1), axis=1, kind="stable")
+        first = np.zeros_like(able)
+        np.put_along_axis(first, order, np.arange(self.blocks) < -(-able.sum(axis=1)[:, None] // 2), axis=1)
+        self._open(first, rare, asked, out)
+        kth = np.partition(out, n - k, axis=1)[:, n - k] if n > k else np.full(texts, -1.0)
+        self._open(able & ~first & (bound >= kth[:, None]), rare, asked, out)
+        return out
+
+    def _open(self, turn: np.ndarray, rare: np.ndarray, asked: np.ndarray, out: np.ndarray) -> None:
+        for b in np.nonzero(turn.any(axis=0))[0]:
+            some, part = np.nonzero(turn[:, b])[0], slice(b * BLOCK, (b + 1) * BLOCK)
+            out[some, part] = rare[some, part] + asked[some] @ self.dense[:, part]
 
     def nearest(self, at, term, weight, texts: int, *, k: int = NEIGHBOURS, leave: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Of each text the k examples of greatest cosine above zero and one more, ties to the first: (numbers, cosines), 0 where there are no more.
+        """Of each text the k examples of greatest cosine above zero and one more, ties to the first but for those with the last: (numbers, cosines), 0 where there are no more.
 
         leave: an example that each text leaves out."""
         take = min(len(self.labels), k + 1)
@@ -229,8 +231,10 @@ class Index:
             return np.zeros((texts, 0), np.int64), np.zeros((texts, 0))
         # Sums of the same products differ in the last digits by the order of summing.
         cos = np.round(np.maximum(cos, 0), 12)
-        best = np.argsort(-cos, axis=1, kind="stable")[:, :take]
-        return best, np.take_along_axis(cos, best, 1)
+        best = np.sort(np.argpartition(-cos, take - 1, axis=1)[:, :take], axis=1) if take < cos.shape[1] else np.broadcast_to(np.arange(take), cos.shape)
+        near = np.take_along_axis(cos, best, 1)
+        order = np.argsort(-near, axis=1, kind="stable")
+        return np.take_along_axis(best, order, 1), np.take_along_axis(near, order, 1)
 
     def vote(self, best: np.ndarray, cos: np.ndarray, k: int = NEIGHBOURS) -> np.ndarray:
         """Share of toxic examples among the k nearest, weighted by how much nearer each is than the next one after them."""
