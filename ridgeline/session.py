@@ -12,8 +12,11 @@ ROOT = str(Path(__file__).resolve().parent.parent)
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Lets this session's Python workers import the package from where the driver has it."""
+    """Lets this session's Python workers import the package from where the driver has it, and take one core each.
+
+    Workers run as many at a time as there are cores, so threads of a matrix product would only wait for each other."""
     env = spark.sparkContext.environment
+    env["OPENBLAS_NUM_THREADS"] = "1"
     paths = env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep)
     if ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, paths)])
@@ -37,6 +40,8 @@ def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir); a local one only where none is set, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return (found or "/tmp/checkpoints/ridgeline").rstrip("/")
 
 
@@ -45,8 +50,28 @@ def own_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/ridgeline-{spark.sparkContext.applicationId}"
 
 
+#: What is made once for an application and used by several queries, by key.
+_KEPT: dict[tuple, object] = {}
+
+
+def once(spark: SparkSession, key: tuple, make):
+    """What make() gives, made once for the application and key: an index is built once and searched often."""
+    key = (spark.sparkContext.applicationId, *key)
+    if key not in _KEPT:
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def stamp(spark: SparkSession, path: str) -> tuple:
+    """Names, sizes and times of the files under a path: another table has another stamp."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return tuple((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in (fs.listStatus(at) if fs.exists(at) else ()))
+
+
 def sweep(spark: SparkSession) -> None:
     """Removes all settled tables of this application. Results that weren't read or written yet are lost with them."""
+    _KEPT.clear()
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own_dir(spark))
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
