@@ -6,8 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 NULL_CATEGORY, OTHER_CATEGORY = "<null>", "<other>"
-#: Levels of arrays in arrays that a category looks into for its first element.
-ARRAY_DEPTH = 6
 
 
 def _kind(v: Column) -> Column:
@@ -19,7 +17,11 @@ def _is_number(kind: Column) -> Column:
 
 
 def json_field(json: Column, field: str) -> Column:
-    return F.variant_get(F.try_parse_json(json), f"$.{field}", "variant")
+    """The value of a field of that very name: dots and brackets in it are no path."""
+    quote = "'" if "'" not in field else '"'
+    if quote in field:
+        raise ValueError("a field's name holds both kinds of quotes")
+    return F.variant_get(F.try_parse_json(json), f"$[{quote}{field}{quote}]", "variant")
 
 
 def as_number(v: Column) -> Column:
@@ -29,19 +31,23 @@ def as_number(v: Column) -> Column:
     return F.coalesce(F.when(_is_number(kind), number).when(kind == "BOOLEAN", F.try_variant_get(v, "$", "boolean").cast("double")), F.lit(0.0))
 
 
-def as_category(v: Column, depth: int = ARRAY_DEPTH) -> Column:
+def as_category(v: Column) -> Column:
     """A variant as category: null or missing <null>, strings and booleans as text, numbers cut to whole ones, arrays by
-    their first element, else (objects, empty arrays) <other>."""
+    their first element, which may be an array again, however deep, else (objects, empty arrays) <other>."""
+    # An array's text starts with as many brackets as first elements are arrays.
+    path = F.concat(F.lit("$"), F.repeat(F.lit("[0]"), F.length(F.regexp_extract(F.to_json(v), r"^\[+", 0))))
+    inner = F.try_variant_get(v, path, "variant")
+    return F.when(_kind(v).startswith("ARRAY"), F.when(inner.isNull(), F.lit(OTHER_CATEGORY)).otherwise(_scalar_category(inner))).otherwise(_scalar_category(v))
+
+
+def _scalar_category(v: Column) -> Column:
     kind = _kind(v)
-    first = F.try_variant_get(v, "$[0]", "variant")
-    inner = F.when(first.isNull(), F.lit(OTHER_CATEGORY)).otherwise(as_category(first, depth - 1)) if depth else F.lit(OTHER_CATEGORY)
     whole = F.try_variant_get(v, "$", "double")
     return (
         F.when(v.isNull() | (kind == "VOID"), F.lit(NULL_CATEGORY))
         .when(kind == "STRING", F.try_variant_get(v, "$", "string"))
         .when(kind == "BOOLEAN", F.try_variant_get(v, "$", "boolean").cast("string"))
         .when(_is_number(kind), F.coalesce(F.try_variant_get(v, "$", "bigint"), whole.cast("bigint")).cast("string"))
-        .when(kind.startswith("ARRAY"), inner)
         .otherwise(F.lit(OTHER_CATEGORY))
     )
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,11 +31,24 @@ def distance(metric: str, a: Column, b: Column) -> Column:
     return l2_sqr(a, b) if metric == "l2" else neg_inner_product(a, b)
 
 
-def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    """A column of equally long, whole lists as rows of a matrix."""
+def by_length(column: pa.Array | pa.ChunkedArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Length of vectors -> (places in the column, those vectors as rows of a matrix).
+
+    Vectors that are null or have a null or non-finite component are left out, as they have no distance to any other."""
     chunks = column.chunks if isinstance(column, pa.ChunkedArray) else [column]
-    flat = [np.asarray(c.flatten().to_numpy(zero_copy_only=False), np.float64) for c in chunks]
-    return (np.concatenate(flat) if flat else np.zeros(0)).reshape(len(column), -1 if len(column) else 0)
+    out: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+    at = 0
+    for c in chunks:
+        sizes = np.asarray(pc.fill_null(pc.list_value_length(c), -1).to_numpy(zero_copy_only=False), np.int64)
+        flat = np.asarray(c.flatten().to_numpy(zero_copy_only=False), np.float64)
+        begin = np.cumsum(np.maximum(sizes, 0)) - np.maximum(sizes, 0)
+        for n in np.unique(sizes[sizes >= 0]).tolist():
+            rows = np.nonzero(sizes == n)[0]
+            x = flat.reshape(-1, n) if n and len(rows) == len(sizes) else flat[begin[rows][:, None] + np.arange(n)]
+            whole = np.isfinite(x).all(axis=1)
+            out.setdefault(n, []).append((rows[whole] + at, x if whole.all() else x[whole]))
+        at += len(c)
+    return {n: (np.concatenate([r for r, _ in parts]), np.concatenate([x for _, x in parts])) for n, parts in out.items()}
 
 
 def exact_distances(metric: str, x: np.ndarray, q: np.ndarray) -> np.ndarray:

@@ -13,12 +13,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import exact_distances, matrix, near_matrix
+from ..functions.vectors import by_length, exact_distances, near_matrix
 from ..session import settle
 from .knn import PAIRS, SEND_BYTES, exact_topk
 
-#: A fourth of the nodes of a level reach the next one, up to the top level.
-BASE, TOP = 4, 4
+#: A fourth of the nodes of a level reach the next one; the hash's range allows 15 levels above the lowest.
+BASE, TOP = 4, 15
 SPREAD, SHIFT, SPACE = 2654435761, 12345, 1 << 32
 
 
@@ -29,7 +29,7 @@ def level_of(node_id: Column) -> Column:
 
 
 def nodes(base: DataFrame, send_bytes: int = SEND_BYTES) -> DataFrame:
-    """(id, level, father) for base(id, v).
+    """(id, level, father) for base(id, v); rows without a vector are no nodes, and one that has no distance to any is a root.
 
     While the nodes above the lowest level fit into a message, one scan finds all fathers; else each level is searched."""
     leveled = base.select("id", "v", level_of(F.col("id")).alias("level"))
@@ -38,22 +38,27 @@ def nodes(base: DataFrame, send_bytes: int = SEND_BYTES) -> DataFrame:
     if n * 8 * (dim + 2) > send_bytes:
         return _nodes_by_level(settle(leveled))
     held = upper.toArrow()
-    ids, levels, x = held.column("id").to_numpy(), held.column("level").to_numpy(), matrix(held.column("v"))
-    step = max(1, PAIRS // max(1, n))
+    ids, levels = held.column("id").to_numpy(), held.column("level").to_numpy()
+    above = {dim: (ids[rows], levels[rows], x) for dim, (rows, x) in by_length(held.column("v")).items()}
 
     def fathers(batches):
         for batch in batches:
-            own, level, v = batch.column(0).to_numpy(), batch.column(1).to_numpy(), matrix(batch.column(2))
+            own, level = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             found = own.copy()
-            for at in range(0, len(own) if n else 0, step):
-                part = slice(at, at + step)
-                near = near_matrix("l2", v[part], x)
-                near[levels[None, :] <= level[part][:, None]] = np.inf
-                best = near.min(axis=1)
-                for i in np.nonzero(np.isfinite(best))[0]:
-                    some = np.nonzero(near[i] <= best[i] + 1e-9 * (1 + abs(best[i])))[0]
-                    d = exact_distances("l2", x[some], v[at + i])
-                    found[at + i] = ids[some][np.lexsort((ids[some], d))[0]]
+            for dim, (rows, v) in by_length(batch.column(2)).items():
+                if dim not in above:
+                    continue
+                ids, levels, x = above[dim]
+                step = max(1, PAIRS // max(1, len(ids)))
+                for at in range(0, len(rows) if len(ids) else 0, step):
+                    part = slice(at, at + step)
+                    near = near_matrix("l2", v[part], x)
+                    near[levels[None, :] <= level[rows[part]][:, None]] = np.inf
+                    best = near.min(axis=1)
+                    for i in np.nonzero(np.isfinite(best))[0]:
+                        some = np.nonzero(near[i] <= best[i] + 1e-9 * (1 + abs(best[i])))[0]
+                        d = exact_distances("l2", x[some], v[at + i])
+                        found[rows[at + i]] = ids[some][np.lexsort((ids[some], d))[0]]
             yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(level, pa.int32()), pa.array(found, pa.int64())], names=["id", "level", "father"])
 
     rows = leveled.select(F.col("id").cast("long").alias("id"), "level", F.col("v").cast("array<double>").alias("v"))
@@ -62,7 +67,7 @@ def nodes(base: DataFrame, send_bytes: int = SEND_BYTES) -> DataFrame:
 
 def _nodes_by_level(leveled: DataFrame) -> DataFrame:
     found = []
-    for level in range(TOP):
+    for level in range(max(1, max_level(leveled))):
         asks = leveled.filter(F.col("level") == level).select(F.col("id").alias("qid"), F.col("v").alias("qvec"))
         found.append(exact_topk(leveled.filter(F.col("level") > level), asks, 1).select("qid", F.col("id").alias("father")))
     fathers = reduce(DataFrame.union, found)

@@ -15,12 +15,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.predicates import DNF
-from ..functions.vectors import distance, exact_distances, matrix, near_matrix
+from ..functions.vectors import by_length, distance, exact_distances, near_matrix
+from ..session import settle
 
 #: Bytes of vectors up to which a side is sent to all tasks.
 SEND_BYTES = 64 << 20
 #: Rows of a block when neither side can be sent; rows, and pairs, scored by one matrix product.
 BLOCK, STEP, PAIRS = 16_384, 2048, 1 << 22
+#: Ranges into which a query's distances are cut, and rows of the sample that tells where.
+SHELVES, CUT_ROWS = 64, 20_000
 OUT = "qid bigint, id bigint, dist double"
 
 
@@ -47,9 +50,17 @@ def top_rows(metric: str, ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: n
     return pa.RecordBatch.from_arrays([pa.array(cat(out_q, np.int64)), pa.array(cat(out_i, np.int64)), pa.array(cat(out_d, np.float64))], names=["qid", "id", "dist"])
 
 
-def _held(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+Held = dict[int, tuple[np.ndarray, np.ndarray]]
+
+
+def by_dim(ids: np.ndarray, vectors: pa.Array | pa.ChunkedArray) -> Held:
+    """Length of vectors -> (ids, matrix): only vectors of one length have a distance."""
+    return {n: (ids[rows], x) for n, (rows, x) in by_length(vectors).items()}
+
+
+def _held(df: DataFrame) -> Held:
     t = df.toArrow()
-    return t.column(0).to_numpy(), matrix(t.column(1))
+    return by_dim(t.column(0).to_numpy(), t.column(1))
 
 
 def _best(pairs: DataFrame, k: int) -> DataFrame:
@@ -60,8 +71,9 @@ def _best(pairs: DataFrame, k: int) -> DataFrame:
 def exact_topk(base: DataFrame, queries: DataFrame, k: int, *, predicate: DNF | Column | None = None, metric: str = "l2", skip_self: bool = False, send_bytes: int = SEND_BYTES) -> DataFrame:
     """(qid, rank, id, dist) of each query's k nearest rows of base(id, v, ..) that satisfy the predicate.
 
-    Fewer than k if fewer match. Ties go to the smaller id. Rows with a null vector are left out. The predicate is a plain
-    filter of the scan. skip_self leaves out the row of the query's own id.
+    Fewer than k if fewer match. Ties go to the smaller id. Vectors that are null, of another length than the query's or
+    with a null or non-finite component have no distance and are left out. The predicate is a plain filter of the scan.
+    skip_self leaves out the row of the query's own id.
     """
     if predicate is not None:
         base = base.filter(predicate.condition() if isinstance(predicate, DNF) else predicate)
@@ -70,32 +82,34 @@ def exact_topk(base: DataFrame, queries: DataFrame, k: int, *, predicate: DNF |
     n_q, dim = q.agg(F.count("*"), F.coalesce(F.max(F.size("qvec")), F.lit(0))).first()
     row = 8 * (dim + 1)
     if n_q * row <= send_bytes:
-        qids, qv = _held(q)
+        asked = _held(q)
 
         def by_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             # A task keeps k rows a query: what a batch finds is merged with what earlier ones found.
             best = None
             for batch in batches:
-                ids, x = batch.column(0).to_numpy(), matrix(batch.column(1))
-                for at in range(0, len(ids), STEP):
-                    found = [top_rows(metric, ids[at : at + STEP], x[at : at + STEP], qids[i : i + 256], qv[i : i + 256], k, skip_self) for i in range(0, len(qids), 256)]
-                    part = pa.Table.from_batches(found) if found else None
-                    if part is not None:
-                        best = part if best is None else _merge(best, part, k)
+                for dim, (ids, x) in by_dim(batch.column(0).to_numpy(), batch.column(1)).items():
+                    qids, qv = asked.get(dim, (np.zeros(0, np.int64), np.zeros((0, dim))))
+                    for at in range(0, len(ids), STEP):
+                        found = [top_rows(metric, ids[at : at + STEP], x[at : at + STEP], qids[i : i + 256], qv[i : i + 256], k, skip_self) for i in range(0, len(qids), 256)]
+                        part = pa.Table.from_batches(found) if found else None
+                        if part is not None:
+                            best = part if best is None else _merge(best, part, k)
             if best is not None:
                 yield from best.combine_chunks().to_batches()
 
         return _best(b.mapInArrow(by_rows, OUT), k)
     if b.count() * row <= send_bytes:
-        ids, x = _held(b)
-
-        step = max(1, PAIRS // max(1, len(ids)))
+        held = _held(b)
 
         def by_queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                qids, qv = batch.column(0).to_numpy(), matrix(batch.column(1))
-                for at in range(0, len(qids), step):
-                    yield top_rows(metric, ids, x, qids[at : at + step], qv[at : at + step], k, skip_self)
+                for dim, (qids, qv) in by_dim(batch.column(0).to_numpy(), batch.column(1)).items():
+                    if dim in held:
+                        ids, x = held[dim]
+                        step = max(1, PAIRS // max(1, len(ids)))
+                        for at in range(0, len(qids), step):
+                            yield top_rows(metric, ids, x, qids[at : at + step], qv[at : at + step], k, skip_self)
 
         found = q.mapInArrow(by_queries, OUT)
         # A query is scored against the whole base in one place, so its rows need numbers but no exchange of vectors.
@@ -107,9 +121,12 @@ def exact_topk(base: DataFrame, queries: DataFrame, k: int, *, predicate: DNF |
 
     def by_blocks(t: pa.Table) -> pa.Table:
         asking = np.asarray(t.column("asks").to_numpy(zero_copy_only=False), bool)
-        ids, x = t.column("id").to_numpy(), matrix(t.column("v").combine_chunks())
-        own, mine = np.nonzero(asking)[0], np.nonzero(~asking)[0]
-        return pa.Table.from_batches([top_rows(metric, ids[mine], x[mine], ids[own[at : at + 256]], x[own[at : at + 256]], k, skip_self) for at in range(0, max(1, len(own)), 256)])
+        ids, out = t.column("id").to_numpy(), [top_rows(metric, *[np.zeros(0, np.int64)] * 4, k, skip_self)]
+        for rows, x in by_length(t.column("v")).values():
+            asks, of = asking[rows], ids[rows]
+            own = np.nonzero(asks)[0]
+            out += [top_rows(metric, of[~asks], x[~asks], of[own[at : at + 256]], x[own[at : at + 256]], k, skip_self) for at in range(0, len(own), 256)]
+        return pa.Table.from_batches(out)
 
     return _best(rows.union(asks.select(*rows.columns)).groupBy("i", "j").applyInArrow(by_blocks, OUT), k)
 
@@ -171,14 +188,24 @@ def grouped_topk(base: DataFrame, queries: DataFrame, label: str, k: int) -> Dat
     return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("qid", label, "rank", "id", "dist")
 
 
+def _sent(df: DataFrame, row_bytes: int) -> DataFrame:
+    """df, to be broadcast if that is a message of bounded size."""
+    return F.broadcast(df) if df.count() * row_bytes <= SEND_BYTES else df
+
+
 def distance_grid(base: DataFrame, queries: DataFrame, n_quant: int) -> DataFrame:
     """(qid, i, quant): each query's distances, in order, at places i * (N - 1) / (n_quant - 1), whole division.
 
-    Places are found by rank within a query; ranges of distance are ranked apart, so no task holds a query's whole list."""
-    pairs = scored(base.select("id", "v"), queries).select("qid", "dist")
-    counts = pairs.groupBy("qid", "dist").agg(F.count("*").alias("c"))
-    shelf = F.floor(F.coalesce(F.try_divide(F.col("dist"), F.lit(0.05)), F.lit(0.0))).cast("long")
-    counts = counts.withColumn("shelf", shelf)
+    Places are found by rank within a query; ranges of distance, cut at the query's quantiles over a sample of the rows, are
+    ranked apart, so no task holds a query's whole list. Pairs without a distance are left out."""
+    base = base.select("id", "v")
+    every = -(-base.count() // CUT_ROWS) or 1
+    some = scored(base.filter(F.pmod(F.xxhash64("id"), F.lit(every)) == 0), queries)
+    cuts = settle(some.groupBy("qid").agg(F.percentile_approx("dist", [k / SHELVES for k in range(1, SHELVES)], 1000).alias("cuts")))
+    pairs = scored(base, queries).select("qid", "dist").filter("dist is not null")
+    counts = pairs.groupBy("qid", "dist").agg(F.count("*").alias("c")).join(_sent(cuts, 8 * SHELVES), "qid", "left")
+    shelf = F.size(F.filter(F.coalesce("cuts", F.array().cast("array<double>")), lambda c: c <= F.col("dist")))
+    counts = counts.withColumn("shelf", shelf).drop("cuts")
     shelves = counts.groupBy("qid", "shelf").agg(F.sum("c").alias("s"))
     before = Window.partitionBy("qid").orderBy("shelf").rowsBetween(Window.unboundedPreceding, -1)
     shelves = shelves.withColumn("before", F.coalesce(F.sum("s").over(before), F.lit(0)))
@@ -192,11 +219,12 @@ def distance_grid(base: DataFrame, queries: DataFrame, n_quant: int) -> DataFram
 
 def rank_fractions(base: DataFrame, queries: DataFrame, label: str, k: int, n_quant: int) -> DataFrame:
     """(qid, label, mean_rho, max_rho): where each label's k nearest stand in the query's grid of distances, 0 to 1."""
-    grid = distance_grid(base, queries, n_quant).groupBy("qid").agg(F.sort_array(F.collect_list("quant")).alias("grid"))
-    near = grouped_topk(base, queries, label, k).join(F.broadcast(grid), "qid")
+    grid = settle(distance_grid(base, queries, n_quant).groupBy("qid").agg(F.sort_array(F.collect_list("quant")).alias("grid")))
+    near = grouped_topk(base, queries, label, k).join(_sent(grid, 8 * n_quant), "qid")
     rho = F.size(F.filter("grid", lambda g: g <= F.col("dist"))) / F.lit(n_quant)
     found = near.withColumn("rho", rho).groupBy("qid", label).agg(F.avg("rho").alias("mean_rho"), F.max("rho").alias("max_rho"))
-    every = queries.select("qid").crossJoin(F.broadcast(base.select(label).distinct()))
+    # A row for every query and label is the result asked for.
+    every = queries.select("qid").crossJoin(_sent(settle(base.select(label).distinct()), 64))
     return every.join(found, ["qid", label], "left").select("qid", label, F.coalesce("mean_rho", F.lit(1.0)).alias("mean_rho"), F.coalesce("max_rho", F.lit(1.0)).alias("max_rho"))
 
 

@@ -112,10 +112,10 @@ def rebuild(state: State, f: Forest, live: DataFrame, due: DataFrame, *, slack:
     s, schema = state.stats, state.stats.schema
     inside = f.candidates.join(due, "tree", "left_semi")
     part = Forest(settle(inside), settle(f.fca.join(live.select("id"), "id", "left_semi").join(inside.select("c"), "c", "left_semi").select("id", "c")), settle(f.closure.join(inside.select("c"), "c", "left_semi")), f.lmin, f.lmax)
-    attrs = attributes(live.join(part.fca.select("id"), "id", "left_semi"), schema)
+    attrs = settle(attributes(live.join(part.fca.select("id"), "id", "left_semi"), schema))
     hist, sizes = (settle(x) for x in rollup(part, attrs))
     kept = settle(keep(part, errors(part, hist, sizes, schema, slack), schema, {}, delta_range=delta_range, eps_point=eps_point))
-    new = bound(part, kept, hist, sizes, attrs, schema)
+    new = bound(part, kept, hist, sizes, part.fca.select("id"), attrs, schema)
     ours = inside.select(F.col("c").alias("node"))
     outside = lambda table, key: table.join(ours.withColumnRenamed("node", key), key, "left_anti").select(*table.columns)
     merged = Stats(

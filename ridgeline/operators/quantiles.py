@@ -54,18 +54,24 @@ def quantiles(df: DataFrame, column: str, ps: Sequence[float]) -> list[float]:
     return [found[r] for r in ranks]
 
 
-def lt_for(df: DataFrame, column: str, sel: float) -> P.Atom:
-    top = df.agg(F.max(column)).first()[0] if sel >= 0.999 else None
-    return P.lt(column, (top or 0.0) + 1 if sel >= 0.999 else quantiles(df, column, [sel])[0])
+#: Selectivity from which on a one-sided atom takes every value.
+ALL = 0.999
 
 
-def gt_for(df: DataFrame, column: str, sel: float) -> P.Atom:
-    low = df.agg(F.min(column)).first()[0] if sel >= 0.999 else None
-    return P.gt(column, (low or 0.0) - 1 if sel >= 0.999 else quantiles(df, column, [1 - sel])[0])
+def lt_for(df: DataFrame, column: str, *sels: float) -> list[P.Atom]:
+    """An atom for each selectivity; all come from one pass over the order statistics."""
+    top = df.agg(F.max(column)).first()[0] if max(sels) >= ALL else None
+    return [P.lt(column, (top or 0.0) + 1 if s >= ALL else q) for s, q in zip(sels, quantiles(df, column, sels), strict=True)]
 
 
-def interval_for(df: DataFrame, column: str, sel: float) -> P.Atom:
-    return P.interval(column, *quantiles(df, column, [0.5 - sel / 2, 0.5 + sel / 2]))
+def gt_for(df: DataFrame, column: str, *sels: float) -> list[P.Atom]:
+    low = df.agg(F.min(column)).first()[0] if max(sels) >= ALL else None
+    return [P.gt(column, (low or 0.0) - 1 if s >= ALL else q) for s, q in zip(sels, quantiles(df, column, [1 - s for s in sels]), strict=True)]
+
+
+def interval_for(df: DataFrame, column: str, *sels: float) -> list[P.Atom]:
+    ends = quantiles(df, column, [e for s in sels for e in (0.5 - s / 2, 0.5 + s / 2)])
+    return [P.interval(column, *ends[2 * k : 2 * k + 2]) for k in range(len(sels))]
 
 
 def categories(df: DataFrame, column: str) -> DataFrame:

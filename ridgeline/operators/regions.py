@@ -23,8 +23,11 @@ def forest_regions(nodes: DataFrame, level: int = 2) -> DataFrame:
 
 def voronoi_regions(base: DataFrame, nodes: DataFrame, level: int = 2) -> DataFrame:
     """(id, region, dist): the nearest node of at least the level. True cells: the growth along edges that approximates
-    them elsewhere depends on the order of visits."""
-    anchors = base.join(nodes.filter(F.col("level") >= level).select("id"), "id", "left_semi")
+    them elsewhere depends on the order of visits. Where no node has the level, the entry point (the smallest id of the
+    highest level) is the only anchor."""
+    entry = nodes.agg(F.max(F.struct("level", (-F.col("id")).alias("i"))).alias("e")).select((-F.col("e.i")).alias("id"), (F.col("e.level") < level).alias("alone"))
+    first = settle(nodes.filter(F.col("level") >= level).select("id").union(entry.filter("alone").select("id")))
+    anchors = base.join(first, "id", "left_semi")
     return nearest_centroid(base, anchors).select("id", F.col("cid").alias("region"), "dist")
 
 
@@ -58,21 +61,17 @@ def region_rho_hat(base: DataFrame, region_map: DataFrame) -> DataFrame:
     return rows.groupBy("region").agg(F.avg(F.sqrt(l2_sqr(F.col("v"), F.col("c")))).alias("rho_hat"))
 
 
-def transparent_frontier(adjacency: DataFrame, empty: DataFrame, start: DataFrame, max_hops: int = 64) -> DataFrame:
+def transparent_frontier(adjacency: DataFrame, empty: DataFrame, start: DataFrame) -> DataFrame:
     """(start, region): regions that are not empty and are reached from start(region) through empty regions only.
 
-    empty(region). Every hop adds regions not seen before; it ends when there are none, and raises if max_hops don't do."""
+    empty(region). Every hop adds regions not seen before; it ends when there are none."""
     seen = settle(start.select(F.col("region").alias("start"), "region").distinct())
     edge = adjacency.select(F.col("r_src").alias("region"), F.col("r_dst").alias("next")).distinct()
     front = seen
-    for _ in range(max_hops):
+    while not front.isEmpty():
         # The start itself is left whether empty or not; beyond it only empty regions are passed.
         through = front.join(empty.select("region"), "region", "left_semi").union(front.filter("start = region")).distinct()
         step = through.join(edge, "region").select("start", F.col("next").alias("region")).distinct()
         front = settle(step.join(seen, ["start", "region"], "left_anti"))
-        if front.isEmpty():
-            break
         seen = settle(seen.union(front))
-    else:
-        raise RuntimeError("the frontier did not settle")
     return seen.filter("start <> region").join(empty.select("region"), "region", "left_anti").select("start", "region")

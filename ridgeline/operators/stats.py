@@ -22,8 +22,11 @@ BUCKETS = 32
 
 
 def equi_depth_edges(df: DataFrame, column: str, buckets: int = BUCKETS) -> list[float]:
-    """buckets + 1 edges: the values at ranks i * n / buckets (whole division), then the largest plus one. None for no rows."""
-    n, most = df.filter(F.col(column).isNotNull()).agg(F.count("*"), F.max(column)).first()
+    """buckets + 1 edges: the values at ranks i * n / buckets (whole division), then the largest plus one. None for no rows.
+
+    Nulls and NaN are no values."""
+    df = df.filter(F.col(column).isNotNull() & ~F.isnan(F.col(column).cast("double")))
+    n, most = df.agg(F.count("*"), F.max(column)).first()
     if not n:
         return []
     at = order_statistics(df, column, [i * n // buckets for i in range(buckets)])
@@ -35,9 +38,9 @@ def bucket_number(edges: Sequence[float], x: float) -> int:
 
 
 def bucket_of(edges: Sequence[float], x: Column) -> Column:
-    """Last edge not above x, so that equal edges give the last one; clamped to the ends."""
+    """Last edge not above x, so that equal edges give the last one; clamped to the ends. Null and NaN have none."""
     held = F.array(*[F.lit(float(e)) for e in edges])
-    return F.greatest(F.lit(0), F.least(F.lit(len(edges) - 2), F.size(F.filter(held, lambda e: e <= x)) - 1))
+    return F.when(x.isNotNull() & ~F.isnan(x.cast("double")), F.greatest(F.lit(0), F.least(F.lit(len(edges) - 2), F.size(F.filter(held, lambda e: e <= x)) - 1)))
 
 
 @dataclass(frozen=True)
@@ -61,10 +64,10 @@ def schema_of(base: DataFrame, numeric: Iterable[str], categorical: Iterable[str
 
 
 def attributes(base: DataFrame, schema: Schema) -> DataFrame:
-    """(id, col, bucket double), one row for each value."""
+    """(id, col, bucket double), one row for each value; nulls, and NaN in numeric columns, are no values."""
     each = [F.struct(F.lit(c).alias("col"), bucket_of(e, F.col(c)).cast("double").alias("bucket")) for c, e in schema.edges.items() if e]
     each += [F.struct(F.lit(c).alias("col"), F.col(c).cast("double").alias("bucket")) for c in schema.categorical]
-    return base.select("id", F.inline(F.array(*each)))
+    return base.select("id", F.inline(F.filter(F.array(*each), lambda x: x["bucket"].isNotNull())))
 
 
 def flat_histogram(region_map: DataFrame, attrs: DataFrame) -> DataFrame:
@@ -100,7 +103,7 @@ def forest(nodes: DataFrame, lmin: int = 1, lmax: int = -1) -> Forest:
     now = nodes.select("id", F.col("id").alias("at"))
     for _ in range(lmin):
         now = now.join(hop, "at").select("id", F.when((F.col("at_level") >= lmin) | (F.col("at_father") == F.col("at")), F.col("at")).otherwise(F.col("at_father")).alias("at"))
-    fca = now.join(hop, "at").filter(F.col("at_level") >= lmin).select("id", F.col("at").alias("c"))
+    fca = settle(now.join(hop, "at").filter(F.col("at_level") >= lmin).select("id", F.col("at").alias("c")))
     cands = nodes.filter(F.col("level") >= lmin).select(F.col("id").alias("c"), "level", F.when((F.col("level") < lmax) & (F.col("father") != F.col("id")), F.col("father")).alias("parent"))
     step = cands.select(F.col("c").alias("anc"), F.col("parent").alias("up"))
     front = cands.select("c", F.col("c").alias("anc"), F.lit(0).alias("depth"))
@@ -214,22 +217,22 @@ def flat_stats(region_map: DataFrame, base: DataFrame, schema: Schema) -> Stats:
 
 
 def forest_stats(f: Forest, base: DataFrame, schema: Schema, *, slack: float = 1.0, delta_range: float = 0.05, eps_point: float = 0.10, budget: int = 0) -> Stats:
-    attrs = attributes(base, schema)
+    attrs = settle(attributes(base, schema))
     hist, sizes = (settle(x) for x in rollup(f, attrs))
     widths = {c: len(e) - 1 for c, e in schema.edges.items()} | {c: 0 for c in schema.categorical}
     if budget:
         widths |= {r["col"]: r["n"] for r in hist.filter(F.col("col").isin(list(schema.categorical))).groupBy("col").agg(F.count_distinct("bucket").alias("n")).collect()}
     kept = settle(keep(f, errors(f, hist, sizes, schema, slack), schema, widths, delta_range=delta_range, eps_point=eps_point, budget=budget))
-    return bound(f, kept, hist, sizes, attrs, schema)
+    return bound(f, kept, hist, sizes, base.select("id"), attrs, schema)
 
 
-def bound(f: Forest, kept: DataFrame, hist: DataFrame, sizes: DataFrame, attrs: DataFrame, schema: Schema) -> Stats:
-    """Regions are the candidates kept for any column; a point belongs to its finest one (without any: the first region)."""
+def bound(f: Forest, kept: DataFrame, hist: DataFrame, sizes: DataFrame, points: DataFrame, attrs: DataFrame, schema: Schema) -> Stats:
+    """Regions are the candidates kept for any column; each of points(id) belongs to its finest one (without any: the first region)."""
     regions = kept.select("c").distinct()
     up = f.closure.join(regions.select(F.col("c").alias("anc")), "anc")
     finest = up.groupBy("c").agg(F.min_by("anc", "depth").alias("region"))
     first = regions.agg(F.min("c")).first()[0]
-    points = attrs.select("id").distinct().join(f.fca, "id", "left").join(finest, "c", "left")
+    points = points.join(f.fca, "id", "left").join(finest, "c", "left")
     region_map = settle(points.select("id", F.coalesce("region", F.lit(first)).alias("region")))
     holders = f.closure.join(kept.select("col", F.col("c").alias("anc")), "anc").join(regions, "c").groupBy("col", "c").agg(F.min_by("anc", "depth").alias("node"))
     held = hist.join(kept.select("col", F.col("c").alias("node")), ["col", "node"])
@@ -256,19 +259,19 @@ def cover(edges: Sequence[float], x: float) -> list[float]:
     return out
 
 
-def _atom_terms(stats: Stats, atom: Atom) -> tuple[list[float] | None, float, float]:
-    """Weights of buckets (None: none apply), then sigma = add + scale * sum(cnt * weight) / n."""
+def _weights(stats: Stats, atom: Atom) -> list[float] | None:
+    """Weights of buckets in sigma = sum(cnt * weight) / n; None: the atom's code is the only one that counts."""
     column, cat = atom.proxy or atom.column, stats.schema.categorical
     if atom.form in ("eq", "contains"):
-        return None, 0.0, 1.0
+        return None
     if column in cat or column not in stats.schema.edges:
-        return [], 0.0, 0.0
+        return []
     e = stats.schema.edges[column]
     if atom.form == "lt":
-        return cover(e, atom.a), 0.0, 1.0
+        return cover(e, atom.a)
     if atom.form == "gt":
-        return cover(e, atom.a), 1.0, -1.0
-    return [b - a for a, b in zip(cover(e, atom.a), cover(e, atom.b), strict=True)], 0.0, 1.0
+        return [1.0 - c for c in cover(e, atom.a)]  # nulls are in no bucket and satisfy nothing
+    return [b - a for a, b in zip(cover(e, atom.a), cover(e, atom.b), strict=True)]
 
 
 def sigma_hats(stats: Stats, atoms: Sequence[Atom]) -> DataFrame:
@@ -278,7 +281,7 @@ def sigma_hats(stats: Stats, atoms: Sequence[Atom]) -> DataFrame:
     rows = stats.hist_node.join(sizes, "node", "left").join(stats.hist, ["col", "node"], "left")
     sums = []
     for k, atom in enumerate(atoms):
-        weights, add, scale = _atom_terms(stats, atom)
+        weights = _weights(stats, atom)
         column = atom.proxy or atom.column
         if weights is None:
             code = atom.code if atom.form == "contains" else atom.a
@@ -288,7 +291,7 @@ def sigma_hats(stats: Stats, atoms: Sequence[Atom]) -> DataFrame:
         else:
             w = F.coalesce(F.get(F.array(*[F.lit(x) for x in weights]), F.col("bucket").cast("int")), F.lit(0.0))
         part = F.sum(F.when((F.col("col") == column) & (F.col("held") > 0), F.col("cnt") * w / F.col("held")).otherwise(0.0))
-        value = F.greatest(F.lit(0.0), F.lit(add) + F.lit(scale) * part)
+        value = F.greatest(F.lit(0.0), part)
         sums.append(value.alias(f"s{k}"))
     found = rows.groupBy("region").agg(*sums)
     return found.join(stats.sizes.select(F.col("node").alias("region"), "n"), "region").select("region", "n", *[f"s{k}" for k in range(len(atoms))])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +12,8 @@ from .. import __version__
 from ..functions import coerce
 from ..functions import predicates as P
 from ..operators import cost, graph, knn, maintain, metrics, quantiles, regions, search, stats, synth
-from ..session import settle
+from ..session import own_dir, settle
+from ..sources import files
 from . import fixtures as X
 from .fixtures import BASE_SQL, COST_SQL, EDGES_SQL, FOREST_SQL, K, MIX, MIX_SQL, NODES_SQL, REGIONS_SQL, l2
 
@@ -92,6 +94,17 @@ def knn_tombstone(spark, d):
     return X.shown(knn.exact_topk(b, X.queries(b), K, predicate=P.dnf((P.lt("value", 60),), tombstone="deleted")), "dist")
 
 
+_RAGGED = "CASE WHEN {0}.id % 3 = 0 THEN {0}.v[1:32] ELSE {0}.v END"
+
+
+@query(f"""WITH {BASE_SQL}, c AS MATERIALIZED (SELECT b.id, {_RAGGED.format('b')} AS v FROM b), p AS (SELECT q.id AS qid, c.id, {l2('q.v', 'c.v')} AS d FROM c q, c WHERE q.id % {X.EVERY} = 0 AND len(q.v) = len(c.v)),
+r AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY d, id)::INTEGER AS rank, id, d FROM p) SELECT qid, rank, id, round(d, 6) + 0.0 AS dist FROM r WHERE rank <= {K}""")
+def knn_ragged(spark, d):
+    """Every third vector is cut to half its length: only vectors of one length have a distance."""
+    b = X.base(spark, d).withColumn("v", F.when(F.col("id") % 3 == 0, F.slice("v", 1, 32)).otherwise(F.col("v")))
+    return X.shown(knn.exact_topk(b, X.queries(b), K), "dist")
+
+
 _POST = f"""WITH {BASE_SQL}, p AS (SELECT qid, b.id, value, label, ev, {l2('q.qv', 'b.v')} AS d FROM q, b),
 t AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d, id) AS k FROM p),
 g AS (SELECT qid, id, d, row_number() OVER (PARTITION BY qid ORDER BY d, id)::INTEGER AS rank FROM t WHERE k <= 64 AND {MIX_SQL})"""
@@ -105,13 +118,13 @@ def knn_postfilter(spark, d):
 
 @query(top_sql("(value, b.id) >= (SELECT min((value, id)) FROM b WHERE ev = 2 AND label = 1) AND (value, b.id) <= (SELECT max((value, id)) FROM b WHERE ev = 2 AND label = 1)"))
 def knn_rank_range(spark, d):
-    b = X.settled_base(spark, d)
+    b = X.base(spark, d)
     return X.shown(knn.rank_range(b, X.queries(b), "value", P.dnf((P.eq("ev", 2), P.eq("label", 1))), K), "dist")
 
 
 @query(top_sql("label = (SELECT min_by(label, id) FROM b WHERE value > 100)"))
 def knn_label_first(spark, d):
-    b = X.settled_base(spark, d)
+    b = X.base(spark, d)
     return X.shown(knn.first_label(b, X.queries(b), "label", P.dnf((P.gt("value", 100),)), K), "dist")
 
 
@@ -140,7 +153,7 @@ def search_counters(spark, d):
 h AS (SELECT g.qid, count(*) AS h FROM g JOIN e ON e.qid = g.qid AND e.id = g.id AND e.rank <= {K} WHERE g.rank <= {K} GROUP BY 1)
 SELECT q.qid, coalesce(h.h, 0) / least({K}, (SELECT count(*) FROM b WHERE {MIX_SQL})) AS recall FROM q LEFT JOIN h USING (qid)""")
 def recall_postfilter(spark, d):
-    b = X.settled_base(spark, d)
+    b = X.base(spark, d)
     q = X.queries(b)
     n = b.filter(MIX.condition()).count()
     return metrics.recall(knn.post_filter(b, q, MIX, 64, K), knn.exact_topk(b, q, K, predicate=MIX), q, n, K)
@@ -148,7 +161,7 @@ def recall_postfilter(spark, d):
 
 @query(f"WITH {BASE_SQL} SELECT qid, 1.0::DOUBLE AS recall FROM q")
 def recall_empty(spark, d):
-    b = X.settled_base(spark, d)
+    b = X.base(spark, d)
     none = knn.exact_topk(b, X.queries(b), K, predicate=P.dnf())
     return metrics.recall(none, none, X.queries(b), 0, K)
 
@@ -160,13 +173,13 @@ p AS (SELECT n.qid, b.id, {l2('q.qv', 'b.v')} AS d FROM n JOIN a USING (region)
 r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d, id)::INTEGER AS rank FROM p)
 SELECT qid, rank, id, round(d, 6) + 0.0 AS dist FROM r WHERE rank <= {K}""")
 def knn_probe(spark, d):
-    b = X.settled_base(spark, d)
+    b = X.base(spark, d)
     anchors = b.filter("id % 16 = 0")
     cells = knn.nearest_centroid(b, anchors).select("id", F.col("cid").alias("region"))
     return X.shown(search.probe(b, cells, anchors, X.queries(b), K, 4, P.dnf((P.lt("value", 60),))), "dist")
 
 
-@query()
+@query(top_sql("value IS NOT NULL AND round_even(value * 100, 0)::BIGINT % 2 = 1"))
 def lambda_udf(spark, d):
     """A user's function as predicate, evaluated on Arrow batches."""
 
@@ -185,7 +198,16 @@ def cost_udf(spark, d):
     return X.shown(knn.exact_topk(b, X.queries(b), K, predicate=P.spinning(P.lt("value", 20).condition(), 10)), "dist")
 
 
-@query()
+#: Written by hand: what the predicates' texts must be.
+_CANONICAL = {
+    "knn_filter_lt": "OR(AND(value<20.0))", "knn_filter_gt": "OR(AND(value>60.0))", "knn_filter_interval": "OR(AND(10.0<value<40.0))", "knn_filter_eq_cat": "OR(AND(ev=1.0))",
+    "knn_dnf_and2": "OR(AND(label=1.0,value<50.0))", "knn_dnf_and4": "OR(AND(value>5.0,value<80.0,ev=2.0,label>3.0))", "knn_dnf_or2": "OR(AND(label=1.0),AND(value<5.0))",
+    "knn_dnf_or4": "OR(AND(label=1.0),AND(label=2.0),AND(value<5.0),AND(value>150.0))", "knn_dnf_mix": "OR(AND(label=1.0,value<30.0),AND(label=3.0,value<30.0),AND(ev=2.0))",
+    "knn_dnf_no_clause": "OR()", "knn_dnf_empty_clause": "OR(AND())",
+}
+
+
+@query("SELECT name, canonical, sha256(canonical) AS key FROM (VALUES " + ", ".join(f"('{n}', '{c}')" for n, c in _CANONICAL.items()) + ") t(name, canonical)")
 def predicate_canonical(spark, d):
     rows = [(name, p.canonical(), p.key()) for name, (p, _) in PREDICATES.items()]
     return spark.createDataFrame(rows, "name string, canonical string, key string")
@@ -198,6 +220,8 @@ def version(spark, d):
 
 # --- quantiles and selectivity ----------------------------------------------------------------------------------------
 
+#: Points of a query's grid of distances.
+QUANTS = 1024
 _GRID = [k / 10 for k in range(11)]
 _SORTED = "s AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS k, count(*) OVER () AS n FROM events)"
 
@@ -213,8 +237,8 @@ def _band(make, sql_for):
 
     def run(spark, d):
         e = X.table(spark, d, "events")
-        atoms = [(s, make(e, "value", s)) for s in (*quantiles.BANDS, 1.0)]
-        return spark.createDataFrame([(s, a.a, a.b) for s, a in atoms], "sel double, a double, b double")
+        sels = (*quantiles.BANDS, 1.0)
+        return spark.createDataFrame([(s, a.a, a.b) for s, a in zip(sels, make(e, "value", *sels), strict=True)], "sel double, a double, b double")
 
     return f"WITH {_SORTED} {sql}", run
 
@@ -243,19 +267,19 @@ def selectivity(spark, d):
 
 
 @query(f"""WITH {BASE_SQL}, p AS (SELECT qid, {l2('q.qv', 'b.v')} AS d FROM q, b), s AS (SELECT qid, d, row_number() OVER (PARTITION BY qid ORDER BY d) - 1 AS k, count(*) OVER (PARTITION BY qid) AS n FROM p)
-SELECT qid, i::INTEGER AS i, round(d, 6) + 0.0 AS quant FROM s, range(64) t(i) WHERE k = i * (n - 1) // 63""")
+SELECT qid, i::INTEGER AS i, round(d, 6) + 0.0 AS quant FROM s, range({QUANTS}) t(i) WHERE k = i * (n - 1) // {QUANTS - 1}""")
 def distance_quantiles(spark, d):
     b = X.base(spark, d)
-    return X.shown(knn.distance_grid(b, X.queries(b), 64).withColumn("i", F.col("i").cast("int")), "quant")
+    return X.shown(knn.distance_grid(b, X.queries(b), QUANTS).withColumn("i", F.col("i").cast("int")), "quant")
 
 
 @query(f"""{_GROUPED}, s AS (SELECT qid, d, row_number() OVER (PARTITION BY qid ORDER BY d) - 1 AS k, count(*) OVER (PARTITION BY qid) AS n FROM p),
-g AS (SELECT qid, list(d) AS grid FROM s, range(64) t(i) WHERE k = i * (n - 1) // 63 GROUP BY qid),
-f AS (SELECT qid, label, len(list_filter(grid, lambda x: x <= d)) / 64 AS rho FROM r JOIN g USING (qid) WHERE rank <= 5)
-SELECT qid, label, round(avg(rho), 6) AS mean_rho, round(max(rho), 6) AS max_rho FROM f GROUP BY ALL""")
+g AS (SELECT qid, list(d) AS grid FROM s, range({QUANTS}) t(i) WHERE k = i * (n - 1) // {QUANTS - 1} GROUP BY qid),
+f AS (SELECT qid, label, len(list_filter(grid, lambda x: x <= d)) / {QUANTS} AS rho FROM r JOIN g USING (qid) WHERE rank <= 5)
+SELECT qid, label, round(avg(rho), 12) AS mean_rho, round(max(rho), 12) AS max_rho FROM f GROUP BY ALL""")
 def rho_rank(spark, d):
-    b = X.settled_base(spark, d)
-    return X.shown(knn.rank_fractions(b, X.queries(b), "label", 5, 64), "mean_rho", "max_rho")
+    b = X.base(spark, d)
+    return X.shown(knn.rank_fractions(b, X.queries(b), "label", 5, QUANTS), "mean_rho", "max_rho", digits=12)
 
 
 @query(f"WITH {BASE_SQL} SELECT label, count(*) AS n FROM b GROUP BY label")
@@ -277,6 +301,31 @@ def coerce_json(spark, d):
     return X.table(spark, d, "events").select("event_id", coerce.as_number(k).alias("k_number"), coerce.as_category(k).alias("k_category"), coerce.as_number(none).alias("missing_number"), coerce.as_category(none).alias("missing_category"))
 
 
+_WRITTEN = "SELECT event_id::DOUBLE AS event_id, value, event_type, (dense_rank() OVER (ORDER BY event_type) - 1)::DOUBLE AS event_type_code, {0} AS k FROM events"
+
+
+def _written(spark, d, lines: Callable[[DataFrame], DataFrame]) -> str:
+    """A folder of text files made from all events, for the readers."""
+    path = f"{own_dir(spark)}/{uuid.uuid4().hex}"
+    lines(X.table(spark, d, "events")).write.text(path)
+    return path
+
+
+@query(_WRITTEN.format("coalesce((props->>'$.k')::DOUBLE, 0.0)"))
+def read_jsonl(spark, d):
+    path = _written(spark, d, lambda e: e.select(F.to_json(F.struct("event_id", "value", "event_type", F.get_json_object("props", "$.k").cast("double").alias("p.k")))))
+    columns = [("event_id", "numeric"), ("value", "numeric"), ("event_type", "categorical"), ("p.k", "numeric")]
+    return files.load_jsonl_columns(spark, path, columns).drop("id").withColumnRenamed("p.k", "k")
+
+
+@query(_WRITTEN.format("'<null>'"))
+def read_csv(spark, d):
+    """One file, as only its first line is a header."""
+    header = spark.createDataFrame([("event_id,value,event_type,k",)], "value string")
+    path = _written(spark, d, lambda e: header.union(e.select(F.concat_ws(",", "event_id", "value", "event_type", F.lit("")))).coalesce(1))
+    return files.load_csv_columns(spark, path, [("event_id", "numeric"), ("value", "numeric"), ("event_type", "categorical"), ("k", "categorical")]).select("event_id", "value", "event_type", "event_type_code", "k")
+
+
 @query(f"WITH {BASE_SQL} SELECT id, id % 6 AS w0, (id // 6) % 6 + 6 AS w1, (id // 36) % 6 + 12 AS w2, (id // 216) % 6 + 18 AS w3 FROM b")
 def quad_words(spark, d):
     return X.base(spark, d).select("id", *[F.get(coerce.quad_words(F.col("id")), F.lit(k)).cast("long").alias(f"w{k}") for k in range(4)])
@@ -299,7 +348,7 @@ def _cents(b: DataFrame) -> DataFrame:
 
 @query(f"WITH {BASE_SQL}, {_CENTS} SELECT b.id, min({{'d': {l2('b.v', 'c.v')}, 'i': cid}}).i AS cid FROM b, c GROUP BY b.id")
 def voronoi_assign(spark, d):
-    b = X.settled_base(spark, d)
+    b = X.base(spark, d)
     return knn.nearest_centroid(b, _cents(b)).select("id", "cid")
 
 
@@ -307,14 +356,14 @@ def voronoi_assign(spark, d):
 m AS (SELECT cid, i, avg(v[i]) AS m, count(*) AS n FROM a JOIN b USING (id), range(1, 65) t(i) GROUP BY ALL)
 SELECT c.cid AS id, (m.i - 1)::INTEGER AS pos, round(m.m, 6) + 0.0 AS mean, m.n FROM c JOIN m USING (cid)""")
 def kmeans_step(spark, d):
-    b = X.settled_base(spark, d)
+    b = X.base(spark, d)
     out = synth.kmeans_step(b, _cents(b)).select("id", F.posexplode("v").alias("pos", "mean"), "n")
     return X.shown(out.select("id", "pos", "mean", "n"), "mean")
 
 
 @query(f"WITH {BASE_SQL}, {_CENTS}, a AS (SELECT v AS av FROM c WHERE cid = 3) SELECT cid, (row_number() OVER (ORDER BY {l2('c.v', 'a.av')}, cid) - 1) / 15 AS grade FROM c, a")
 def cf_arange(spark, d):
-    c = _cents(X.settled_base(spark, d))
+    c = _cents(X.base(spark, d))
     anchor = c.filter("id = 3").select(F.col("v").alias("av"))
     from ..functions.vectors import l2_sqr
 
@@ -323,7 +372,7 @@ def cf_arange(spark, d):
 
 @query(f"WITH {BASE_SQL}, {_CENTS} SELECT cid, (row_number() OVER (ORDER BY list_reduce(list_transform(v, lambda x, i: x * (i % 3 - 1)), lambda s, t: s + t), cid) - 1) / 15 AS grade FROM c")
 def cf_range(spark, d):
-    c = _cents(X.settled_base(spark, d))
+    c = _cents(X.base(spark, d))
     along = F.aggregate(F.transform("v", lambda x, k: x * ((k + 1) % 3 - 1)), F.lit(0.0), lambda s, x: s + x)
     return synth.graded_range(c, along)
 
@@ -339,18 +388,18 @@ def zipf_label_map(spark, d):
 
 @query()
 def synthetic_columns(spark, d):
-    b = X.settled_base(spark, d)
+    b = X.base(spark, d)
     return synth.synthetic_columns(b).join(synth.extra_columns(b), "id")
 
 
 @query()
 def cluster_columns(spark, d):
-    return synth.cluster_columns(X.settled_base(spark, d), c=16, labels=5, compact=True, iters=2)
+    return synth.cluster_columns(X.base(spark, d), compact=True)
 
 
 @query()
 def kmeans(spark, d):
-    return synth.kmeans(X.settled_base(spark, d), 16, iters=4)[1]
+    return synth.kmeans(X.base(spark, d), 16)[1]
 
 
 # --- graph and regions ------------------------------------------------------------------------------------------------
@@ -358,54 +407,54 @@ def kmeans(spark, d):
 
 @query(f"WITH {NODES_SQL} SELECT id, level, father FROM nd")
 def nodes_level_father(spark, d):
-    return graph.nodes(X.base(spark, d))
+    return X.nodes(spark, d)
 
 
 @query(f"WITH {REGIONS_SQL} SELECT id, region, parent FROM rg")
 def forest_regions(spark, d):
-    return regions.forest_regions(graph.nodes(X.base(spark, d)))
+    return X.region_map(spark, d)
 
 
 @query(f"WITH {NODES_SQL}, a AS (SELECT lv.id, lv.v FROM lv WHERE level >= 2) SELECT b.id, min({{'d': {l2('b.v', 'a.v')}, 'i': a.id}}).i AS region FROM b, a GROUP BY b.id")
 def voronoi_regions(spark, d):
-    b = X.settled_base(spark, d)
-    return regions.voronoi_regions(b, graph.nodes(b)).select("id", "region")
+    b = X.base(spark, d)
+    return regions.voronoi_regions(b, X.nodes(spark, d)).select("id", "region")
 
 
 @query(f"WITH {REGIONS_SQL} SELECT region, count(*) AS n FROM rg GROUP BY region")
 def region_sizes(spark, d):
-    return regions.region_sizes(regions.forest_regions(graph.nodes(X.base(spark, d))))
+    return regions.region_sizes(X.region_map(spark, d))
 
 
 @query(f"WITH {BASE_SQL}, {EDGES_SQL} SELECT src, dst, rank FROM ed")
 def knn_graph_edges(spark, d):
-    return graph.knn_edges(X.settled_base(spark, d), X.LINKS)
+    return X.edges(spark, d)
 
 
 @query(f"WITH {REGIONS_SQL}, {EDGES_SQL} SELECT s.region AS r_src, t.region AS r_dst, min(ed.dst) AS target, count(*) AS n_edges FROM ed JOIN rg s ON s.id = ed.src JOIN rg t ON t.id = ed.dst WHERE s.region <> t.region GROUP BY ALL")
 def region_adjacency(spark, d):
-    b = X.settled_base(spark, d)
-    return regions.region_adjacency(graph.knn_edges(b, X.LINKS), regions.forest_regions(graph.nodes(b)))
+    b = X.base(spark, d)
+    return regions.region_adjacency(X.edges(spark, d), X.region_map(spark, d))
 
 
 @query(f"WITH {REGIONS_SQL} SELECT region, (i - 1)::INTEGER AS pos, round(avg(v[i]), 6) + 0.0 AS mean FROM b JOIN rg USING (id), range(1, 65) t(i) GROUP BY ALL")
 def region_centroid(spark, d):
-    b = X.settled_base(spark, d)
-    return X.shown(regions.region_centroids(b, regions.forest_regions(graph.nodes(b))), "mean")
+    b = X.base(spark, d)
+    return X.shown(regions.region_centroids(b, X.region_map(spark, d)), "mean")
 
 
 @query(f"""WITH {REGIONS_SQL}, m AS (SELECT region, i, avg(v[i]) AS m FROM b JOIN rg USING (id), range(1, 65) t(i) GROUP BY ALL), c AS (SELECT region, list(m ORDER BY i) AS c FROM m GROUP BY region)
 SELECT region, round(avg(sqrt({l2('b.v', 'c.c')})), 6) AS rho_hat FROM b JOIN rg USING (id) JOIN c USING (region) GROUP BY region""")
 def region_rho_hat(spark, d):
-    b = X.settled_base(spark, d)
-    return X.shown(regions.region_rho_hat(b, regions.forest_regions(graph.nodes(b))), "rho_hat")
+    b = X.base(spark, d)
+    return X.shown(regions.region_rho_hat(b, X.region_map(spark, d)), "rho_hat")
 
 
 @query(f"""WITH {BASE_SQL}, {EDGES_SQL}, s AS (SELECT src, avg((value < 30)::INTEGER::DOUBLE) AS sigma FROM ed JOIN b ON b.id = ed.dst GROUP BY src)
 SELECT src, round(sigma, 6) AS sigma, CASE WHEN sigma >= 0.5 THEN 'one_hop' WHEN sigma * 17 * 16 >= 48 THEN 'two_hop' ELSE 'blind' END AS regime FROM s""")
 def local_selectivity_regime(spark, d):
-    b = X.settled_base(spark, d)
-    return X.shown(graph.local_selectivity(graph.knn_edges(b, X.LINKS), b, P.lt("value", 30).condition(), 16), "sigma")
+    b = X.base(spark, d)
+    return X.shown(graph.local_selectivity(X.edges(spark, d), b, P.lt("value", 30).condition(), 16), "sigma")
 
 
 # --- statistics -------------------------------------------------------------------------------------------------------
@@ -420,9 +469,9 @@ def hist_edges(spark, d):
 
 
 def _flat(spark, d) -> tuple[DataFrame, stats.Schema, DataFrame]:
-    b = X.settled_base(spark, d)
+    b = X.base(spark, d)
     schema = X.schema(b)
-    return b, schema, stats.flat_histogram(regions.forest_regions(graph.nodes(b)), stats.attributes(b, schema))
+    return b, schema, stats.flat_histogram(X.region_map(spark, d), stats.attributes(b, schema))
 
 
 _FLAT = f"WITH {REGIONS_SQL}, {_ATT} SELECT col, region, bucket, count(*) AS cnt FROM att JOIN rg USING (id)"
@@ -438,17 +487,36 @@ def hist_categorical(spark, d):
     return _flat(spark, d)[2].filter("col <> 'value'")
 
 
-def _forest(spark, d):
-    b = X.settled_base(spark, d)
-    _, f = X.forest_of(b)
-    return b, f, X.schema(b)
+_NULLS = f"""n AS (SELECT id, CASE WHEN id % 4 = 0 THEN NULL ELSE value END AS value FROM b), s AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS rn, count(*) OVER () AS n FROM n WHERE value IS NOT NULL),
+eg AS (SELECT i, value AS e FROM s, range({X.BUCKETS}) t(i) WHERE rn = i * n // {X.BUCKETS}), el AS (SELECT list(e ORDER BY i) AS es FROM eg)"""
 
 
-def _forest_stats(spark, d) -> tuple[DataFrame, stats.Forest, stats.Stats]:
-    b, f, schema = _forest(spark, d)
-    return b, f, stats.forest_stats(f, b, schema)
+@query(f"""WITH {REGIONS_SQL}, {_NULLS}
+SELECT 'value' AS col, region, greatest(0, len(list_filter(es, lambda e: e <= value)) - 1)::DOUBLE AS bucket, count(*) AS cnt FROM n JOIN rg USING (id), el WHERE value IS NOT NULL GROUP BY ALL""")
+def hist_with_nulls(spark, d):
+    """Every fourth value is null: it sets no edge and is in no bucket."""
+    b = X.base(spark, d).withColumn("value", F.when(F.col("id") % 4 != 0, F.col("value")))
+    return stats.flat_histogram(X.region_map(spark, d), stats.attributes(b, stats.schema_of(b, ["value"], [], X.BUCKETS)))
+
+
+@query(f"""WITH {REGIONS_SQL}, {_NULLS}, h AS (SELECT id, region, value, greatest(0, len(list_filter(es, lambda e: e <= value)) - 1) AS k FROM n JOIN rg USING (id), el),
+ed AS (SELECT list_append(es, (SELECT max(value) + 1 FROM n)) AS es FROM el),
+c AS (SELECT region, CASE WHEN value IS NULL THEN NULL WHEN es[k + 2] <= es[k + 1] THEN (30 >= es[k + 2])::INTEGER::DOUBLE ELSE least(1.0, greatest(0.0, (30 - es[k + 1]) / (es[k + 2] - es[k + 1]))) END AS below FROM h, ed)
+SELECT region, count(*) AS n, round(coalesce(sum(below), 0) / count(*), 6) AS lt, round(coalesce(sum(1 - below), 0) / count(*), 6) AS gt FROM c GROUP BY region""")
+def sigma_with_nulls(spark, d):
+    """Nulls count as rows of a region, and satisfy neither side."""
+    b = X.base(spark, d).withColumn("value", F.when(F.col("id") % 4 != 0, F.col("value")))
+    s = stats.flat_stats(X.region_map(spark, d), b, stats.schema_of(b, ["value"], [], X.BUCKETS))
+    return X.shown(stats.sigma_hats(s, [P.lt("value", 30), P.gt("value", 30)]).select("region", "n", F.col("s0").alias("lt"), F.col("s1").alias("gt")), "lt", "gt")
 
 
+@query(f"WITH {NODES_SQL}, e AS (SELECT id AS region FROM nd ORDER BY level DESC, id LIMIT 1) SELECT b.id, e.region FROM b, e")
+def voronoi_without_anchor(spark, d):
+    """No node has the level asked for, so the entry point's cell holds every row."""
+    return regions.voronoi_regions(X.base(spark, d), X.nodes(spark, d), 99).select("id", "region")
+
+
+_forest, _forest_stats = X.forest, X.forest_stats
 WR = "WITH RECURSIVE"
 
 
@@ -558,7 +626,7 @@ def hist_bytes(spark, d):
 @query(f"""WITH {REGIONS_SQL}, s AS (SELECT region, count(*) AS n FROM rg GROUP BY region), t AS (SELECT region, n, greatest(0.0, least(1.0, 24.0 / n - 0.4)) AS theta FROM s)
 SELECT region, n, round(theta, 6) AS theta, CASE WHEN 0.3 < theta THEN 'flood' ELSE 'best_first' END AS decision FROM t""")
 def theta(spark, d):
-    sizes = regions.region_sizes(regions.forest_regions(graph.nodes(X.base(spark, d))))
+    sizes = regions.region_sizes(X.region_map(spark, d))
     t = cost.theta(24.0, F.col("n"), cost.Costs())
     return X.shown(sizes.select("region", "n", t.alias("theta"), cost.decide(F.lit(0.3), t).alias("decision")), "theta")
 
@@ -604,8 +672,8 @@ def sigma_bands(spark, d):
 @query(f"""WITH {REGIONS_SQL}, c AS (SELECT region, count(*) FILTER ({MIX_SQL}) AS c FROM rg JOIN b USING (id) GROUP BY region), t AS (SELECT sum(c) AS t, count(*) AS r, sum(c * c) AS s FROM c)
 SELECT t::BIGINT AS matches, r AS regions, round((s / (t * t)::DOUBLE - 1 / r) / (1 - 1 / r), 6) AS rho FROM t""")
 def concentration(spark, d):
-    b = X.settled_base(spark, d)
-    return X.shown(cost.concentration(regions.forest_regions(graph.nodes(b)), b, MIX.condition()), "rho")
+    b = X.base(spark, d)
+    return X.shown(cost.concentration(X.region_map(spark, d), b, MIX.condition()), "rho")
 
 
 # --- search over regions ----------------------------------------------------------------------------------------------
@@ -614,20 +682,20 @@ def concentration(spark, d):
 @query(ORACLE_SQL["knn_dnf_mix"])
 def search_pruned(spark, d):
     b, _, s = _forest_stats(spark, d)
-    return X.shown(search.search(b, s, X.queries(b), MIX, K), "dist")
+    return X.shown(search.search(X.by_region(spark, d), s, X.queries(b), MIX, K), "dist")
 
 
 @query(ORACLE_SQL["knn_dnf_mix"])
 def search_strategy_override(spark, d):
     b, _, s = _forest_stats(spark, d)
-    return X.shown(search.search_with_routes(b, s, search.routing_table(s, MIX, K, force="random"), X.queries(b), MIX, K), "dist")
+    return X.shown(search.search_with_routes(X.by_region(spark, d), s, search.routing_table(s, MIX, K, force="random"), X.queries(b), MIX, K), "dist")
 
 
 @query(f"""{WR} {FOREST_SQL}, sg AS (SELECT hn.region, {X.eq_sql('label', 1)} AS s {X.SIGMA_FROM}), p AS (SELECT qid, b.id, {l2('q.qv', 'b.v')} AS d FROM q, b JOIN rm USING (id) JOIN sg USING (region) WHERE s >= 0.08 AND label = 1),
 r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d, id)::INTEGER AS rank FROM p) SELECT qid, rank, id, round(d, 6) + 0.0 AS dist FROM r WHERE rank <= {K}""")
 def sigma_gate_scan(spark, d):
     b, _, s = _forest_stats(spark, d)
-    return X.shown(search.sigma_gate(b, s, X.queries(b), P.dnf((P.eq("label", 1),)), 0.08, K), "dist")
+    return X.shown(search.sigma_gate(X.by_region(spark, d), s, X.queries(b), P.dnf((P.eq("label", 1),)), 0.08, K), "dist")
 
 
 @query(f"""{WR} {REGIONS_SQL}, {EDGES_SQL}, ad AS MATERIALIZED (SELECT DISTINCT s.region AS a, t.region AS z FROM ed JOIN rg s ON s.id = ed.src JOIN rg t ON t.id = ed.dst WHERE s.region <> t.region),
@@ -635,10 +703,10 @@ em AS MATERIALIZED (SELECT region FROM rg JOIN b USING (id) GROUP BY region HAVI
 w(start, region) AS (SELECT region, region FROM st UNION SELECT w.start, ad.z FROM w JOIN ad ON ad.a = w.region WHERE w.region = w.start OR w.region IN (SELECT region FROM em))
 SELECT start, region FROM w WHERE start <> region AND region NOT IN (SELECT region FROM em)""")
 def transparent_frontier(spark, d):
-    b = X.settled_base(spark, d)
-    rg = settle(regions.forest_regions(graph.nodes(b)))
+    b = X.base(spark, d)
+    rg = settle(X.region_map(spark, d))
     empty = settle(rg.join(b, "id").groupBy("region").agg(F.count_if(F.col("value") > 90).alias("n")).filter("n = 0").select("region"))
-    adjacency = settle(regions.region_adjacency(graph.knn_edges(b, X.LINKS), rg))
+    adjacency = settle(regions.region_adjacency(X.edges(spark, d), rg))
     return regions.transparent_frontier(adjacency, empty, rg.select("region").distinct())
 
 
@@ -649,8 +717,8 @@ _NEW, _OLD = "level = 0 AND id % 5 = 0", "NOT (level = 0 AND id % 5 = 0)"
 
 def _before_inserts(spark, d):
     """State over all rows but some of level 0, the forest over those, and the rows to come with their first candidates."""
-    b = X.settled_base(spark, d)
-    n = graph.nodes(b)
+    b = X.base(spark, d)
+    n = X.nodes(spark, d)
     old = n.filter(_OLD)
     f = stats.forest(old)
     first = settle(b.join(old.select("id"), "id", "left_semi"))

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import coerce
 from ..functions import predicates as P
-from ..operators import graph, stats
-from ..session import settle
+from ..operators import graph, regions, search, stats
+from ..session import once, settle, stamp
 
-K, QUERIES, LINKS, BUCKETS = 10, 20, 8, 32
+#: Queries are the rows whose id is divisible by EVERY.
+K, EVERY, LINKS, BUCKETS = 10, 20, 8, 32
 MIX = P.dnf((P.eq("label", 1), P.lt("value", 30)), (P.eq("label", 3), P.lt("value", 30)), (P.eq("ev", 2),))
 MIX_SQL = "((label = 1 AND value < 30) OR (label = 3 AND value < 30) OR ev = 2)"
 
@@ -19,19 +20,24 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def kept(spark: SparkSession, d: str, name: str, make):
+    """What make() gives, once for an application and the state of the tables that it comes from."""
+    return once(spark, (name, d, stamp(spark, f"{d}/embeddings.parquet"), stamp(spark, f"{d}/events.parquet")), make)
+
+
 def base(spark: SparkSession, d: str) -> DataFrame:
-    """id, v, label, value, event_type, ev (its code): vectors with attributes by equal ids."""
+    """id, v, label, value, event_type, ev (its code): vectors with attributes by equal ids, joined and stored once."""
+    return kept(spark, d, "base", lambda: settle(_base(spark, d)))
+
+
+def _base(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), F.col("label").cast("double").alias("label"))
     rows = e.join(table(spark, d, "events").select(F.col("event_id").alias("id"), "value", "event_type"), "id")
     return coerce.dict_encode(rows, "event_type", "ev")
 
 
-def settled_base(spark: SparkSession, d: str) -> DataFrame:
-    return settle(base(spark, d))
-
-
-def queries(b: DataFrame, n: int = QUERIES) -> DataFrame:
-    return b.filter(F.col("id") < n).select(F.col("id").alias("qid"), F.col("v").alias("qvec"))
+def queries(b: DataFrame, every: int = EVERY) -> DataFrame:
+    return b.filter(F.col("id") % every == 0).select(F.col("id").alias("qid"), F.col("v").alias("qvec"))
 
 
 def shown(df: DataFrame, *rounded: str, digits: int = 6) -> DataFrame:
@@ -43,9 +49,32 @@ def schema(b: DataFrame) -> stats.Schema:
     return stats.schema_of(b, ["value"], ["label", "ev"], BUCKETS)
 
 
-def forest_of(b: DataFrame) -> tuple[DataFrame, stats.Forest]:
-    n = graph.nodes(b)
-    return n, stats.forest(n)
+def nodes(spark: SparkSession, d: str) -> DataFrame:
+    return kept(spark, d, "nodes", lambda: graph.nodes(base(spark, d)))
+
+
+def edges(spark: SparkSession, d: str) -> DataFrame:
+    return kept(spark, d, "edges", lambda: settle(graph.knn_edges(base(spark, d), LINKS)))
+
+
+def region_map(spark: SparkSession, d: str) -> DataFrame:
+    return kept(spark, d, "regions", lambda: settle(regions.forest_regions(nodes(spark, d))))
+
+
+def forest(spark: SparkSession, d: str) -> tuple[DataFrame, stats.Forest, stats.Schema]:
+    """Base, forest and schema."""
+    return kept(spark, d, "forest", lambda: (base(spark, d), stats.forest(nodes(spark, d)), schema(base(spark, d))))
+
+
+def forest_stats(spark: SparkSession, d: str) -> tuple[DataFrame, stats.Forest, stats.Stats]:
+    """Base, forest and its statistics: the index of a search."""
+    b, f, s = forest(spark, d)
+    return kept(spark, d, "stats", lambda: (b, f, stats.forest_stats(f, b, s)))
+
+
+def by_region(spark: SparkSession, d: str) -> DataFrame:
+    b, _, s = forest_stats(spark, d)
+    return kept(spark, d, "by_region", lambda: search.by_region(b, s))
 
 
 def l2(a: str, b: str) -> str:
@@ -56,12 +85,12 @@ def ip(a: str, b: str) -> str:
     return f"-list_reduce(list_transform(list_zip({a}, {b}), lambda z: z[1] * z[2]), lambda s, t: s + t)"
 
 
-BASE_SQL = """b AS MATERIALIZED (SELECT e.vec_id AS id, e.embedding::DOUBLE[] AS v, e.label::DOUBLE AS label, ev.value, ev.event_type,
+BASE_SQL = f"""b AS MATERIALIZED (SELECT e.vec_id AS id, e.embedding::DOUBLE[] AS v, e.label::DOUBLE AS label, ev.value, ev.event_type,
   (dense_rank() OVER (ORDER BY ev.event_type) - 1)::DOUBLE AS ev FROM embeddings e JOIN events ev ON ev.event_id = e.vec_id),
-q AS MATERIALIZED (SELECT id AS qid, v AS qv FROM b WHERE id < 20)"""
+q AS MATERIALIZED (SELECT id AS qid, v AS qv FROM b WHERE id % {EVERY} = 0)"""
 
 NODES_SQL = f"""{BASE_SQL},
-lv AS MATERIALIZED (SELECT id, v, (h < 1073741824)::INTEGER + (h < 268435456)::INTEGER + (h < 67108864)::INTEGER + (h < 16777216)::INTEGER AS level
+lv AS MATERIALIZED (SELECT id, v, {' + '.join(f'(h < {2**32 // 4**k})::INTEGER' for k in range(1, 16))} AS level
   FROM (SELECT id, v, (id * 2654435761 + 12345) % 4294967296 AS h FROM b)),
 nf AS (SELECT a.id, min({{'d': {l2('a.v', 'c.v')}, 'i': c.id}}).i AS father FROM lv a JOIN lv c ON c.level > a.level GROUP BY a.id),
 nd AS MATERIALIZED (SELECT a.id, a.level, coalesce(nf.father, a.id) AS father FROM lv a LEFT JOIN nf ON a.id = nf.id)"""
@@ -83,7 +112,7 @@ att AS MATERIALIZED (SELECT id, 'value' AS col, greatest(0, least({BUCKETS - 1},
   UNION ALL SELECT id, 'label', label FROM b UNION ALL SELECT id, 'ev', ev FROM b)"""
 
 
-CANDIDATES_SQL = """lm AS (SELECT coalesce(max(l), 1) AS lmax FROM range(1, 5) t(l) WHERE (SELECT count(*) FROM nd WHERE level >= l) >= 2),
+CANDIDATES_SQL = """lm AS (SELECT coalesce(max(l), 1) AS lmax FROM range(1, 16) t(l) WHERE (SELECT count(*) FROM nd WHERE level >= l) >= 2),
 cd AS MATERIALIZED (SELECT id AS c, level, CASE WHEN level < lmax AND father <> id THEN father END AS parent FROM nd, lm WHERE level >= 1),
 cl(c, anc, depth) AS (SELECT c, c, 0 FROM cd UNION ALL SELECT cl.c, cd.parent, cl.depth + 1 FROM cl JOIN cd ON cd.c = cl.anc WHERE cd.parent IS NOT NULL),
 tr AS MATERIALIZED (SELECT c, max_by(anc, depth) AS tree FROM cl GROUP BY c)"""

@@ -41,6 +41,38 @@ def test_recall(spark, got, truth, n, want):
     assert metrics.recall(rows(got), rows(truth), q, n, 3).first()["recall"] == pytest.approx(want)
 
 
+@pytest.mark.parametrize("send", [knn.SEND_BYTES, 47, 1])
+def test_vectors_of_other_lengths_and_odd_components(spark, send):
+    inf = float("inf")
+    base = spark.createDataFrame([(1, [1.0]), (2, [2.0, 3.0, 4.0]), (3, [1.0, 3.0]), (4, None), (5, [1.0, None]), (6, [inf, 0.0]), (7, []), (8, [0.0, 2.0])], "id bigint, v array<double>")
+    q = spark.createDataFrame([(0, [1.0, 2.0]), (1, [2.0]), (2, []), (3, None)], "qid bigint, qvec array<double>")
+    got = [tuple(r) for r in knn.exact_topk(base, q, 5, send_bytes=send).orderBy("qid", "rank").collect()]
+    assert got == [(0, 1, 3, 1.0), (0, 2, 8, 1.0), (1, 1, 1, 1.0), (2, 1, 7, 0.0)]
+
+
+def test_roots_without_a_distance(spark):
+    base = spark.createDataFrame([(i, [float(i)] * (2 if i % 2 else 3)) for i in range(400)] + [(500, None), (501, [1.0] * 9)], "id bigint, v array<double>")
+    rows = {r["id"]: r for r in graph.nodes(base).collect()}
+    assert 500 not in rows and rows[501]["father"] == 501
+    assert all(r["father"] % 2 == i % 2 for i, r in rows.items() if i < 400)
+    far = graph.nodes(base, send_bytes=1)
+    assert {r["id"]: r["father"] for r in far.collect()} == {i: r["father"] for i, r in rows.items()}
+
+
+def test_voronoi_cells_without_an_anchor(spark, cloud):
+    base, _ = cloud
+    n = graph.nodes(base)
+    entry = n.orderBy(F.desc("level"), "id").first()["id"]
+    assert {r["region"] for r in regions.voronoi_regions(base, n, 99).collect()} == {entry}
+
+
+def test_a_frontier_behind_many_empty_regions(spark):
+    pairs = spark.createDataFrame([(i, i + 1) for i in range(70)], "r_src bigint, r_dst bigint")
+    empty = spark.createDataFrame([(i,) for i in range(1, 70)], "region bigint")
+    got = regions.transparent_frontier(pairs, empty, spark.createDataFrame([(0,)], "region bigint")).collect()
+    assert [tuple(r) for r in got] == [(0, 70)]
+
+
 def test_three_ways_agree_with_numpy(spark, cloud):
     base, x = cloud
     q = base.filter("id % 60 = 0").select(F.col("id").alias("qid"), F.col("v").alias("qvec"))
@@ -118,10 +150,3 @@ def test_settled_tables(spark):
     assert df.count() == 0 and df.schema["id"].dataType.simpleString() == "bigint"
 
 
-def test_transparent_frontier_raises_at_its_bound(spark):
-    """A chain of empty regions that is longer than the hops allowed is not cut in silence."""
-    chain = spark.createDataFrame([(i, i + 1) for i in range(5)], "r_src int, r_dst int")
-    empty, start = spark.createDataFrame([(i,) for i in range(1, 5)], "region int"), spark.createDataFrame([(0,)], "region int")
-    assert [tuple(r) for r in regions.transparent_frontier(chain, empty, start, max_hops=8).collect()] == [(0, 5)]
-    with pytest.raises(RuntimeError):
-        regions.transparent_frontier(chain, empty, start, max_hops=3)

@@ -58,10 +58,46 @@ def test_pool_and_codes(spark, tmp_path):
         files.read_text_pool(spark, path, 4)
     with pytest.raises(Exception, match="truncated"):
         files.read_text_pool(spark, write(tmp_path / "short", pool[:-1]), 3).collect()
+    with pytest.raises(Exception, match="out of order"):
+        files.read_text_pool(spark, write(tmp_path / "wrong", struct.pack("<5Q", 3, 0, 3, 2, 4) + b"abcd"), 3).collect()
     codes = write(tmp_path / "codes", struct.pack("<3H", 1, 65535, 0))
     assert [r["code"] for r in files.read_codes(spark, codes, 3).orderBy("id").collect()] == [1, 65535, 0]
 
 
+def test_pools_and_codes_are_read_in_ranges(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "RANGE_ROWS", 7)
+    monkeypatch.setattr(files, "RANGE_BYTES", 16)
+    texts = ["x" * (i * 7 % 23) + "é" * (i % 3) for i in range(60)] + ["long " * 30]
+    offsets = [0]
+    for t in texts:
+        offsets.append(offsets[-1] + len(t.encode()))
+    path = write(tmp_path / "pool", struct.pack(f"<{len(offsets) + 1}Q", len(texts), *offsets) + "".join(texts).encode())
+    assert [(r["id"], r["text"]) for r in files.read_text_pool(spark, path, len(texts)).orderBy("id").collect()] == list(enumerate(texts))
+    assert files.read_text_pool(spark, path, 9).count() == 9 and files.read_text_pool(spark, path, 0).count() == 0
+    codes = write(tmp_path / "codes", struct.pack("<100H", *range(100)))
+    assert [r["code"] for r in files.read_codes(spark, codes).orderBy("id").collect()] == list(range(100))
+
+
+def test_places_in_files_of_many_partitions(spark, tmp_path):
+    rows = [[i, -i] for i in range(5000)]
+    path = write(tmp_path / "a.fvecs", vecs(rows))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        lines = write(tmp_path / "a.jsonl", "\n".join(f'{{"n": {i}, "a.b": 1, "a": {{"b": 2}}}}' for i in range(5000)).encode())
+        got = files.load_jsonl_columns(spark, lines, [("n", "numeric"), ("a.b", "numeric")])
+        assert got.rdd.getNumPartitions() > 4
+        assert [(r[0], r[1], r[2]) for r in got.orderBy("id").collect()] == [(i, i, 1) for i in range(5000)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [(r["id"], r["v"]) for r in files.read_fvecs(spark, path).orderBy("id").collect()] == list(enumerate(rows))
+
+
+def test_deep_arrays(spark, tmp_path):
+    lines = ['{"c": ' + "[" * 12 + "7" + "]" * 12 + "}", '{"c": ' + "[" * 9 + "]" * 9 + "}", '{"c": [[null]]}', '{"c": [[{"a": 1}]]}', '{"c": "[[x"}', '{"c": [["[["]]}']
+    rows = files.load_jsonl_columns(spark, write(tmp_path / "a.jsonl", "\n".join(lines).encode()), [("c", "categorical")]).orderBy("id").collect()
+    assert [r["c"] for r in rows] == ["7", "<other>", "<null>", "<other>", "[[x", "[["]
+
+
 def test_catalogue(spark, tmp_path):
     (tmp_path / "configs").mkdir()
     (tmp_path / "configs/datasets.toml").write_text('[[dataset]]\nid = "toy"\nbase = "b"\nquery = "q"\nattributes = "a.csv"\n[[dataset.columns]]\nfield = "p"\n[[dataset.columns]]\nfield = "k"\ntype = "categorical"\n')

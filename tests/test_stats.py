@@ -147,6 +147,33 @@ def test_stream(spark, made, tmp_path):
     assert m.state.trees.agg(F.sum("n")).first()[0] == 550
 
 
+def test_a_restarted_stream_finds_its_state(spark, made, tmp_path):
+    base, _, f, _, s, _ = made
+    first = maintain.State(s, settle(maintain.trees_of(f)), frozenset({"label"}))
+    apply = lambda st, batch: maintain.delete(st, f, batch, base)[0]
+    gone, check, kept = (str(tmp_path / x) for x in ("gone", "check", "kept"))
+    for low, left in ((0, 550), (50, 500)):
+        base.filter(f"id >= {low} and id < {low + 50}").select("id").write.mode("append").parquet(gone)
+        m = Maintainer(first, apply, kept)
+        maintain_from(spark.readStream.schema("id bigint").parquet(gone), m, check, once=True).awaitTermination()
+        assert m.state.trees.agg(F.sum("n")).first()[0] == left
+    again = Maintainer(first, apply, kept)
+    assert again.done == m.done and again.state.trees.agg(F.sum("n")).first()[0] == 500
+    assert again.state.degraded == {"label"} and again.state.stats.schema == s.schema
+    for name in ("sizes", "hist", "hist_node", "presence", "region_map"):
+        a, b = getattr(again.state.stats, name), getattr(m.state.stats, name)
+        assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+
+def test_rows_without_values_keep_their_region(spark, made):
+    base, _, f, _, _, _ = made
+    holes = base.withColumns({"value": F.when(F.col("id") % 2 == 0, F.col("value")), "label": F.when(F.col("id") % 2 == 0, F.col("label"))})
+    schema = stats.schema_of(holes, ["value"], ["label"], 16)
+    s = stats.forest_stats(f, holes, schema)
+    assert s.region_map.count() == 600 and s.region_map.filter("region is null").count() == 0
+    assert stats.attributes(holes, schema).filter("id % 2 = 1").count() == 0
+
+
 def test_synthetic(spark, made):
     base = made[0]
     row = synth.extra_columns(base).agg(F.min("u_zipf"), F.avg("u_uni2"), F.avg("u_exp"), F.stddev("u_gauss2")).first()
