@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import settle  # noqa: F401
+from ..session import ready, settle  # noqa: F401
 
 #: Rows that Python code takes from an Arrow batch at once, so that its lists stay small.
 SLICE_ROWS = 256
@@ -24,7 +24,7 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict
     """Maps slices of rows, as dicts of Python lists, with the function that make() builds once in each task.
 
     Sets the session's bound on the bytes of an Arrow batch, so that memory follows neither the rows nor their lengths."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    ready(df.sparkSession).conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     out = to_arrow(df.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -55,6 +55,9 @@ def terms_of(text: str) -> Counter:
     return out
 
 
+_NONE = [-1] * (1 + len(DENSE))
+
+
 class Terms(dict):
     """Numbers of known terms in many texts at once: the same as terms_of(), without making each term's string.
 
@@ -63,13 +66,23 @@ class Terms(dict):
     def __init__(self, vocabulary: list[str]):
         super().__init__()
         self.known = {t: k for k, t in enumerate(vocabulary)}
-        self.forget()
-
-    def forget(self) -> None:
-        self.clear()
+        stems = {t[: t.index("*")] for t in vocabulary if "*" in t}
+        self.of_start = {s: [self.known.get(f"{s}*{d}", -1) for d in ("", *DENSE)] for s in stems}
         self.begun: dict[str, int] = {}
         #: Of each word its term and the rows of its beginnings; of each beginning its terms; -1 where there is none.
         self.words, self.starts = array("i"), array("i")
+        for t in vocabulary:
+            if "*" not in t:
+                self[t]
+        self.first = dict(self), dict(self.begun), array("i", self.words), array("i", self.starts)
+
+    def forget(self) -> None:
+        """Forgets the words that no example has."""
+        words, begun, *held = self.first
+        self.clear()
+        self.update(words)
+        self.begun = dict(begun)
+        self.words, self.starts = (array("i", x) for x in held)
 
     def __missing__(self, w: str) -> int:
         row = self[w] = len(self)
@@ -85,12 +98,12 @@ class Terms(dict):
 
     def _start(self, s: str) -> int:
         row = self.begun[s] = len(self.begun)
-        self.starts.extend([self.known.get(f"{s}*{d}", -1) for d in ("", *DENSE)])
+        self.starts.extend(self.of_start.get(s, _NONE))
         return row
 
     def entries(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, term, count) of every term of every text; term -1: not known."""
-        if len(self) > REMEMBERED:
+        if len(self) > len(self.first[0]) + REMEMBERED:
             self.forget()
         rows: list[int] = []
         counts: list[int] = []
