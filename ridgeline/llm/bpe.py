@@ -13,7 +13,8 @@ import hashlib
 from collections.abc import Iterable
 from itertools import islice
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._shared import arrow_map
@@ -49,20 +50,6 @@ class PrefixBPE:
         self.memo = _Memo(self)
         self.bytes_of_text = {str(i): b for i, b in self.bytes_of.items()}
 
-    def merge(self, piece: bytes) -> list[int]:
-        """Plain merging, only for single tokens: it settles how a token comes about."""
-        parts = [piece[i : i + 1] for i in range(len(piece))]
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                r = self.ranks.get(parts[i] + parts[i + 1])
-                if r is not None and (best is None or r < best):
-                    best, at = r, i
-            if best is None:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [self.ranks[p] for p in parts]
-
     def split(self, token: int):
         """The two tokens whose merge yields this one; None for a single byte, False if merging never reaches it."""
         found = self._split.get(token, 0)
@@ -190,9 +177,9 @@ class PrefixBPE:
                 before = raw
                 memo[piece] = " ".join(map(str, self.walk(last)))
 
-    def digests(self, texts: list[str]) -> list[tuple[int, str, str]]:
-        """For each text the number of ids, hex SHA-256 of the ids' text and of the bytes decoded from it."""
-        out: list[tuple[int, str, str]] = []
+    def digests(self, texts: list[str], with_ids: bool = False) -> list[tuple]:
+        """For each text the number of ids, hex SHA-256 of the ids' text and of the bytes decoded from it, and the ids if asked for."""
+        out: list[tuple] = []
         at = 0
         while at < len(texts):
             upto, chars = at, 0
@@ -201,19 +188,20 @@ class PrefixBPE:
                 upto += 1
             split = [self.pattern.findall(t) if len(t) <= LONG_TEXT else None for t in texts[at:upto]]
             self.learn(set().union(*(x for x in split if x)))
-            out += [self._long_digest(t) if x is None else self._of(" ".join(map(self.memo.__getitem__, x))) for t, x in zip(texts[at:upto], split, strict=True)]
+            out += [self._long_digest(t, with_ids) if x is None else self._of(" ".join(map(self.memo.__getitem__, x)), with_ids) for t, x in zip(texts[at:upto], split, strict=True)]
             at = upto
         return out
 
     def digest(self, text: str) -> tuple[int, str, str]:
         return self.digests([text])[0]
 
-    def _of(self, s: str) -> tuple[int, str, str]:
+    def _of(self, s: str, with_ids: bool) -> tuple:
         ids = s.split(" ") if s else []
-        return len(ids), hashlib.sha256(s.encode()).hexdigest(), hashlib.sha256(b"".join(map(self.bytes_of_text.__getitem__, ids))).hexdigest()
+        found = len(ids), hashlib.sha256(s.encode()).hexdigest(), hashlib.sha256(b"".join(map(self.bytes_of_text.__getitem__, ids))).hexdigest()
+        return (*found, np.array(ids, np.int32)) if with_ids else found
 
-    def _long_digest(self, text: str) -> tuple[int, str, str]:
-        n, of_ids, of_bytes = 0, hashlib.sha256(), hashlib.sha256()
+    def _long_digest(self, text: str, with_ids: bool) -> tuple:
+        n, of_ids, of_bytes, parts = 0, hashlib.sha256(), hashlib.sha256(), []
         pieces = (m.group() for m in self.pattern.finditer(text))
         while group := list(islice(pieces, LONG_GROUP)):
             s = " ".join(map(self.memo.of().__getitem__, group))
@@ -221,7 +209,10 @@ class PrefixBPE:
             ids = s.split(" ")
             n += len(ids)
             of_bytes.update(b"".join(map(self.bytes_of_text.__getitem__, ids)))
-        return n, of_ids.hexdigest(), of_bytes.hexdigest()
+            if with_ids:
+                parts.append(np.array(ids, np.int32))
+        found = n, of_ids.hexdigest(), of_bytes.hexdigest()
+        return (*found, np.concatenate(parts)) if with_ids else found
 
 
 class _Memo(dict):
@@ -316,28 +307,30 @@ def coder_for(data: bytes, pattern: str) -> PrefixBPE:
     return _CODERS[key]
 
 
+def _sent(spark: SparkSession, ranks_path: str):
+    """The rank file, broadcast if it isn't too long for that."""
+    with open(ranks_path, "rb") as f:
+        data = f.read()
+    if len(data) > 64 << 20:
+        raise ValueError("a rank file of more than 64 MB is not broadcast")
+    return spark.sparkContext.broadcast(data)
+
+
 def encode(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """One row per row of docs: id, n_tokens, ids_sha256, decoded_sha256, and ids (array<int>) if with_ids.
 
     The rank file is read by the driver and broadcast (under 1 MB for 50,000 tokens). Null and empty texts have no ids;
     a null id stays null; repeated rows are encoded each; other columns are left out, whatever their names.
     """
-    with open(ranks_path, "rb") as f:
-        data = f.read()
-    if len(data) > 64 << 20:
-        raise ValueError("a rank file of more than 64 MB is not broadcast")
-    held = docs.sparkSession.sparkContext.broadcast(data)
+    held = _sent(docs.sparkSession, ranks_path)
 
     def make():
-        import numpy as np
-
         coder = coder_for(held.value, pattern)
 
         def work(cols: dict[str, list]) -> dict[str, list]:
-            texts = [t or "" for t in cols["text"]]
-            found = coder.digests(texts)
-            out = {"id": cols["id"]} | {k: [x[i] for x in found] for i, k in enumerate(("n_tokens", "ids_sha256", "decoded_sha256"))}
-            return out | {"ids": [np.array(coder.ids_text(t).split(), dtype=np.int32) for t in texts]} if with_ids else out
+            found = coder.digests([t or "" for t in cols["text"]], with_ids)
+            names = ("n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if with_ids else []))
+            return {"id": cols["id"]} | {k: [x[i] for x in found] for i, k in enumerate(names)}
 
         return work
 
@@ -349,8 +342,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc
 
 def decode(rows: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """id and text decoded from an array of ids (null: empty); bytes that are no UTF-8 become replacement characters."""
-    with open(ranks_path, "rb") as f:
-        held = rows.sparkSession.sparkContext.broadcast(f.read())
+    held = _sent(rows.sparkSession, ranks_path)
 
     def make():
         coder = coder_for(held.value, pattern)

@@ -39,7 +39,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
     taken = mixing.mix(docs, source=F.col("source"), lang=F.col("lang"), tokens=mixing.word_tokens(F.col("text")))
-    return taken.select(F.col("row")["doc_id"].alias("doc_id"), "source", "lang", "topic", "tokens", F.round("p", 6).alias("probability"))
+    return taken.select(F.col("row")["doc_id"].alias("doc_id"), "source", "lang", "topic", "tokens", F.round("p", 6).alias("probability"), *[(F.round(f"{s}_miss", 6) + F.lit(0.0)).alias(f"{s}_miss") for s in mixing.SIDES])
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,22 +79,28 @@ _VECTORS = """v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e,
 
 
 def _op5_sql() -> str:
-    """Raking as a chain of window steps over the cells, then the same sampling."""
+    """Raking as a chain of window steps over the cells, then the same sampling.
+
+    What values can reach is found in closed form: in falling order of share over tokens, the values that are used up are a
+    prefix, and of all prefixes the right one gives the others the largest scale."""
+    rest = lambda s: ", ".join(x for x in mixing.SIDES if x != s)
+    reach = ", ".join(f"""t_{s} AS MATERIALIZED (SELECT {s}, t, r / sum(r) OVER () AS share FROM (SELECT {s}, t, CASE WHEN t > 0 THEN pow(t / sum(t) OVER (), {mixing.TEMPER}) ELSE 0.0 END AS r FROM (SELECT {s}, sum(tokens)::DOUBLE AS t FROM c0 GROUP BY 1))),
+x_{s} AS (SELECT *, coalesce(sum(t) OVER (ORDER BY share / t DESC, {s} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS gone, sum(share) OVER (ORDER BY share / t DESC, {s} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS others FROM t_{s} WHERE share > 0),
+w_{s} AS MATERIALIZED (SELECT {s}, share, CASE WHEN share > 0 THEN least(t, share * (SELECT max(((SELECT {mixing.FRACTION} * sum(tokens) FROM c0) - gone) / others) FROM x_{s})) ELSE 0.0 END AS want FROM t_{s})""" for s in mixing.SIDES)
     steps, last = [], "c0"
     for k in range(mixing.ROUNDS * len(mixing.SIDES)):
         s = mixing.SIDES[k % len(mixing.SIDES)]
-        steps.append(f"c{k + 1} AS MATERIALIZED (SELECT c.source, c.lang, c.topic, c.tokens, c.f * CASE WHEN h.have > 0 THEN t.share / h.have WHEN t.share > 0 THEN 1.0 ELSE 0.0 END AS f FROM {last} c JOIN (SELECT {s}, sum(tokens * f) AS have FROM {last} GROUP BY 1) h ON c.{s} = h.{s} JOIN t_{s} t ON c.{s} = t.{s})")
+        order = f"PARTITION BY {s} ORDER BY p DESC, {rest(s)} ROWS BETWEEN"
+        steps.append(f"""c{k + 1} AS MATERIALIZED (SELECT c.source, c.lang, c.topic, c.tokens, least(1.0, c.p * n.r) AS p FROM {last} c JOIN (SELECT {s}, coalesce(max((want - gone) / others) FILTER (others > 0), 0.0) AS r FROM
+  (SELECT {s}, coalesce(sum(tokens) OVER ({order} UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS gone, sum(tokens * p) OVER ({order} CURRENT ROW AND UNBOUNDED FOLLOWING) AS others FROM {last}) JOIN w_{s} USING ({s}) GROUP BY {s}) n USING ({s}))""")
         last = f"c{k + 1}"
-    levels = [f"g0 AS MATERIALIZED (SELECT {mixing.FRACTION} * sum(tokens) / sum(tokens * f) AS c FROM {last})"]
-    levels += [f"g{k + 1} AS MATERIALIZED (SELECT coalesce(({mixing.FRACTION} * sum(tokens) - coalesce(sum(tokens) FILTER (f * c >= 1), 0)) / sum(tokens * f) FILTER (f * c < 1), any_value(c)) AS c FROM {last}, g{k})" for k in range(mixing.STEPS)]
-    targets = ", ".join(f"t_{s} AS MATERIALIZED (SELECT {s}, r / sum(r) OVER () AS share FROM (SELECT {s}, CASE WHEN t > 0 THEN pow(t / sum(t) OVER (), {mixing.TEMPER}) ELSE 0.0 END AS r FROM (SELECT {s}, sum(tokens)::DOUBLE AS t FROM c0 GROUP BY 1)))" for s in mixing.SIDES)
+    misses = ", ".join(f"m_{s} AS (SELECT {s}, round(sum(tokens * p) / (SELECT sum(tokens * p) FROM {last}) - any_value(share), 6) + 0.0 AS {s}_miss FROM {last} JOIN w_{s} USING ({s}) GROUP BY {s})" for s in mixing.SIDES)
     return f"""WITH w AS MATERIALIZED (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang,
   len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS tokens FROM documents),
 d AS MATERIALIZED (SELECT *, CASE WHEN tokens < 128 THEN 'short' WHEN tokens < 1024 THEN 'medium' ELSE 'long' END AS topic FROM w),
-c0 AS MATERIALIZED (SELECT source, lang, topic, sum(tokens)::DOUBLE AS tokens, 1.0::DOUBLE AS f FROM d GROUP BY ALL),
-{targets}, {', '.join(steps)}, {', '.join(levels)},
-p AS (SELECT source, lang, topic, least(1.0, f * c) AS p FROM {last}, g{mixing.STEPS})
-SELECT d.doc_id, d.source, d.lang, d.topic, d.tokens, round(p.p, 6) AS probability FROM d JOIN p USING (source, lang, topic)
+c0 AS MATERIALIZED (SELECT source, lang, topic, sum(tokens)::DOUBLE AS tokens, 1.0::DOUBLE AS p FROM d GROUP BY ALL),
+{reach}, {', '.join(steps)}, {misses}
+SELECT d.doc_id, d.source, d.lang, d.topic, d.tokens, round(p.p, 6) AS probability, source_miss, lang_miss, topic_miss FROM d JOIN {last} p USING (source, lang, topic) JOIN m_source USING (source) JOIN m_lang USING (lang) JOIN m_topic USING (topic)
 WHERE ('0x' || substr(md5('{mixing.SEED}:' || coalesce(d.doc_id::VARCHAR, '')), 1, 13))::UBIGINT::DOUBLE / {2**52} < p.p"""
 
 
@@ -113,6 +119,25 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM d GROUP BY conv_id"""
 
 
+def _op8_sql() -> str:
+    """The base kinds: what stands before a match is the pieces and matches before it. DuckDB has no CRC-32, so tokens with a
+    checksum, of which the tables have none, are left out."""
+    either = lambda word: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
+    words = "|".join(map(either, ("password", "passwd", "secret", "token", "api_?key")))
+    assign = f"""({words})["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+    kinds = (("assign", assign, f"length(regexp_extract(x, '{assign}', 2)) >= 12"), ("access", "AKIA[A-Z0-9]+", "length(x) >= 18"), ("hex", "[0-9a-f]{16,}", "true"))
+    found = " UNION ALL ".join(f"SELECT row, '{kind}' AS kind, {k} AS place, string_split_regex(t, '{pattern}') AS p, regexp_extract_all(t, '{pattern}') AS m FROM d WHERE regexp_matches(t, '{pattern}')" for k, (kind, pattern, _) in enumerate(kinds))
+    good = " ".join(f"WHEN '{kind}' THEN {test}" for kind, _, test in kinds)
+    size = lambda part: f"coalesce(list_sum(list_transform({part}, lambda y: length(y))), 0)"
+    return f"""WITH d AS MATERIALIZED (SELECT doc_id, row_number() OVER () AS row, coalesce(text, '') AS t FROM documents), f AS ({found}),
+g AS (SELECT row, kind, place, p, m, unnest(range(1, len(m) + 1)) AS i FROM f),
+h AS (SELECT row, kind, place, m[i] AS x, ({size('p[1:i]')} + {size('m[1:i - 1]')})::BIGINT AS a FROM g),
+e AS (SELECT row, kind, place, a, a + length(x) AS b FROM h WHERE CASE kind {good} END),
+s AS (SELECT row, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+  string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, place) AS spans FROM e GROUP BY row)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, 0::BIGINT AS n_token, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN s USING (row)"""
+
+
 def _op9_sql() -> str:
     rules = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
     return f"""WITH r(h, p, v) AS (VALUES {rules}),
@@ -137,5 +162,6 @@ k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id)
 SELECT query_id, rank, vec_id, score FROM k WHERE rank <= 10""",
     "op5_mixing": _op5_sql(),
     "op7_chat": _op7_sql(),
+    "op8_secrets": _op8_sql(),
     "op9_url_filters": _op9_sql(),
 }

@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from itertools import product
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,7 +28,10 @@ ASSIGN_AT = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]
 ACCESS_AT = re.compile(r"AKIA[A-Z0-9]+")
 CHECKED_AT = re.compile(r"(?:gh[pousr]|npm)_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
 #: A run of 16 or more is found whole, as a shorter run can't hold a match: the same as taking runs and dropping short ones.
-HEX_RUN = re.compile(r"[0-9a-f]{16,}")
+HEX_AT = re.compile(r"[0-9a-f]{16,}")
+HEX_DIGITS = "0123456789abcdef"
+#: Keywords of hex runs are all strings of so many digits: a long run has one at each of its first places.
+HEX_KEYWORD = 4
 LEAST_ASSIGN, LEAST_ACCESS = 12, 18
 
 
@@ -50,6 +54,9 @@ class Scanner:
         self.spot.add_word(ACCESS.lower(), ("access", len(ACCESS)))
         for word in CHECKED:
             self.spot.add_word(word, ("token", len(word)))
+        for digits in product(HEX_DIGITS, repeat=HEX_KEYWORD):
+            if (word := "".join(digits)) not in self.spot:
+                self.spot.add_word(word, ("hex", HEX_KEYWORD))
         self.spot.make_automaton()
 
     def hits(self, text: str) -> dict[str, list[int]]:
@@ -69,6 +76,7 @@ class Scanner:
         for kind, expression, good in (
             ("assign", ASSIGN_AT, lambda m: len(m[2]) >= LEAST_ASSIGN),
             ("access", ACCESS_AT, lambda m: m.end() - m.start() >= LEAST_ACCESS),
+            ("hex", HEX_AT, lambda m: True),
             ("token", CHECKED_AT, lambda m: checksum(m[1]) == m[2]),
         ):
             done = 0
@@ -77,7 +85,6 @@ class Scanner:
                     done = m.end()
                     if good(m):
                         out.append((m.start(), m.end(), kind))
-        out += [(m.start(), m.end(), "hex") for m in HEX_RUN.finditer(text)]
         return sorted(out, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
 
 

@@ -265,16 +265,20 @@ DEAL_RADIUS, FIRST_RADIUS, LONG_RADIUS = 31, 51, 267
 LEAST_SIMILARITY = 0.8
 #: Shingles whose sets are compared in one task, and how many each text counts for besides its own.
 CHUNK, TEXT_COST = 1 << 20, 256
+#: Fingerprints of one side of a task: a share of all of them, within these bounds.
+SIDE_SHARE, LEAST_SIDE, MOST_SIDE = 64, 2048, 65_536
 
 
-def link_similar(words: np.ndarray, sizes: np.ndarray, homes: int, similarity: float) -> np.ndarray:
+def link_similar(words: np.ndarray, sizes: np.ndarray, homes: int, similarity: float, own: bool) -> np.ndarray:
     """Root index of each row of words (long fingerprints), candidates united; the first ones are homes, the others visitors.
 
-    Sizes bound the similarity; two words of the fingerprint, then all of it, find candidates."""
+    Sizes bound the similarity; two words of the fingerprint, then all of it, find candidates. own: homes meet each other too."""
     forest = Forest(len(words))
     order = np.argsort(sizes, kind="stable")
+    if not own:
+        order = order[order >= homes]
     sorted_sizes = sizes[order]
-    mine = order[order < homes]
+    mine = np.argsort(sizes[:homes], kind="stable")
     first = np.ascontiguousarray(words[:, :2].T)
     at = 0
     while at < len(mine):
@@ -320,8 +324,13 @@ def link_exact(sets: list[np.ndarray], homes: int, similarity: float) -> np.ndar
     return forest.roots(np.arange(len(sets)))
 
 
+def text_mark(text: F.Column) -> F.Column:
+    """A digest that tells texts of an id apart; null is as empty."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
+
+
 def confirmed(rows: DataFrame, candidates: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Edges (a, b) of forests that span the links of exact similarity among rows(id, text) inside candidates(id, component).
+    """Edges (a, b) of forests that span the links of exact similarity among the texts of rows(id, text) named by candidates(node, id, mark, component).
 
     A component's texts are cut by size into chunks of bounded shingles, and every two chunks meet in a task."""
     spark = rows.sparkSession
@@ -329,11 +338,12 @@ def confirmed(rows: DataFrame, candidates: DataFrame, width: int, similarity: fl
     def make():
         def work(cols: dict[str, list]) -> dict[str, list]:
             found = [shingle_set(t, width) for t in cols["text"]]
-            return {"component": cols["component"], "id": cols["id"], "n": [len(x) for x in found], "hashes": [x.tobytes() for x in found]}
+            return {"component": cols["component"], "id": cols["node"], "n": [len(x) for x in found], "hashes": [x.tobytes() for x in found]}
 
         return work
 
-    sets = arrow_map(rows.join(candidates, "id").select("component", "id", "text"), make, "component bigint, id bigint, n bigint, hashes binary").filter("n > 0")
+    named = rows.withColumn("mark", text_mark(F.col("text"))).join(candidates, ["id", "mark"]).select("component", "node", "text")
+    sets = arrow_map(named, make, "component bigint, id bigint, n bigint, hashes binary").filter("n > 0")
     sets = sets.withColumn("kind", F.xxhash64("hashes"))
     order = Window.partitionBy("component").orderBy("n", "id", "kind")
     again = (F.lag("id").over(order) == F.col("id")) & (F.lag("kind").over(order) == F.col("kind")) & (F.lag("hashes").over(order) == F.col("hashes"))
@@ -359,13 +369,15 @@ def confirmed(rows: DataFrame, candidates: DataFrame, width: int, similarity: fl
 
 
 def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """One row per row of docs: id and component_id (smallest id reachable) over texts of the similarity or more.
+    """One row per row of docs: id, mark (a digest of its text), component_id (smallest id reachable) and kept, over texts of the similarity or more.
 
     Similarity is the Jaccard similarity of the texts' sets of shingles, each counted once. Fingerprints of 1024 bits find
     candidates by bounds that similar texts keep but for about one pair in 10^8; of every link the sets themselves decide.
     Texts are dealt by number of shingles, in bands as wide as the similarity allows sizes to differ, and visit the band
-    below; bands with more than a shard's worth are divided by the vantage-point tree. Null and empty texts are one group.
-    Null ids keep a row of null component unless a row with an id has the same shingles; repeated rows are one document.
+    below; bands with more than a shard's worth are divided by the vantage-point tree, and what meets in a leaf is cut into
+    sides of bounded size, every two of which meet in a task. Null and empty texts are one group. Texts are linked, not
+    ids: an id with several texts may be in several components. kept holds for the least (id, mark) of a component, and as
+    often as that row is repeated. Null ids keep a row of null component, unless a row with an id has the same shingles, and of null kept.
     """
     if similarity < LEAST_SIMILARITY:
         raise ValueError(f"similarity must be {LEAST_SIMILARITY} or more")
@@ -374,20 +386,21 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     def make():
         def work(cols: dict[str, list]) -> dict[str, list]:
             found = [long_fingerprint(t, width) for t in cols["text"]]
-            return {"id": cols["id"], "n": [x[0] for x in found], "key": [x[1] for x in found], "fp": [x[2] for x in found]}
+            return {"id": cols["id"], "mark": cols["mark"], "n": [x[0] for x in found], "key": [x[1] for x in found], "fp": [x[2] for x in found]}
 
         return work
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    fps = settle(arrow_map(rows, make, "id bigint, n bigint, key binary, fp binary"))
-    groups = settle(fps.filter("id is not null").groupBy("key", "fp", "n").agg(F.min("id").alias("id")))
+    fps = settle(arrow_map(rows.withColumn("mark", text_mark(F.col("text"))), make, "id bigint, mark binary, n bigint, key binary, fp binary"))
+    groups = fps.filter("id is not null").groupBy("key", "fp", "n").agg(F.min(F.struct("id", "mark")).alias("least"))
+    groups = settle(groups.select("key", "fp", "n", "least.*", F.monotonically_increasing_id().alias("node")))
     wide = float(-np.log(similarity))
     band = F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / wide).cast("int")
-    most = groups.groupBy(band.alias("band")).agg(F.count("*").alias("k")).agg(F.max("k")).first()[0] or 0
+    total, most = groups.groupBy(band.alias("band")).agg(F.count("*").alias("k")).agg(F.coalesce(F.sum("k"), F.lit(0)), F.coalesce(F.max("k"), F.lit(0))).first()
     depth = max(0, int(np.ceil(np.log2(max(1, most / SHARD)))))
     head = groups.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE if depth else 0).toPandas()["fp"]
     tree = fit_tree(np.array([int.from_bytes(x[:8], "little") for x in head], np.uint64), depth)
-    schema = "band int, leaf int, guest boolean, id bigint, n bigint, fp binary"
+    schema = "band int, leaf int, guest boolean, node bigint, n bigint, fp binary"
     out = to_arrow(spark, schema)
 
     def route(batches):
@@ -398,18 +411,52 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
                     at = np.concatenate((home, guest))
                     if len(at):
                         bands = batch.column("band").to_numpy()[at] - below
-                        yield pa.RecordBatch.from_arrays([pa.array(bands, pa.int32()), pa.array(np.full(len(at), leaf, np.int32)), pa.array(np.arange(len(at)) >= len(home)), *[batch.column(c).take(pa.array(at)) for c in ("id", "n", "fp")]], schema=out)
+                        yield pa.RecordBatch.from_arrays([pa.array(bands, pa.int32()), pa.array(np.full(len(at), leaf, np.int32)), pa.array(np.arange(len(at)) >= len(home)), *[batch.column(c).take(pa.array(at)) for c in ("node", "n", "fp")]], schema=out)
 
     def join(rows: pa.Table) -> pa.Table:
         rows = rows.take(pa.array(np.argsort(np.asarray(rows.column("guest").to_numpy(), np.int8), kind="stable")))
         words = np.frombuffer(b"".join(rows.column("fp").to_pylist()), "<u8").reshape(-1, LONG_WORDS)
-        ids = rows.column("id").to_numpy()
-        roots = link_similar(words, rows.column("n").to_numpy().astype(float), int((~np.asarray(rows.column("guest").to_numpy(), bool)).sum()), similarity)
-        own = np.arange(len(roots)) != roots
-        return pa.table({"a": pa.array(ids[own], pa.int64()), "b": pa.array(ids[roots[own]], pa.int64())})
-
-    dealt = groups.select(band.alias("band"), "id", "n", "fp").mapInArrow(route, schema)
-    candidates = components(dealt.groupBy("band", "leaf").applyInArrow(join, "a bigint, b bigint"), "a", "b")
+        nodes = rows.column("node").to_numpy()
+        own = rows.column("i")[0].as_py() == rows.column("j")[0].as_py()
+        roots = link_similar(words, rows.column("n").to_numpy().astype(float), int((~np.asarray(rows.column("guest").to_numpy(), bool)).sum()), similarity, own)
+        some = np.arange(len(roots)) != roots
+        return pa.table({"a": pa.array(nodes[some], pa.int64()), "b": pa.array(nodes[roots[some]], pa.int64())})
+
+    dealt = groups.select(band.alias("band"), "node", "n", "fp").mapInArrow(route, schema)
+    side = min(MOST_SIDE, max(LEAST_SIDE, total // SIDE_SHARE))
+    sides = lambda guest: F.ceil(F.count_if(F.col("guest") == guest) / side).cast("int")
+    counts = settle(dealt.groupBy("band", "leaf").agg(sides(False).alias("homes"), sides(True).alias("guests")).filter("homes > 0"))
+    mine = F.pmod(F.xxhash64("node"), F.when(F.col("guest"), F.greatest("guests", F.lit(1))).otherwise(F.greatest("homes", F.lit(1)))).cast("int")
+    rows_of = dealt.join(F.broadcast(counts), ["band", "leaf"]).withColumn("mine", mine)
+    # Side i of the homes meets itself, the sides after it, and every side of the guests, which are numbered after the homes'.
+    task = lambda i, j, guest: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(guest).alias("visits"))
+    span = lambda a, b: F.filter(F.sequence(F.lit(0), F.col("homes") + F.col("guests")), lambda k: (k >= a) & (k < b))
+    as_home = F.transform(span(F.col("mine"), F.col("homes") + F.col("guests")), lambda j: task(F.col("mine"), j, False))
+    as_other = F.transform(span(F.lit(0), F.col("mine")), lambda i: task(i, F.col("mine"), True))
+    as_guest = F.transform(span(F.lit(0), F.col("homes")), lambda i: task(i, F.col("homes") + F.col("mine"), True))
+    tasks = rows_of.select("band", "leaf", "node", "n", "fp", F.inline(F.when(F.col("guest"), as_guest).otherwise(F.concat(as_home, as_other)))).withColumnRenamed("visits", "guest")
+    candidates = components(tasks.groupBy("band", "leaf", "i", "j").applyInArrow(join, "a bigint, b bigint"), "a", "b")
+    candidates = settle(candidates.withColumnRenamed("id", "node").join(groups.select("node", "id", "mark"), "node"))
     parts = components(confirmed(rows, candidates, width, similarity), "a", "b")
-    named = settle(groups.join(parts, "id", "left").select("key", F.coalesce("component", "id").alias("component_id")))
-    return fps.join(named, "key", "left").select(F.col("id").alias(id_col), "component_id")
+    named = settle(groups.join(parts.withColumnRenamed("id", "of"), F.col("node") == F.col("of"), "left").select("key", F.coalesce("component", "node").alias("component"), F.struct("id", "mark").alias("least")))
+    first = named.groupBy("component").agg(F.min("least").alias("first"))
+    named = settle(named.join(first, "component").select("key", "first"))
+    found = fps.join(named, "key", "left")
+    return found.select(F.col("id").alias(id_col), "mark", F.col("first.id").alias("component_id"), ((F.col("id") == F.col("first.id")) & (F.col("mark") == F.col("first.mark"))).alias("kept"))
+
+
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of docs that similar_documents() keeps, one of each component, with the columns of docs.
+
+    Which rows go is told by id and text, so an id's other texts stay. A kept row that is repeated stays once: of rows that
+    differ elsewhere the least one by all columns, which must be of types with an order. Rows with a null id stay.
+    """
+    found = settle(similar_documents(docs, id_col=id_col, text_col=text_col, width=width, similarity=similarity).select(F.col(id_col).cast("long").alias("g_id"), F.col("mark").alias("g_mark"), "kept"))
+    same = (F.col(id_col).cast("long") == F.col("g_id")) & (text_mark(F.col(text_col)) == F.col("g_mark"))
+    rest = docs.join(settle(found.filter("not kept").select("g_id", "g_mark").distinct()), same, "left_anti")
+    again = settle(found.filter("kept").groupBy("g_id", "g_mark").agg(F.count("*").alias("k")).filter("k > 1").select("g_id", "g_mark"))
+    if again.isEmpty():
+        return rest
+    columns = F.struct(*[F.col(c) for c in docs.columns])
+    once = rest.join(again, same, "left_semi").groupBy(F.col(id_col), text_mark(F.col(text_col))).agg(F.min(columns).alias("row")).select("row.*")
+    return rest.join(again, same, "left_anti").union(once)

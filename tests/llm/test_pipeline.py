@@ -1,3 +1,5 @@
+import hashlib
+
 import public_tokenizers
 import pytest
 import tiktoken
@@ -51,6 +53,19 @@ def test_tokens(steps):
     assert len(rows) == len(text) and all(r["ids"] == enc.encode_ordinary(text[r["doc_id"]]) for r in rows)
 
 
+def test_one_of_each_goes_by_text_and_id(spark):
+    """Texts decide, not ids: an id's other text stays, a repeated row stays once, null ids stay."""
+    x = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon"
+    y, long = "quite another text of some nine or ten words here", " ".join(f"w{i}" for i in range(3000))
+    near = x + " phi"
+    rows = [(3, x), (5, x), (5, y), (8, near), (7, y), (3, x), (3, x.upper()), (None, x), (None, x), (20, None), (21, ""), (21, None), (30, long), (29, long + " more")]
+    docs = spark.createDataFrame([(i, t, "en", f"s{k}", k) for k, (i, t) in enumerate(rows)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = [(r["doc_id"], r["text"]) for r in cp.one_of_each(spark, docs, "").collect()]
+    first = min((x, x.upper()), key=lambda t: hashlib.md5(t.encode()).digest())
+    assert sorted(kept, key=str) == sorted([(3, first), (5, y), (None, x), (None, x), (20, None), (29, long + " more")], key=str)
+    assert cp.one_of_each(spark, docs.filter("false"), "").count() == 0
+
+
 def test_run_gives_the_same(spark, steps):
     rows = lambda df: sorted(map(str, df.select("doc_id", "n_tokens", "ids_sha256").collect()))
     assert rows(cp.run(spark, DIR)) == rows(steps[-1])
