@@ -20,11 +20,9 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group of near-duplicates, of five-word shingles and a similarity of 0.8 or more.
-
-    Rows without an id stay; rows of one id are one document."""
-    found = simhash.similar_documents(docs)
-    return docs.join(settle(found.filter("doc_id <> component_id").select("doc_id").distinct()), "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group of near-duplicates, of five-word shingles and a similarity of 0.8 or more: that of the
+    smallest id. Rows without an id stay; of an id with several texts each is judged by itself; repeated rows stay once."""
+    return simhash.keep_one(docs)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
