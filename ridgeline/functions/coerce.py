@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from itertools import accumulate
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import settle
+
 NULL_CATEGORY, OTHER_CATEGORY = "<null>", "<other>"
 
 
@@ -66,9 +70,16 @@ def csv_category(text: Column) -> Column:
 
 
 def dictionary(df: DataFrame, column: str) -> DataFrame:
-    """(value, code) with codes 0.. in byte order of the distinct values of a category column."""
+    """(value, code) with codes 0.. in byte order of the distinct values of a category column.
+
+    Values are ranked within ranges, to which the counts of the ranges before are added, so no task holds all of them."""
     values = df.select(F.coalesce(F.col(column), F.lit(NULL_CATEGORY)).alias("value")).distinct()
-    return values.withColumn("code", (F.row_number().over(Window.orderBy("value")) - 1).cast("double"))
+    ranged = settle(values.repartitionByRange("value").sortWithinPartitions("value").withColumn("at", F.monotonically_increasing_id()))
+    part, row = F.shiftright("at", 33), F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = sorted(ranged.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect(), key=lambda r: r["part"])
+    before = list(accumulate((r["n"] for r in counts), initial=0))
+    offset = F.element_at(F.create_map(*[F.lit(x) for r, n in zip(counts, before, strict=False) for x in (r["part"], n)]), part) if counts else F.lit(0)
+    return ranged.select("value", (row + offset).cast("double").alias("code"))
 
 
 def dict_encode(df: DataFrame, column: str, into: str) -> DataFrame:

@@ -184,6 +184,10 @@ def keep(f: Forest, errs: DataFrame, schema: Schema, widths: dict[str, int], *,
     base = sum(4 * widths[c] for c in schema.columns)
     rows = able.join(f.candidates.select("c", "tree"), "c").join(tree_budgets(f, budget).select("tree", "bytes"), "tree").select("tree", "bytes", "col", "c", "err", row_bytes.alias("size"))
 
+    # What a column's next histogram doesn't fit, none after it does: of each column only as many matter as the budget holds.
+    place = F.row_number().over(Window.partitionBy("tree", "col").orderBy(F.desc("err"), "c"))
+    rows = rows.withColumn("place", place).filter(F.col("place") * F.col("size") <= F.col("bytes")).drop("place")
+
     def greedy(pdf):
         pdf = pdf.sort_values(["err", "col", "c"], ascending=[False, True, True])
         used, most, take = base, int(pdf["bytes"].iloc[0]), []

@@ -558,7 +558,12 @@ def tree_budget(spark, d):
     return stats.tree_budgets(_forest(spark, d)[1], 100_000)
 
 
-@query()
+@query(f"""{WR} {FOREST_SQL}, t AS (SELECT tr.tree, count(fc.id) AS n FROM tr LEFT JOIN fc USING (c) GROUP BY tr.tree), s AS (SELECT tree, n, floor(4000.0 * n / (SELECT count(*) FROM fc))::BIGINT AS share FROM t),
+bu AS MATERIALIZED (SELECT tree, share + CASE WHEN tree = (SELECT tree FROM s ORDER BY n DESC, tree LIMIT 1) THEN 4000 - (SELECT sum(share) FROM s) ELSE 0 END::BIGINT AS bytes FROM s),
+ab AS MATERIALIZED (SELECT tree, col, c, CASE col WHEN 'value' THEN 128 WHEN 'label' THEN 40 ELSE 20 END AS size, row_number() OVER (PARTITION BY tree ORDER BY err DESC, col, c) AS k FROM er JOIN tr USING (c) WHERE err > CASE WHEN col = 'value' THEN 0.05 ELSE 0.10 END),
+gr(tree, k, used, take) AS (SELECT tree, 0::BIGINT, 188::BIGINT, false FROM bu UNION ALL
+  SELECT g.tree, a.k, g.used + CASE WHEN g.used + a.size <= bu.bytes THEN a.size ELSE 0 END, g.used + a.size <= bu.bytes FROM gr g JOIN ab a ON a.tree = g.tree AND a.k = g.k + 1 JOIN bu ON bu.tree = g.tree)
+SELECT col, c FROM cd, (VALUES ('value'), ('label'), ('ev')) x(col) WHERE parent IS NULL UNION ALL SELECT col, c FROM gr JOIN ab USING (tree, k) WHERE take""")
 def budget_greedy(spark, d):
     b, f, schema = _forest(spark, d)
     hist, sizes = (settle(x) for x in stats.rollup(f, stats.attributes(b, schema)))
