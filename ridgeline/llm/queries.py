@@ -30,9 +30,7 @@ def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    index = toxicity.fit(docs, table(spark, sf_dir, "labels"), train=~toxicity.held_out("id"))
-    out = toxicity.score(docs, index)
+    out = toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), train=~toxicity.held_out("id"))
     return out.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), "evidence")
 
 

@@ -16,8 +16,10 @@ from __future__ import annotations
 import re
 from array import array
 from collections import Counter
+from copy import copy
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -159,10 +161,10 @@ class Index:
             share = np.array([(1 - prior) / max(1, len(labels) - toxic), prior / max(1, toxic)])  # undoes the unlike bounds of the classes
             self.calibrate(place, term, weight, share[self.labels] * len(labels))
 
-    def weights(self, at: np.ndarray, term: np.ndarray, n: np.ndarray, texts: int) -> np.ndarray:
-        """Unit TF-IDF weights of entries."""
-        w = (1 + np.log(n)) * np.where(term >= 0, self.idf[term] if len(self.idf) else 0.0, self.unknown)
-        size = np.sqrt(np.bincount(at, w * w, texts))
+    def weights(self, at: np.ndarray, term: np.ndarray, n: np.ndarray, texts: int, strange: np.ndarray | float = 0.0) -> np.ndarray:
+        """Unit TF-IDF weights of entries of known terms; strange: what strangers() gives of each text's others."""
+        w = (1 + np.log(n)) * self.idf[term]
+        size = np.sqrt(np.bincount(at, w * w, texts) + self.unknown**2 * strange)
         return w / np.where(size > 0, size, 1)[at]
 
     def _alike(self, at, term, weight, n: int) -> np.ndarray:
@@ -199,8 +201,6 @@ class Index:
         common terms there bound the block; each text opens the better half of its blocks first, then those whose bound still
         reaches its k-th cosine."""
         n = len(self.labels)
-        known = term >= 0
-        at, term, weight = at[known], term[known], weight[known]
         out = np.full((texts, n), -1.0)
         if not len(at) or not n:
             return out
@@ -275,26 +275,85 @@ class Index:
             a, b = a - np.clip(step[0], -2, 2), max(0.0, b - np.clip(step[1], -2, 2))
         self.curve = (float(a), float(b))
 
+    def without_vocabulary(self) -> Index:
+        """The same for texts whose terms have their numbers already."""
+        out = copy(self)
+        out.vocabulary = []
+        return out
+
     def score(self, best: np.ndarray, cos: np.ndarray) -> np.ndarray:
         a, b = self.curve
         return 1 / (1 + np.exp(-(a + b * (self.vote(best, cos) - 0.5))))
 
-    def judge(self, terms: Terms, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Scores of texts, their nearest examples and cosines."""
-        at, term, n = terms.entries(texts)
-        order = np.argsort(at, kind="stable")
-        at, term, n = at[order], term[order], n[order]
-        best, cos = self.nearest(at, term, self.weights(at, term, n, len(texts)), len(texts))
+    def judge(self, at: np.ndarray, term: np.ndarray, n: np.ndarray, strange: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Scores of len(strange) texts, their nearest examples and cosines, of entries in order of texts."""
+        texts = len(strange)
+        best, cos = self.nearest(at, term, self.weights(at, term, n, texts, strange), texts)
         return self.score(best, cos), best, cos
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train: F.Column | None = None, toxic: int = TOXIC, clean: int = CLEAN) -> Index:
-    """Fits an index on at most so many labelled documents of each class for which train holds (none given: all).
+def strangers(at: np.ndarray, n: np.ndarray, texts: int) -> np.ndarray:
+    """Sum of the squared term frequencies' weights of each text's unknown terms, which add to its norm."""
+    return np.bincount(at, (1 + np.log(n)) ** 2, texts)
+
+
+def packed(term: np.ndarray, n: np.ndarray) -> bytes:
+    """Terms in ascending order and their counts as one value: gaps of two bytes and counts of one where these suffice."""
+    gaps = np.diff(term, prepend=0)
+    small, few = int(gaps.max(initial=0)) < 1 << 16, int(n.max(initial=0)) < 256
+    return bytes((small, few)) + gaps.astype(np.uint16 if small else np.int32).tobytes() + n.astype(np.uint8 if few else np.int32).tobytes()
+
+
+def unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    gap, count = np.dtype(np.uint16 if blob[0] else np.int32), np.dtype(np.uint8 if blob[1] else np.int32)
+    k = (len(blob) - 2) // (gap.itemsize + count.itemsize)
+    return np.cumsum(np.frombuffer(blob, gap, k, 2), dtype=np.int64), np.frombuffer(blob, count, k, 2 + k * gap.itemsize)
+
+
+def _joined(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, term, count) of packed texts."""
+    parts = [unpacked(x) for x in blobs]
+    at = np.repeat(np.arange(len(parts)), [len(t) for t, _ in parts])
+    return at, np.concatenate([t for t, _ in parts]), np.concatenate([n.astype(np.int64) for _, n in parts])
+
+
+def term_rows(docs: DataFrame, vocabulary: list[str], *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, terms, strange): each row's packed terms of the vocabulary and its strangers(). Texts are read whole, null as empty."""
+    held = docs.sparkSession.sparkContext.broadcast("\n".join(vocabulary))
+
+    def make():
+        terms = Terms(held.value.split("\n") if held.value else [])
+
+        def work(cols):
+            texts = [x or "" for x in cols["text"]]
+            at, term, n = terms.entries(texts)
+            order = np.lexsort((term, at))
+            at, term, n = at[order], term[order], n[order]
+            known = term >= 0
+            strange = strangers(at[~known], n[~known], len(texts))
+            cut = np.searchsorted(at[known], np.arange(len(texts) + 1))
+            term, n = term[known], n[known]
+            return {"id": cols["id"], "terms": [packed(term[a:b], n[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)], "strange": strange}
+
+        return work
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return arrow_map(rows, make, f"id {kind}, terms binary, strange double")
+
+
+def fit(docs: DataFrame, labels: DataFrame, **how) -> Index:
+    """Fits an index on labelled documents; see fitted()."""
+    return fitted(docs, labels, **how)[0]
+
+
+def fitted(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train: F.Column | None = None, toxic: int = TOXIC, clean: int = CLEAN) -> tuple[Index, DataFrame]:
+    """An index on at most so many labelled documents of each class for which train holds (none given: all), and the
+    term_rows() of docs, written once: documents are counted and later scored from them.
 
     A document labelled more than once counts as toxic if one of its labels says so; of several texts of an id the least
     one is the example. Without labelled documents the index is empty and every score is one half.
     """
-    spark = docs.sparkSession
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).filter("id is not null and y in (0, 1)")
     if train is not None:
         known = known.filter(train)
@@ -318,22 +377,20 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     for r in got:
         names.update(r["terms"].split("\n") if r["terms"] else ())
     vocabulary = sorted(names)
-    held = spark.sparkContext.broadcast("\n".join(vocabulary))
-
-    def count_documents():
-        terms = Terms(held.value.split("\n") if held.value else [])
-
-        def work(cols):
-            _, term, _ = terms.entries([x or "" for x in cols["text"]])
-            n = np.bincount(term + 1, minlength=1)
-            n[0] = len(cols["text"])
-            some = np.nonzero(n)[0]
-            return {"term": some - 1, "n": n[some]}
-
-        return work
-
-    counted = arrow_map(docs.select(F.col(text_col).alias("text")), count_documents, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
-    df = np.zeros(len(vocabulary) + 1)
+    of_docs = settle(term_rows(docs, vocabulary, id_col=id_col, text_col=text_col))
+    size = len(vocabulary)
+
+    def count(batches):
+        n = np.zeros(size + 1, np.int64)
+        for batch in batches:
+            n[-1] += batch.num_rows
+            for blob in batch.column(0):
+                n[unpacked(blob.as_py())[0]] += 1
+        some = np.nonzero(n)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(n[some])], names=["term", "n"])
+
+    counted = of_docs.select("terms").mapInArrow(count, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
+    df = np.zeros(size + 1)
     df[counted["term"].to_numpy()] = counted["n"].to_numpy()
     number = {t: k for k, t in enumerate(vocabulary)}
     n = [np.frombuffer(r["n"], np.int32) for r in got]
@@ -341,7 +398,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     term = np.fromiter((number[t] for r in got if r["terms"] for t in r["terms"].split("\n")), np.int32, len(at))
     y, ids = np.array([r["y"] for r in got], int), np.array([r["id"] for r in got])
     prior = (total["t"] or 0) / total["n"] if total["n"] else 0.5
-    return Index(vocabulary, df[:-1], df[-1], at, term, np.concatenate([*n, np.zeros(0, np.int32)]), y, ids, prior)
+    return Index(vocabulary, df[:-1], df[-1], at, term, np.concatenate([*n, np.zeros(0, np.int32)]), y, ids, prior), of_docs
 
 
 def score(docs: DataFrame, index: Index, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -350,22 +407,31 @@ def score(docs: DataFrame, index: Index, *, id_col: str = "doc_id", text_col: st
     Null and empty texts, and those that share no term with an example, get the score of the prior and no evidence. Rows
     are kept as often as they occur, null ids too; texts are read whole.
     """
-    held = docs.sparkSession.sparkContext.broadcast(index)
-    kind = docs.schema[id_col].dataType.simpleString()
+    return score_rows(term_rows(docs, index.vocabulary, id_col=id_col, text_col=text_col), index).withColumnRenamed("id", id_col)
+
+
+def score_rows(rows: DataFrame, index: Index) -> DataFrame:
+    """id, score and evidence of term_rows()."""
+    held = rows.sparkSession.sparkContext.broadcast(index.without_vocabulary())
+    kind = rows.schema["id"].dataType.simpleString()
 
     def make():
         index = held.value
-        terms = Terms(index.vocabulary)
 
         def work(cols):
-            scores, best, cos = index.judge(terms, [x or "" for x in cols["text"]])
+            scores, best, cos = index.judge(*_joined(cols["terms"]), np.array(cols["strange"]))
             shown = [[{"doc_id": index.ids[i].item(), "similarity": c, "toxic": int(index.labels[i])} for i, c in zip(b, cs, strict=True) if c > 0] for b, cs in zip(best[:, :SHOWN], cos[:, :SHOWN].tolist(), strict=True)]
             return {"id": cols["id"], "score": scores, "evidence": shown}
 
         return work
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return arrow_map(rows, make, f"id {kind}, score double, evidence array<struct<doc_id: {kind}, similarity: double, toxic: int>>").withColumnRenamed("id", id_col)
+    return arrow_map(rows, make, f"id {kind}, score double, evidence array<struct<doc_id: {kind}, similarity: double, toxic: int>>")
+
+
+def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", **how) -> DataFrame:
+    """score() of docs by an index fitted on them, without reading the texts a second time."""
+    index, rows = fitted(docs, labels, id_col=id_col, **how)
+    return score_rows(rows, index).withColumnRenamed("id", id_col)
 
 
 def held_out(col: str) -> F.Column:
