@@ -11,8 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.predicates import DNF
-from .stats import Stats, dnf_empty, sigma_hats
+from ..functions.predicates import DNF, Atom
+from .stats import Stats, atom_possible, dnf_empty, sigma_hats
 
 FLOOD, BEST_FIRST = "flood", "best_first"
 TINY = 1e-12
@@ -124,10 +124,27 @@ def frontier_scores(routed: DataFrame) -> DataFrame:
     return sums.select("route", "matches", "cost", F.when(F.col("cost") <= 0, F.lit(float("inf"))).otherwise(F.col("matches") / F.col("cost")).alias("score"))
 
 
+def frontier_decision(routed: DataFrame) -> DataFrame:
+    """(route): the frontier of more expected matches for its cost, ties to the flood; a frontier without regions scores 0."""
+    score = lambda route: F.coalesce(F.max(F.when(F.col("route") == route, F.col("score"))), F.lit(0.0))
+    return frontier_scores(routed).agg(F.when(score(BEST_FIRST) > score(FLOOD), F.lit(BEST_FIRST)).otherwise(F.lit(FLOOD)).alias("route"))
+
+
+def covered_concentration(stats: Stats, atom: Atom) -> DataFrame:
+    """(matches, regions, rho) as concentration(), with each region's matches counted as the rows of all buckets that the atom
+    touches, without interpolation: from flat statistics, no row is read."""
+    possible = atom_possible(stats, atom)
+    counts = stats.hist.groupBy(F.col("node").alias("region")).agg(F.sum(F.when(F.lit(True) if possible is None else possible, F.col("cnt")).otherwise(0)).alias("c"))
+    return _herfindahl(stats.sizes.select(F.col("node").alias("region")).join(counts, "region", "left").na.fill(0))
+
+
 def concentration(region_map: DataFrame, base: DataFrame, condition: Column) -> DataFrame:
     """(matches, regions, rho): normalised Herfindahl index of the matches over all regions; 0 for one region or no match."""
     rows = region_map.select("id", "region").join(base.select("id", condition.cast("int").alias("ok")), "id")
-    per = rows.groupBy("region").agg(F.sum("ok").alias("c"))
+    return _herfindahl(rows.groupBy("region").agg(F.sum("ok").alias("c")))
+
+
+def _herfindahl(per: DataFrame) -> DataFrame:
     total = per.agg(F.sum("c").alias("matches"), F.count("*").alias("regions"), F.sum(F.col("c").cast("double") * F.col("c")).alias("squares"))
     h, r = F.col("squares") / (F.col("matches").cast("double") * F.col("matches")), F.col("regions").cast("double")
     return total.select("matches", "regions", F.when((F.col("regions") <= 1) | (F.col("matches") == 0), F.lit(0.0)).otherwise((h - 1 / r) / (1 - 1 / r)).alias("rho"))

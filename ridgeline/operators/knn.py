@@ -181,6 +181,17 @@ def first_label(base: DataFrame, queries: DataFrame, label: str, predicate: DNF,
     return exact_topk(base, queries, k, predicate=F.lit(False) if first is None else F.col(label) == F.lit(first))
 
 
+def padded(found: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """found with k rows for every query: ranks that nothing was found for have a null id and distance."""
+    slots = queries.select("qid", F.explode(F.sequence(F.lit(1), F.lit(k))).alias("rank"))
+    return slots.join(found, ["qid", "rank"], "left").select("qid", "rank", "id", "dist")
+
+
+def without(base: DataFrame, deleted: DataFrame) -> DataFrame:
+    """base without the ids of a table of tombstones."""
+    return base.join(deleted.select("id"), "id", "left_anti")
+
+
 def grouped_topk(base: DataFrame, queries: DataFrame, label: str, k: int) -> DataFrame:
     """(qid, label, rank, id, dist): k nearest for each query and label."""
     order = Window.partitionBy("qid", label).orderBy("dist", "id")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .. import __version__
 from ..functions import coerce
 from ..functions import predicates as P
-from ..operators import cost, graph, knn, maintain, metrics, quantiles, regions, search, stats, synth
+from ..operators import cost, graph, knn, maintain, metrics, navigate, quantiles, regions, search, stats, synth
 from ..session import own_dir, settle
 from ..sources import files
 from . import fixtures as X
@@ -392,6 +392,26 @@ def synthetic_columns(spark, d):
     return synth.synthetic_columns(b).join(synth.extra_columns(b), "id")
 
 
+@query(f"WITH {REGIONS_SQL} SELECT rg.region, id, label FROM rg JOIN b USING (id)")
+def region_members(spark, d):
+    return regions.region_members(X.region_map(spark, d), X.base(spark, d)).select("region", "id", "label")
+
+
+@query(top_sql("value < 60 AND NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = b.id AND o_orderstatus = 'F')"))
+def knn_tombstone_table(spark, d):
+    """Finished orders are the tombstones."""
+    gone = X.table(spark, d, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("id"))
+    b = X.base(spark, d)
+    return X.shown(knn.exact_topk(knn.without(b, gone), X.queries(b), K, predicate=P.dnf((P.lt("value", 60),))), "dist")
+
+
+@query(f"WITH {BASE_SQL}, p AS (SELECT qid, b.id, {l2('q.qv', 'b.v')} AS d FROM q, b WHERE value > 150), r AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY d, id)::INTEGER AS rank, id, d FROM p) SELECT q.qid, s.rank::INTEGER AS rank, coalesce(r.id, -1) AS id, coalesce(round(r.d, 6) + 0.0, -1.0) AS dist FROM q CROSS JOIN range(1, 41) s(rank) LEFT JOIN r ON r.qid = q.qid AND r.rank = s.rank")
+def knn_padded(spark, d):
+    b = X.base(spark, d)
+    found = knn.exact_topk(b, X.queries(b), 40, predicate=P.dnf((P.gt("value", 150),)))
+    return X.shown(knn.padded(found, X.queries(b), 40).na.fill(-1, ["id"]).na.fill(-1.0, ["dist"]), "dist")
+
+
 @query()
 def cluster_columns(spark, d):
     return synth.cluster_columns(X.base(spark, d), compact=True)
@@ -457,6 +477,26 @@ def local_selectivity_regime(spark, d):
     return X.shown(graph.local_selectivity(X.edges(spark, d), b, P.lt("value", 30).condition(), 16), "sigma")
 
 
+@query("SELECT name, true AS good FROM (VALUES ('plain'), ('adaptive'), ('gated'), ('tombstones'), ('flood'), ('routed')) t(name)")
+def graph_recall(spark, d):
+    """Whether searches along the navigable graph find nine tenths of what an exact scan finds, and floods all."""
+    b, _, s = _forest_stats(spark, d)
+    q, g, stored = X.queries(b), X.navigable(spark, d), X.by_region(spark, d)
+    gone, routed = b.filter("id % 3 = 1").select("id"), lambda force: navigate.routed_search(g, stored, s, search.routing_table(s, MIX, K, force=force), q, MIX, K, ef=128)
+    left = b.join(gone, "id", "left_anti")
+    found = {
+        "plain": (navigate.beam_search(g, q, K, ef=128), b, None), "adaptive": (navigate.beam_search(g, q, K, ef=128, base=b, predicate=MIX), b, MIX),
+        "gated": (navigate.beam_search(g, q, K, ef=128, base=b, predicate=MIX, policy=navigate.GATED), b, MIX), "tombstones": (navigate.beam_search(g, q, K, ef=128, base=b, deleted=gone), left, None),
+        "flood": (routed("flood"), b, MIX), "routed": (routed("random"), b, MIX),
+    }
+    out = []
+    for name, (got, rows, predicate) in found.items():
+        n = rows.filter(predicate.condition()).count() if predicate else rows.count()
+        r = metrics.recall(got, knn.exact_topk(rows, q, K, predicate=predicate), q, n, K).agg(F.avg("recall")).first()[0]
+        out.append((name, r >= (1.0 if name == "flood" else 0.9)))
+    return spark.createDataFrame(out, "name string, good boolean")
+
+
 # --- statistics -------------------------------------------------------------------------------------------------------
 
 _ATT = X.attributes_sql()
@@ -561,9 +601,9 @@ def tree_budget(spark, d):
 @query(f"""{WR} {FOREST_SQL}, t AS (SELECT tr.tree, count(fc.id) AS n FROM tr LEFT JOIN fc USING (c) GROUP BY tr.tree), s AS (SELECT tree, n, floor(4000.0 * n / (SELECT count(*) FROM fc))::BIGINT AS share FROM t),
 bu AS MATERIALIZED (SELECT tree, share + CASE WHEN tree = (SELECT tree FROM s ORDER BY n DESC, tree LIMIT 1) THEN 4000 - (SELECT sum(share) FROM s) ELSE 0 END::BIGINT AS bytes FROM s),
 ab AS MATERIALIZED (SELECT tree, col, c, CASE col WHEN 'value' THEN 128 WHEN 'label' THEN 40 ELSE 20 END AS size, row_number() OVER (PARTITION BY tree ORDER BY err DESC, col, c) AS k FROM er JOIN tr USING (c) WHERE err > CASE WHEN col = 'value' THEN 0.05 ELSE 0.10 END),
-gr(tree, k, used, take) AS (SELECT tree, 0::BIGINT, 188::BIGINT, false FROM bu UNION ALL
-  SELECT g.tree, a.k, g.used + CASE WHEN g.used + a.size <= bu.bytes THEN a.size ELSE 0 END, g.used + a.size <= bu.bytes FROM gr g JOIN ab a ON a.tree = g.tree AND a.k = g.k + 1 JOIN bu ON bu.tree = g.tree)
-SELECT col, c FROM cd, (VALUES ('value'), ('label'), ('ev')) x(col) WHERE parent IS NULL UNION ALL SELECT col, c FROM gr JOIN ab USING (tree, k) WHERE take""")
+gy(tree, k, used, take) AS (SELECT tree, 0::BIGINT, 188::BIGINT, false FROM bu UNION ALL
+  SELECT g.tree, a.k, g.used + CASE WHEN g.used + a.size <= bu.bytes THEN a.size ELSE 0 END, g.used + a.size <= bu.bytes FROM gy g JOIN ab a ON a.tree = g.tree AND a.k = g.k + 1 JOIN bu ON bu.tree = g.tree)
+SELECT col, c FROM cd, (VALUES ('value'), ('label'), ('ev')) x(col) WHERE parent IS NULL UNION ALL SELECT col, c FROM gy JOIN ab USING (tree, k) WHERE take""")
 def budget_greedy(spark, d):
     b, f, schema = _forest(spark, d)
     hist, sizes = (settle(x) for x in stats.rollup(f, stats.attributes(b, schema)))
@@ -681,6 +721,26 @@ def concentration(spark, d):
     return X.shown(cost.concentration(X.region_map(spark, d), b, MIX.condition()), "rho")
 
 
+@query(f"{WR} {COST_SQL}, f AS (SELECT route, sum(sel * n) / sum(CASE route WHEN 'flood' THEN flood ELSE best_first END) AS score FROM rt GROUP BY route) SELECT CASE WHEN coalesce((SELECT score FROM f WHERE route = 'best_first'), 0) > coalesce((SELECT score FROM f WHERE route = 'flood'), 0) THEN 'best_first' ELSE 'flood' END AS route")
+def frontier_decision(spark, d):
+    return cost.frontier_decision(_routed(spark, d))
+
+
+@query(f"""WITH {REGIONS_SQL}, {_ATT}, k AS (SELECT greatest(0, least({X.BUCKETS - 1}, len(list_filter(es, lambda e: e <= 30)) - 1)) AS k FROM el),
+c AS (SELECT region, count(*) FILTER (bucket <= k) AS c FROM att JOIN rg USING (id), k WHERE col = 'value' GROUP BY region), t AS (SELECT sum(c) AS t, count(*) AS r, sum(c * c) AS s FROM c)
+SELECT t::BIGINT AS matches, r AS regions, round((s / (t * t)::DOUBLE - 1 / r) / (1 - 1 / r), 6) AS rho FROM t""")
+def covered_concentration(spark, d):
+    b = X.base(spark, d)
+    return X.shown(cost.covered_concentration(stats.flat_stats(X.region_map(spark, d), b, stats.schema_of(b, ["value"], [], X.BUCKETS)), P.lt("value", 30)), "rho")
+
+
+@query(f"""{WR} {COST_SQL} SELECT rt.region, route, empty, coalesce(m.n, 0) AS n, CASE WHEN empty THEN 0 ELSE coalesce(m.n, 0) END AS preds, CASE WHEN empty THEN 0 ELSE coalesce(m.k, 0) END AS dists
+FROM rt LEFT JOIN (SELECT region, count(*) AS n, count(*) FILTER ({MIX_SQL}) AS k FROM rm JOIN b USING (id) GROUP BY region) m USING (region)""")
+def search_trace(spark, d):
+    s = _forest_stats(spark, d)[2]
+    return search.trace(X.by_region(spark, d), s, _routed(spark, d), MIX)
+
+
 # --- search over regions ----------------------------------------------------------------------------------------------
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import coerce
 from ..functions import predicates as P
-from ..operators import graph, regions, search, stats
+from ..operators import graph, navigate, regions, search, stats
 from ..session import once, settle, stamp
 
 #: Queries are the rows whose id is divisible by EVERY.
@@ -72,6 +72,10 @@ def forest_stats(spark: SparkSession, d: str) -> tuple[DataFrame, stats.Forest,
     return kept(spark, d, "stats", lambda: (b, f, stats.forest_stats(f, b, s)))
 
 
+def navigable(spark: SparkSession, d: str) -> DataFrame:
+    return kept(spark, d, "navigable", lambda: navigate.build(base(spark, d)))
+
+
 def by_region(spark: SparkSession, d: str) -> DataFrame:
     b, _, s = forest_stats(spark, d)
     return kept(spark, d, "by_region", lambda: search.by_region(b, s))

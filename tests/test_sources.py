@@ -3,6 +3,11 @@ import struct
 
 import pytest
 
+from pyspark.sql import functions as F
+
+from ridgeline.functions import coerce
+from ridgeline.functions import predicates as P
+from ridgeline.operators import cost, knn
 from ridgeline.sources import caches, catalog, files
 
 
@@ -125,5 +130,24 @@ def test_cache(spark, tmp_path):
     for parts in (("a", 1), ("a", 1), ("a", 2)):
         assert caches.cached(spark, str(tmp_path), "t", parts, make).count() == 3
     assert len(made) == 2
+    base = spark.createDataFrame([(i, [float(i % 7), float(i)], float(i % 2)) for i in range(60)], "id bigint, v array<double>, label double")
+    q = base.filter("id < 3").select(F.col("id").alias("qid"), F.col("v").alias("qvec"))
+    calls = []
+
+    def once(value):
+        calls.append(1)
+        return value
+
+    at = str(tmp_path / "kept")
+    for _ in range(2):
+        costs = caches.cached_costs(spark, at, base.select("id", F.col("label").alias("region")), lambda: once(cost.Costs(c_pred=3.0)))
+        truth = caches.cached_topk(spark, at, base, q, 4, P.dnf(()), lambda: once(knn.exact_topk(base, q, 4)))
+        ranks = caches.cached_ranks(spark, at, base, q, "label", 2, 16)
+        parts = caches.judging_partition(spark, at, base, 4)
+    assert costs.c_pred == 3.0 and truth.count() == 12 and ranks.count() == 6 and parts.count() == 60 and len(calls) == 2
+    wrong = caches.key(4, 3, P.dnf(()).canonical(), coerce.fingerprint(base, "id", "v"), coerce.fingerprint(q, "qid", "qvec"))
+    spark.createDataFrame([(99, 9, 1, 0.0)], "qid bigint, rank int, id bigint, dist double").write.mode("overwrite").parquet(f"{at}/topk-{wrong}")
+    with pytest.raises(ValueError, match="other queries"):
+        caches.cached_topk(spark, at, base, q, 4, P.dnf(()), lambda: truth)
     caches.save_tables({"x": spark.range(2)}, str(tmp_path / "index"))
     assert caches.load_tables(spark, str(tmp_path / "index"), ["x"])["x"].count() == 2
