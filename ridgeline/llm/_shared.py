@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.small_world import pack, unpack  # noqa: F401
 from ..session import ready, settle  # noqa: F401
 
 #: Rows that Python code takes from an Arrow batch at once, so that its lists stay small.
@@ -48,25 +49,6 @@ def key_crc(col: str) -> F.Column:
     return F.crc32(F.col(col).cast("string"))
 
 
-def pack(**arrays) -> bytes:
-    """Arrays as one binary value."""
-    import io
-
-    import numpy as np
-
-    np.savez(out := io.BytesIO(), **arrays)
-    return out.getvalue()
-
-
-def unpack(blob: bytes) -> dict:
-    import io
-
-    import numpy as np
-
-    with np.load(io.BytesIO(blob), allow_pickle=False) as held:
-        return {k: held[k] for k in held.files}
-
-
 def usable(vec: F.Column) -> F.Column:
     """Whether an array<double> has only finite components, and one that isn't zero."""
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))

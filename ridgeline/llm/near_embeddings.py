@@ -13,9 +13,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.small_world import TOGETHER, Graph
 from ._shared import dense, pack, settle, sharded, unit, unpack, usable
 from .components import components
-from .hnsw import TOGETHER, Graph
 from .simhash import Forest
 
 #: Distinct vectors of a shard; beam to begin with.
@@ -116,9 +116,7 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str
                 asked = unpack(r["blob"])
             else:
                 index = unpack(r["blob"]) | unpack(r["graph"])
-        graph = object.__new__(Graph)
-        graph.x, graph.order, graph.sizes = index["x"].astype(np.float32), index["order"], index["sizes"].tolist()
-        graph.near = [index[f"near{k}"] for k in range(len(graph.sizes))]
+        graph = Graph.of(index["x"], index["order"], index["sizes"].tolist(), [index[f"near{k}"] for k in range(len(index["sizes"]))])
         forest, own = Forest(len(asked["ids"]) + len(index["ids"])), len(asked["ids"])
         links = np.zeros(own + len(index["ids"]), np.int64)
         for a, b in found_links(graph, index["x"], asked["x"], threshold, own=False):

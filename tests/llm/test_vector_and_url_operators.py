@@ -4,8 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from ridgeline.llm import ann_forest, components, near_embeddings, queries, url_rules
-from ridgeline.llm.hnsw import Graph
 from ridgeline.llm.simhash import Forest
+from ridgeline.operators.small_world import Graph
 
 INF = float("inf")
 
