@@ -19,11 +19,10 @@ REBUILD_SHARE, REBUILD_LEAST = 0.5, 16
 
 @dataclass(frozen=True)
 class State:
-    """Statistics, trees(tree, n, cnt_mod, cnt_del), and columns that have met a code they don't know."""
+    """Statistics and trees(tree, n, cnt_mod, cnt_del)."""
 
     stats: Stats
     trees: DataFrame
-    degraded: frozenset[str] = frozenset()
 
 
 def trees_of(f: Forest) -> DataFrame:
@@ -67,10 +66,10 @@ def insert(state: State, f: Forest, points: DataFrame, base: DataFrame) -> State
     grown = points.join(f.candidates.select("c", "tree"), "c").groupBy("tree").agg(F.count("*").alias("n"))
     stats = replace(
         s, region_map=region_map, sizes=settle(_add(s.sizes, sizes, ["node"], "n")), hist=settle(_add(s.hist, hist, ["col", "node", "bucket"], "cnt")),
-        presence=None if s.presence is None else settle(s.presence.union(bits).distinct()),
+        presence=None if s.presence is None else settle(s.presence.union(bits).distinct()), degraded=s.degraded | {r["col"] for r in strange.collect()},
     )
     trees = state.trees.join(grown.withColumnRenamed("n", "more"), "tree", "left").select("tree", (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"), "cnt_mod", "cnt_del")
-    return State(stats, settle(trees), state.degraded | {r["col"] for r in strange.collect()})
+    return State(stats, settle(trees))
 
 
 def threshold(n) -> F.Column:
@@ -84,7 +83,7 @@ def update(state: State, f: Forest, changes: DataFrame) -> tuple[State, DataFram
     trees = settle(state.trees.join(where, "tree", "left").select("tree", "n", (F.col("cnt_mod") + F.coalesce("more", F.lit(0))).alias("cnt_mod"), "cnt_del"))
     bits = changes.join(s.region_map, "id").select("col", "region", F.col("bucket").cast("double").alias("bucket"))
     stats = replace(s, presence=None if s.presence is None else settle(s.presence.union(bits).distinct()))
-    return State(stats, trees, state.degraded), trees.filter(F.col("cnt_mod") >= threshold(F.col("n"))).select("tree")
+    return State(stats, trees), trees.filter(F.col("cnt_mod") >= threshold(F.col("n"))).select("tree")
 
 
 def delete_deltas(f: Forest, gone: DataFrame, attrs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -102,7 +101,7 @@ def delete(state: State, f: Forest, gone: DataFrame, base: DataFrame) -> tuple[S
     less = F.coalesce("less", F.lit(0))
     trees = settle(state.trees.join(fewer, "tree", "left").select("tree", (F.col("n") - less).alias("n"), "cnt_mod", (F.col("cnt_del") + less).alias("cnt_del")))
     stats = replace(s, sizes=settle(_add(s.sizes, sizes, ["node"], "n", floor=True)), hist=settle(_add(s.hist, hist, ["col", "node", "bucket"], "cnt", floor=True)))
-    return State(stats, trees, state.degraded), trees.filter(F.col("cnt_del") >= threshold(F.col("n"))).select("tree")
+    return State(stats, trees), trees.filter(F.col("cnt_del") >= threshold(F.col("n"))).select("tree")
 
 
 def rebuild(state: State, f: Forest, live: DataFrame, due: DataFrame, *, slack: float = 1.0, delta_range: float = 0.05, eps_point: float = 0.10) -> State:
@@ -121,9 +120,9 @@ def rebuild(state: State, f: Forest, live: DataFrame, due: DataFrame, *, slack:
     merged = Stats(
         schema, settle(s.region_map.join(new.region_map.select("id"), "id", "left_anti").select("id", "region").union(new.region_map)), settle(outside(s.sizes, "node").union(new.sizes.select(*s.sizes.columns))),
         settle(outside(s.hist, "node").union(new.hist.select(*s.hist.columns))), settle(outside(s.hist_node, "region").union(new.hist_node.select(*s.hist_node.columns))),
-        None if s.presence is None else settle(outside(s.presence, "region").union(new.presence.select(*s.presence.columns))),
+        None if s.presence is None else settle(outside(s.presence, "region").union(new.presence.select(*s.presence.columns))), s.degraded,
     )
     n = part.fca.join(part.candidates.select("c", "tree"), "c").groupBy("tree").agg(F.count("*").alias("n"))
     zero = F.lit(0).cast("long")
     fresh = due.join(n, "tree", "left").select("tree", F.coalesce("n", F.lit(0)).cast("long").alias("n"), zero.alias("cnt_mod"), zero.alias("cnt_del"))
-    return State(merged, settle(state.trees.join(due, "tree", "left_anti").select("tree", "n", "cnt_mod", "cnt_del").union(fresh)), state.degraded)
+    return State(merged, settle(state.trees.join(due, "tree", "left_anti").select("tree", "n", "cnt_mod", "cnt_del").union(fresh)))

@@ -25,10 +25,32 @@ def voronoi_regions(base: DataFrame, nodes: DataFrame, level: int = 2) -> DataFr
     """(id, region, dist): the nearest node of at least the level. True cells: the growth along edges that approximates
     them elsewhere depends on the order of visits. Where no node has the level, the entry point (the smallest id of the
     highest level) is the only anchor."""
+    return nearest_centroid(base, _anchors(base, nodes, level)).select("id", F.col("cid").alias("region"), "dist")
+
+
+def _anchors(base: DataFrame, nodes: DataFrame, level: int) -> DataFrame:
+    """(id, v) of the nodes of at least the level; without any, of the entry point: the smallest id of the highest level."""
     entry = nodes.agg(F.max(F.struct("level", (-F.col("id")).alias("i"))).alias("e")).select((-F.col("e.i")).alias("id"), (F.col("e.level") < level).alias("alone"))
     first = settle(nodes.filter(F.col("level") >= level).select("id").union(entry.filter("alone").select("id")))
-    anchors = base.join(first, "id", "left_semi")
-    return nearest_centroid(base, anchors).select("id", F.col("cid").alias("region"), "dist")
+    return base.join(first, "id", "left_semi").select("id", "v")
+
+
+def grown_regions(base: DataFrame, nodes: DataFrame, edges: DataFrame, level: int = 2) -> DataFrame:
+    """(id, region, dist): regions that grow from the anchors along edges(src, dst), all at the same pace.
+
+    In every round the nodes that changed offer their region to the nodes they point to, and a node takes the offer of the
+    nearest anchor if that is nearer than its own. It ends when nothing changes. Nodes that no anchor reaches are regions of their own."""
+    vectors = base.select("id", F.col("v").cast("array<double>").alias("v"))
+    anchors = settle(_anchors(base, nodes, level).select(F.col("id").alias("region"), F.col("v").cast("array<double>").alias("anchor")))
+    now = front = settle(anchors.select(F.col("region").alias("id"), "region", F.lit(0.0).alias("dist")))
+    while not front.isEmpty():
+        offers = front.join(edges, front["id"] == edges["src"]).select(F.col("dst").alias("id"), "region").distinct()
+        offers = offers.join(vectors, "id").join(anchors, "region").select("id", "region", l2_sqr(F.col("v"), F.col("anchor")).alias("dist")).filter("dist is not null")
+        best = offers.groupBy("id").agg(F.min(F.struct("dist", "region")).alias("o")).select("id", F.col("o.region").alias("new"), F.col("o.dist").alias("nearer"))
+        front = settle(best.join(now, "id", "left").filter("dist is null or nearer < dist").select("id", F.col("new").alias("region"), F.col("nearer").alias("dist")))
+        now = settle(now.join(front.select("id"), "id", "left_anti").union(front))
+    alone = nodes.select("id").join(now.select("id"), "id", "left_anti")
+    return now.union(alone.select("id", F.col("id").alias("region"), F.lit(0.0).alias("dist")))
 
 
 def region_sizes(region_map: DataFrame) -> DataFrame:

@@ -202,7 +202,8 @@ def keep(f: Forest, errs: DataFrame, schema: Schema, widths: dict[str, int], *,
 
 @dataclass(frozen=True)
 class Stats:
-    """What planning needs. region_map(id, region) names each point's finest region; sizes count all points below a node."""
+    """What planning needs. region_map(id, region) names each point's finest region; sizes count all points below a node;
+    degraded: categorical columns that have met codes which the histograms don't know, though presence does."""
 
     schema: Schema
     region_map: DataFrame
@@ -210,6 +211,7 @@ class Stats:
     hist: DataFrame
     hist_node: DataFrame
     presence: DataFrame | None
+    degraded: frozenset[str] = frozenset()
 
 
 def flat_stats(region_map: DataFrame, base: DataFrame, schema: Schema) -> Stats:
@@ -280,7 +282,8 @@ def _weights(stats: Stats, atom: Atom) -> list[float] | None:
 
 def sigma_hats(stats: Stats, atoms: Sequence[Atom]) -> DataFrame:
     """(region, n, s0, s1, ..): each atom's estimated selectivity in each region, from the histogram and size of the node
-    that supplies it. Equality on a numeric column and ranges on a categorical one estimate 0, as lookups fail there."""
+    that supplies it. Equality on a numeric column and ranges on a categorical one estimate 0, as lookups fail there. In a
+    degraded column no code is estimated below one row, as its histograms may not count it."""
     sizes = stats.sizes.withColumnRenamed("n", "held")
     rows = stats.hist_node.join(sizes, "node", "left").join(stats.hist, ["col", "node"], "left")
     sums = []
@@ -298,7 +301,9 @@ def sigma_hats(stats: Stats, atoms: Sequence[Atom]) -> DataFrame:
         value = F.greatest(F.lit(0.0), part)
         sums.append(value.alias(f"s{k}"))
     found = rows.groupBy("region").agg(*sums)
-    return found.join(stats.sizes.select(F.col("node").alias("region"), "n"), "region").select("region", "n", *[f"s{k}" for k in range(len(atoms))])
+    least = {k for k, a in enumerate(atoms) if a.form in ("eq", "contains") and (a.proxy or a.column) in stats.degraded}
+    s = [F.greatest(f"s{k}", F.coalesce(F.try_divide(F.lit(1.0), F.col("n")), F.lit(0.0))).alias(f"s{k}") if k in least else F.col(f"s{k}") for k in range(len(atoms))]
+    return found.join(stats.sizes.select(F.col("node").alias("region"), "n"), "region").select("region", "n", *s)
 
 
 def cdf(stats: Stats, column: str, x: float) -> DataFrame:

@@ -10,7 +10,7 @@ from typing import Protocol
 from pyspark.sql import DataFrame
 
 from ..functions.predicates import DNF
-from ..operators import graph, knn, search, stats
+from ..operators import graph, knn, navigate, search, stats
 
 
 @dataclass(frozen=True)
@@ -57,6 +57,22 @@ class PostFilter(ExactScan):
         return knn.post_filter(self.base, queries, predicate, self.ef, k)
 
 
+class GraphSearch(ExactScan):
+    """A walk along a navigable graph, which passes rows that don't match as policy says."""
+
+    def __init__(self, ef: int, policy: str = navigate.ADAPTIVE):
+        self.ef, self.policy = ef, policy
+
+    def build(self, base: DataFrame, params: BuildParams) -> None:
+        self.base, self.graph = base, navigate.build(base)
+
+    def search(self, queries: DataFrame, predicate: DNF, k: int) -> DataFrame:
+        return navigate.beam_search(self.graph, queries, k, ef=self.ef, base=self.base, predicate=predicate, policy=self.policy)
+
+    def persistent_bytes(self) -> int:
+        return navigate.graph_bytes(self.graph)
+
+
 @dataclass
 class RegionIndex:
     """Regions with histograms and presence: exact answers from the regions that presence admits."""
@@ -88,3 +104,26 @@ class RegionIndex:
 
     def persistent_bytes(self) -> int:
         return int(sum(r["bytes"] for r in stats.storage_bytes(self.stats).collect()))
+
+
+@dataclass
+class RoutedIndex(RegionIndex):
+    """Regions searched as the cost model routes each: scanned whole, or along a navigable graph."""
+
+    ef: int = 64
+    force: str | None = None
+
+    def build(self, base: DataFrame, params: BuildParams) -> None:
+        super().build(base, params)
+        self.graph = navigate.build(base)
+
+    def _statistics(self) -> None:
+        super()._statistics()
+        self.stored = search.by_region(self.base, self.stats)
+
+    def search(self, queries: DataFrame, predicate: DNF, k: int) -> DataFrame:
+        strategy = search.routing_table(self.stats, predicate, k, force=self.force)
+        return navigate.routed_search(self.graph, self.stored, self.stats, strategy, queries, predicate, k, ef=self.ef)
+
+    def persistent_bytes(self) -> int:
+        return super().persistent_bytes() + navigate.graph_bytes(self.graph)

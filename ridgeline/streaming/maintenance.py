@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.maintain import State
 from ..operators.stats import Schema, Stats
 
-_TABLES = [f.name for f in fields(Stats) if f.name != "schema"]
+_TABLES = [f.name for f in fields(Stats) if f.name not in ("schema", "degraded")]
 
 
 def save_state(state: State, folder: str, number: int) -> None:
@@ -21,7 +21,7 @@ def save_state(state: State, folder: str, number: int) -> None:
     tables = {name: df for name in _TABLES if (df := getattr(state.stats, name)) is not None} | {"trees": state.trees}
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{folder}/batch={number}/{name}")
-    told = {"number": number, "tables": sorted(tables), "edges": state.stats.schema.edges, "categorical": state.stats.schema.categorical, "degraded": sorted(state.degraded)}
+    told = {"number": number, "tables": sorted(tables), "edges": state.stats.schema.edges, "categorical": state.stats.schema.categorical, "degraded": sorted(state.stats.degraded)}
     spark.createDataFrame([(json.dumps(told),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/done/{number}")
 
 
@@ -37,7 +37,7 @@ def load_state(spark: SparkSession, folder: str) -> tuple[State, int] | None:
     told = json.loads(spark.read.text(f"{folder}/done/{number}").first()[0])
     held = {name: spark.read.parquet(f"{folder}/batch={number}/{name}") if name in told["tables"] else None for name in (*_TABLES, "trees")}
     trees = held.pop("trees")
-    return State(Stats(Schema(told["edges"], tuple(told["categorical"])), **held), trees, frozenset(told["degraded"])), number
+    return State(Stats(Schema(told["edges"], tuple(told["categorical"])), **held, degraded=frozenset(told["degraded"])), trees), number
 
 
 class Maintainer:

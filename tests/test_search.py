@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ridgeline.functions import predicates as P
 from ridgeline.functions.vectors import l2_sqr, neg_inner_product
 from ridgeline.operators import graph, knn, metrics, quantiles, regions
+from ridgeline.session import settle
 
 TINY = [(0, [0.0], 1.0), (1, [1.0], 1.0), (2, [2.0], 0.0), (3, [3.0], 1.0), (4, [4.0], 1.0)]
 
@@ -66,6 +67,27 @@ def test_voronoi_cells_without_an_anchor(spark, cloud):
     assert {r["region"] for r in regions.voronoi_regions(base, n, 99).collect()} == {entry}
 
 
+def test_regions_grown_along_edges(spark, cloud):
+    base, x = cloud
+    n, e = settle(graph.nodes(base)), settle(graph.knn_edges(base.filter("id < 2990"), 6))
+    got = {r["id"]: (r["region"], r["dist"]) for r in regions.grown_regions(base, n, e, 3).collect()}
+    far = lambda a, b: float(((x[a] - x[b]) ** 2).sum())
+    out: dict[int, list[int]] = {}
+    for r in e.collect():
+        out.setdefault(r["src"], []).append(r["dst"])
+    now = {r["id"]: (r["id"], 0.0) for r in n.collect() if r["level"] >= 3}
+    front = dict(now)
+    while front:
+        offers: dict[int, tuple[float, int]] = {}
+        for i, (region, _) in front.items():
+            for j in out.get(i, ()):
+                offers[j] = min(offers.get(j, (np.inf, -1)), (far(j, region), region))
+        front = {j: (region, d) for j, (d, region) in offers.items() if j not in now or d < now[j][1] - 1e-12}
+        now |= front
+    assert set(got) == set(range(3000)) and all(got[i] == (i, 0.0) for i in got if i not in now)
+    assert all(got[i][0] == now[i][0] and got[i][1] == pytest.approx(now[i][1]) for i in now)
+
+
 def test_a_frontier_behind_many_empty_regions(spark):
     pairs = spark.createDataFrame([(i, i + 1) for i in range(70)], "r_src bigint, r_dst bigint")
     empty = spark.createDataFrame([(i,) for i in range(1, 70)], "region bigint")

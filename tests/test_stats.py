@@ -1,3 +1,5 @@
+from dataclasses import replace
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -123,7 +125,7 @@ def test_maintenance(made):
     first = f.fca.select("c").first()["c"]
     points = new.select("id", F.lit(first).alias("c"))
     after = maintain.insert(state, f, points, new)
-    assert after.degraded == {"label"} and after.stats.region_map.count() == 603
+    assert after.stats.degraded == {"label"} and after.stats.region_map.count() == 603
     assert after.trees.agg(F.sum("n")).first()[0] == 603
     assert search.admitted(after.stats, P.dnf((P.eq("label", 77),))).count() == 1
     gone, due = maintain.delete(state, f, base.filter("id % 2 = 0").select("id"), base)
@@ -149,7 +151,7 @@ def test_stream(spark, made, tmp_path):
 
 def test_a_restarted_stream_finds_its_state(spark, made, tmp_path):
     base, _, f, _, s, _ = made
-    first = maintain.State(s, settle(maintain.trees_of(f)), frozenset({"label"}))
+    first = maintain.State(replace(s, degraded=frozenset({"label"})), settle(maintain.trees_of(f)))
     apply = lambda st, batch: maintain.delete(st, f, batch, base)[0]
     gone, check, kept = (str(tmp_path / x) for x in ("gone", "check", "kept"))
     for low, left in ((0, 550), (50, 500)):
@@ -159,12 +161,18 @@ def test_a_restarted_stream_finds_its_state(spark, made, tmp_path):
         assert m.state.trees.agg(F.sum("n")).first()[0] == left
     again = Maintainer(first, apply, kept)
     assert again.done == m.done and again.state.trees.agg(F.sum("n")).first()[0] == 500
-    assert again.state.degraded == {"label"} and again.state.stats.schema == s.schema
+    assert again.state.stats.degraded == {"label"} and again.state.stats.schema == s.schema
     for name in ("sizes", "hist", "hist_node", "presence", "region_map"):
         a, b = getattr(again.state.stats, name), getattr(m.state.stats, name)
         assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
 
 
+def test_codes_of_a_degraded_column_are_estimated_as_one_row(made):
+    _, _, _, _, s, _ = made
+    least = lambda st: stats.sigma_hats(st, [P.eq("label", 77)]).agg(F.min(F.col("s0") * F.col("n")), F.max(F.col("s0") * F.col("n"))).first()
+    assert tuple(least(s)) == (0, 0) and tuple(least(replace(s, degraded=frozenset({"label"})))) == pytest.approx((1, 1))
+
+
 def test_rows_without_values_keep_their_region(spark, made):
     base, _, f, _, _, _ = made
     holes = base.withColumns({"value": F.when(F.col("id") % 2 == 0, F.col("value")), "label": F.when(F.col("id") % 2 == 0, F.col("label"))})
