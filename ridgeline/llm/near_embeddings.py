@@ -19,7 +19,7 @@ from .components import components
 from .simhash import Forest
 
 #: Distinct vectors of a shard; beam to begin with.
-SHARD, BEAM = 8192, 32
+SHARD, BEAM = 4096, 32
 #: Slack for single precision while searching, before the exact check.
 SLACK = 1e-4
 
