@@ -92,6 +92,8 @@ def _numbers(code: np.ndarray, t: np.ndarray, p: np.ndarray, wanted: np.ndarray)
     """For each value the number r for which the sum of t * min(1, p * r) is what is wanted.
 
     With cells in falling order of p, the first k count whole and the rest by p * r; of all k the right one gives the largest r."""
+    if not len(code):
+        return np.zeros(len(wanted))
     order = np.lexsort((-p, code))
     c, tokens, weight = code[order], t[order], (t * p)[order]
     begin = np.searchsorted(c, np.arange(len(wanted)))

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import BATCH_BYTES, arrow_map, settle, to_arrow
@@ -265,8 +265,8 @@ DEAL_RADIUS, FIRST_RADIUS, LONG_RADIUS = 31, 51, 267
 LEAST_SIMILARITY = 0.8
 #: Shingles whose sets are compared in one task, and how many each text counts for besides its own.
 CHUNK, TEXT_COST = 1 << 20, 256
-#: Fingerprints of one side of a task: a share of all of them, within these bounds.
-SIDE_SHARE, LEAST_SIDE, MOST_SIDE = 64, 2048, 65_536
+#: Fingerprints of one side of a task (130 bytes each).
+SIDE = 65_536
 
 
 def link_similar(words: np.ndarray, sizes: np.ndarray, homes: int, similarity: float, own: bool) -> np.ndarray:
@@ -332,7 +332,7 @@ def text_mark(text: F.Column) -> F.Column:
 def confirmed(rows: DataFrame, candidates: DataFrame, width: int, similarity: float) -> DataFrame:
     """Edges (a, b) of forests that span the links of exact similarity among the texts of rows(id, text) named by candidates(node, id, mark, component).
 
-    A component's texts are cut by size into chunks of bounded shingles, and every two chunks meet in a task."""
+    A component's texts are dealt to chunks of about as many shingles, and every two chunks meet in a task."""
     spark = rows.sparkSession
 
     def make():
@@ -343,16 +343,9 @@ def confirmed(rows: DataFrame, candidates: DataFrame, width: int, similarity: fl
         return work
 
     named = rows.withColumn("mark", text_mark(F.col("text"))).join(candidates, ["id", "mark"]).select("component", "node", "text")
-    sets = arrow_map(named, make, "component bigint, id bigint, n bigint, hashes binary").filter("n > 0")
-    sets = sets.withColumn("kind", F.xxhash64("hashes"))
-    order = Window.partitionBy("component").orderBy("n", "id", "kind")
-    again = (F.lag("id").over(order) == F.col("id")) & (F.lag("kind").over(order) == F.col("kind")) & (F.lag("hashes").over(order) == F.col("hashes"))
-    sets = sets.withColumn("again", F.coalesce(again, F.lit(False)))
-    cost = F.when(F.col("again"), 0).otherwise(F.col("n") + TEXT_COST)
-    sets = sets.withColumn("before", F.sum(cost).over(order.rowsBetween(Window.unboundedPreceding, 0)) - cost)
-    sets = settle(sets.filter(~F.col("again")).select("component", "id", "hashes", F.floor(F.col("before") / CHUNK).cast("int").alias("chunk")))
-    chunks = sets.groupBy("component").agg(F.max("chunk").alias("last"))
-    sets = sets.join(chunks, "component")
+    sets = settle(arrow_map(named, make, "component bigint, id bigint, n bigint, hashes binary").filter("n > 0"))
+    chunks = settle(sets.groupBy("component").agg(F.ceil(F.sum(F.col("n") + TEXT_COST) / CHUNK).cast("int").alias("chunks")))
+    sets = sets.join(chunks, "component").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")).withColumn("last", F.col("chunks") - 1)
     home = sets.select("component", F.col("chunk").alias("i"), F.explode(F.sequence("chunk", "last")).alias("j"), F.lit(False).alias("guest"), "id", "hashes")
     guest = sets.filter("chunk > 0").select("component", F.explode(F.sequence(F.lit(0), F.col("chunk") - 1)).alias("i"), F.col("chunk").alias("j"), F.lit(True).alias("guest"), "id", "hashes")
 
@@ -396,7 +389,7 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     groups = settle(groups.select("key", "fp", "n", "least.*", F.monotonically_increasing_id().alias("node")))
     wide = float(-np.log(similarity))
     band = F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / wide).cast("int")
-    total, most = groups.groupBy(band.alias("band")).agg(F.count("*").alias("k")).agg(F.coalesce(F.sum("k"), F.lit(0)), F.coalesce(F.max("k"), F.lit(0))).first()
+    most = groups.groupBy(band.alias("band")).agg(F.count("*").alias("k")).agg(F.max("k")).first()[0] or 0
     depth = max(0, int(np.ceil(np.log2(max(1, most / SHARD)))))
     head = groups.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE if depth else 0).toPandas()["fp"]
     tree = fit_tree(np.array([int.from_bytes(x[:8], "little") for x in head], np.uint64), depth)
@@ -423,8 +416,7 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         return pa.table({"a": pa.array(nodes[some], pa.int64()), "b": pa.array(nodes[roots[some]], pa.int64())})
 
     dealt = groups.select(band.alias("band"), "node", "n", "fp").mapInArrow(route, schema)
-    side = min(MOST_SIDE, max(LEAST_SIDE, total // SIDE_SHARE))
-    sides = lambda guest: F.ceil(F.count_if(F.col("guest") == guest) / side).cast("int")
+    sides = lambda guest: F.ceil(F.count_if(F.col("guest") == guest) / SIDE).cast("int")
     counts = settle(dealt.groupBy("band", "leaf").agg(sides(False).alias("homes"), sides(True).alias("guests")).filter("homes > 0"))
     mine = F.pmod(F.xxhash64("node"), F.when(F.col("guest"), F.greatest("guests", F.lit(1))).otherwise(F.greatest("homes", F.lit(1)))).cast("int")
     rows_of = dealt.join(F.broadcast(counts), ["band", "leaf"]).withColumn("mine", mine)
@@ -437,7 +429,14 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     tasks = rows_of.select("band", "leaf", "node", "n", "fp", F.inline(F.when(F.col("guest"), as_guest).otherwise(F.concat(as_home, as_other)))).withColumnRenamed("visits", "guest")
     candidates = components(tasks.groupBy("band", "leaf", "i", "j").applyInArrow(join, "a bigint, b bigint"), "a", "b")
     candidates = settle(candidates.withColumnRenamed("id", "node").join(groups.select("node", "id", "mark"), "node"))
-    parts = components(confirmed(rows, candidates, width, similarity), "a", "b")
+    # A row that is repeated stands for itself once.
+    again = settle(fps.filter("id is not null").groupBy("id", "mark").agg(F.count("*").alias("k")).filter("k > 1").select("id", "mark"))
+    texts = rows
+    if not again.isEmpty():
+        marked = rows.withColumn("mark", text_mark(F.col("text")))
+        once = marked.join(again, ["id", "mark"], "left_semi").groupBy("id", "mark").agg(F.min("text").alias("text"))
+        texts = marked.join(again, ["id", "mark"], "left_anti").select("id", "text").union(once.select("id", "text"))
+    parts = components(confirmed(texts, candidates, width, similarity), "a", "b")
     named = settle(groups.join(parts.withColumnRenamed("id", "of"), F.col("node") == F.col("of"), "left").select("key", F.coalesce("component", "node").alias("component"), F.struct("id", "mark").alias("least")))
     first = named.groupBy("component").agg(F.min("least").alias("first"))
     named = settle(named.join(first, "component").select("key", "first"))
