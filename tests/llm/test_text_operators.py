@@ -422,9 +422,9 @@ def test_mixing_where_cells_are_used_up(spark):
     p = mixing.probabilities(docs, **how).cache()
     full, given, whole = p.agg(F.count_if(F.col("p") >= 1), F.sum(F.col("tokens") * F.col("p")), F.sum("tokens")).first()
     assert full > 0 and given / whole == pytest.approx(mixing.FRACTION, abs=1e-6)
-    # The languages asked for too much fall short, and the misses say by how much.
+    # The languages asked for too much give nearly all they have, and the misses say by how much they fall short.
     of = {r["lang"]: r for r in p.groupBy("lang").agg(F.sum(F.col("tokens") * F.col("p")).alias("t"), F.sum("tokens").alias("all"), F.first("lang_miss").alias("miss")).collect()}
-    assert all(of[s]["miss"] < -0.01 for s in ("de", "fr", "es")) and of["en"]["miss"] > 0.01
+    assert all(of[s]["t"] > 0.99 * of[s]["all"] and of[s]["miss"] < 0 for s in ("de", "fr", "es")) and of["en"]["miss"] > 0.1
     assert all(r["miss"] == pytest.approx(r["t"] / given - (0.1 if s == "en" else 0.3), abs=1e-6) for s, r in of.items())
 
 
