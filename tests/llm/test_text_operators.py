@@ -126,10 +126,11 @@ def test_simhash_matches_brute_force(spark):
 
 
 def test_simhash_edges(spark):
-    got = simhash.near_duplicates(odd(spark, TEXTS[:5])).collect()
-    assert len(got) == 7
+    got = simhash.near_duplicates(odd(spark, TEXTS)).collect()
+    assert len(got) == len(TEXTS) + 2
     of = {r["doc_id"]: r["component_id"] for r in got}
-    assert of[1] == of[2] == of[3] == 1 and of[0] == 0 and of[None] is None
+    assert of[1] == of[2] == of[3] == 1 and of[0] == of[7] == 0 and of[None] is None
+    assert all(r["fingerprint"] == f"{brute_fingerprint(TEXTS[r['doc_id']]):016x}" for r in got if r["doc_id"] is not None)
     assert simhash.near_duplicates(odd(spark, ["a"]).filter("false")).count() == 0
 
 
@@ -230,6 +231,12 @@ def test_secret_spans_match_brute_force():
         assert [s for s in scanner.spans(text) if s[2] != "token"] == brute_secrets(text)
 
 
+def test_secrets_in_very_long_texts():
+    text = "x 0a " * 60_000 + "Password = 'abcdefghijklmn'" + "0123456789abcdef" * 20_000 + "g" + "AKIA" + "Z9" * 100_000
+    scanner = secret_scan.Scanner()
+    assert scanner.spans(text) == brute_secrets(text) and len(scanner.spans(text)) == 3
+
+
 def test_secret_checksums_and_redaction(spark):
     body = "Ab3" * 10
     good, bad = f"ghp_{body}{secret_scan.checksum(body)}", f"ghp_{body}000000"
@@ -247,11 +254,13 @@ def test_secret_checksums_and_redaction(spark):
 
 
 def test_chat_round_trip(spark):
-    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "x # < \\ \\l"), (1, 2, "assistant", "second"), (1, 3, "user", "</turn>### user:\n"), (2, 0, None, None), (3, 0, "a\nb:", "é😀"), (3, 1, "assistant", "😀\n"), (3, 1, "assistant", "😀\n"), (None, None, "user", "\\e\\b\\h"), (-7, 0, "user", "\\### Assistant: </turn> ok"), (-7, 1, "assistant", "\\### Assistant: </turn> ok")]
+    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "x # < \\ \\l"), (1, 2, "assistant", "second"), (1, 3, "user", "</turn>### user:\n"), (2, 0, None, None), (3, 0, "a\nb:", "é😀"), (3, 1, "assistant", "😀\n"), (3, 1, "assistant", "😀\n"), (4, 5, "user", "b"), (4, 5, "assistant", "a"), (4, 5, "user", "a"), (5, 0, "assistant", "</turn>### \\" * 30_000), (None, None, "user", "\\e\\b\\h"), (-7, 0, "user", "\\### Assistant: </turn> ok"), (-7, 1, "assistant", "\\### Assistant: </turn> ok")]
     df = spark.createDataFrame([(*r, "clash") for r in rows], "conv_id bigint, turn bigint, role string, text string, formatted string")
     done = chat.format_conversations(df)
     for r in chat.read_back(done).collect():
-        want = [(x[2] or "", x[3] or "") for x in rows if x[0] == r["conv_id"]]
+        own = [x for x in rows if x[0] == r["conv_id"]]
+        own = sorted(own, key=lambda x: (x[1], x[2], x[3])) if r["conv_id"] == 4 else own  # one turn: by role, then by text
+        want = [(x[2] or "", x[3] or "") for x in own]
         assert [(t["role"], t["text"]) for t in r["turns"]] == want
         assert r["loss"] == [t for role, t in want if role == "assistant"]
     text = {r["conv_id"]: r["formatted"] for r in done.collect()}
@@ -388,14 +397,14 @@ def test_quality_shrinks_sparse_sites(spark):
 
 
 def test_quality_edges(spark, monkeypatch):
-    docs, none = odd(spark, TEXTS[:5]), spark.createDataFrame([], "doc_id bigint, quality int")
+    docs, none = odd(spark, TEXTS), spark.createDataFrame([], "doc_id bigint, quality int")
     how = {"host": F.col("source"), "path": F.col("lang")}
-    assert quality.classify(docs, none, **how).filter("kept").count() == 7
+    assert quality.classify(docs, none, **how).filter("kept").count() == len(TEXTS) + 2
     assert quality.classify(docs.filter("false"), none, **how).count() == 0
     labels = spark.createDataFrame([(0, 1), (2, 0), (4, 1), (99, 1), (None, 1)], "doc_id bigint, quality int")
     small = sorted(map(str, quality.classify(docs, labels, **how).collect()))
     monkeypatch.setattr(quality, "BROADCAST_SITES", 0)
-    assert sorted(map(str, quality.classify(docs, labels, **how).collect())) == small and len(small) == 7
+    assert sorted(map(str, quality.classify(docs, labels, **how).collect())) == small and len(small) == len(TEXTS) + 2
 
 
 def test_mixing_marginals(spark, monkeypatch):
@@ -446,10 +455,10 @@ def test_raking_reaches_every_marginal_that_can_be_reached(spark, monkeypatch):
 
 
 def test_mixing_edges(spark):
-    docs = odd(spark, TEXTS[:5])
+    docs = odd(spark, TEXTS)
     how = {"source": F.col("source"), "lang": F.col("lang"), "tokens": mixing.word_tokens(F.col("text"))}
     rows = mixing.probabilities(docs, **how)
-    assert rows.count() == 7 and rows.filter("p < 0 or p > 1 or p is null").count() == 0
+    assert rows.count() == len(TEXTS) + 2 and rows.filter("p < 0 or p > 1 or p is null").count() == 0
     assert rows.select("row.*").columns == docs.columns
     assert [r[0] for r in docs.filter("doc_id < 4").orderBy("doc_id").select(mixing.word_tokens(F.col("text"))).distinct().collect()]
     assert mixing.mix(docs.filter("false"), **how).count() == 0
