@@ -265,6 +265,8 @@ DEAL_RADIUS, FIRST_RADIUS, LONG_RADIUS = 31, 51, 267
 LEAST_SIMILARITY = 0.8
 #: Shingles whose sets are compared in one task, and how many each text counts for besides its own.
 CHUNK, TEXT_COST = 1 << 20, 256
+#: Bytes of a candidate's name in a broadcast, and of all of them at most.
+SENT_BYTES, MOST_SENT = 24, 64 << 20
 #: Fingerprints of one side of a task (130 bytes each).
 SIDE = 65_536
 
@@ -342,7 +344,12 @@ def confirmed(rows: DataFrame, candidates: DataFrame, width: int, similarity: fl
 
         return work
 
-    named = rows.withColumn("mark", text_mark(F.col("text"))).join(candidates, ["id", "mark"]).select("component", "node", "text")
+    named = rows.withColumn("mark", text_mark(F.col("text")))
+    # Candidates are few; their names' hashes are sent to the scan, if they fit, so that only their texts travel.
+    name = F.xxhash64("id", "mark")
+    if candidates.count() * SENT_BYTES <= MOST_SENT:
+        named = named.join(F.broadcast(candidates.select(name.alias("name")).distinct()), name == F.col("name"), "left_semi")
+    named = named.join(candidates, ["id", "mark"]).select("component", "node", "text")
     sets = settle(arrow_map(named, make, "component bigint, id bigint, n bigint, hashes binary").filter("n > 0"))
     chunks = settle(sets.groupBy("component").agg(F.ceil(F.sum(F.col("n") + TEXT_COST) / CHUNK).cast("int").alias("chunks")))
     sets = sets.join(chunks, "component").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")).withColumn("last", F.col("chunks") - 1)
