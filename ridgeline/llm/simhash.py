@@ -265,8 +265,8 @@ DEAL_RADIUS, FIRST_RADIUS, LONG_RADIUS = 31, 51, 267
 LEAST_SIMILARITY = 0.8
 #: Shingles whose sets are compared in one task, and how many each text counts for besides its own.
 CHUNK, TEXT_COST = 1 << 20, 256
-#: Bytes of a candidate's name in a broadcast, and of all of them at most.
-SENT_BYTES, MOST_SENT = 24, 64 << 20
+#: Bytes in a broadcast of a name's hash, of a name itself, and of all of them at most.
+SENT_BYTES, NAME_BYTES, MOST_SENT = 24, 80, 64 << 20
 #: Fingerprints of one side of a task (130 bytes each).
 SIDE = 65_536
 
@@ -459,7 +459,9 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """
     found = settle(similar_documents(docs, id_col=id_col, text_col=text_col, width=width, similarity=similarity).select(F.col(id_col).cast("long").alias("g_id"), F.col("mark").alias("g_mark"), "kept"))
     same = (F.col(id_col).cast("long") == F.col("g_id")) & (text_mark(F.col(text_col)) == F.col("g_mark"))
-    rest = docs.join(settle(found.filter("not kept").select("g_id", "g_mark").distinct()), same, "left_anti")
+    gone = settle(found.filter("not kept").select("g_id", "g_mark").distinct())
+    # The names of the rows that go are sent to the scan, if they fit, so that no text travels.
+    rest = docs.join(F.broadcast(gone) if gone.count() * NAME_BYTES <= MOST_SENT else gone, same, "left_anti")
     again = settle(found.filter("kept").groupBy("g_id", "g_mark").agg(F.count("*").alias("k")).filter("k > 1").select("g_id", "g_mark"))
     if again.isEmpty():
         return rest
